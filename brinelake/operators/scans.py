@@ -22,10 +22,18 @@ def line_chunk(line_no: str = "line_no", size: int = CHUNK_LINES) -> Column:
     return F.floor(F.col(line_no) / size)
 
 
-def _windows(stream: list[str], chunk: list[str], order: list[str]):
-    inside = Window.partitionBy(*stream, *chunk).orderBy(*order).rowsBetween(
+def _keyed(df: DataFrame, stream: list[str]) -> tuple[DataFrame, list[str]]:
+    """Stream columns as text keys without NULLs, so that plain equality joins them back."""
+    names = [f"_k{i}" for i in range(len(stream))]
+    return df.withColumns({
+        n: F.coalesce(F.col(s).cast("string"), F.lit("\0")) for n, s in zip(names, stream, strict=True)
+    }), names
+
+
+def _windows(keys: list[str], chunk: list[str], order: list[str]):
+    inside = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*stream).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
     return inside, before
 
 
@@ -36,18 +44,17 @@ def carry_forward(
 
     ``values`` names the new columns; their expressions are NULL where nothing new starts.
     """
-    inside, before = _windows(stream, chunk, order)
-    df = df.withColumns({f"_new_{n}": e for n, e in values.items()})
-    local = df.withColumns({n: F.last(f"_new_{n}", ignorenulls=True).over(inside) for n in values})
-    summary = df.groupBy(*stream, *chunk).agg(*[
+    keyed, keys = _keyed(df, stream)
+    inside, before = _windows(keys, chunk, order)
+    keyed = keyed.withColumns({f"_new_{n}": e for n, e in values.items()})
+    local = keyed.withColumns({n: F.last(f"_new_{n}", ignorenulls=True).over(inside) for n in values})
+    summary = keyed.groupBy(*keys, *chunk).agg(*[
         F.max_by(f"_new_{n}", F.when(F.col(f"_new_{n}").isNotNull(), F.struct(*order)))
         .alias(f"_end_{n}") for n in values])
-    carried = summary.select(*stream, *chunk, *[
+    carried = summary.select(*keys, *chunk, *[
         F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in values])
-    keys = [*stream, *chunk]
-    joined = _rejoin(local, carried, keys)
-    kept = [c for c in df.columns if not c.startswith("_new_")]
-    return joined.select(*kept, *[
+    joined = local.join(carried, [*keys, *chunk], "left")
+    return joined.select(*df.columns, *[
         F.coalesce(F.col(n), F.col(f"_in_{n}")).alias(n) for n in values])
 
 
@@ -55,27 +62,18 @@ def running_sum(
     df: DataFrame, values: dict[str, Column], stream: list[str], chunk: list[str], order: list[str],
 ) -> DataFrame:
     """Running totals along the stream, the current row included."""
-    inside, before = _windows(stream, chunk, order)
-    local = df.withColumns({n: F.sum(e).over(inside) for n, e in values.items()})
-    summary = df.groupBy(*stream, *chunk).agg(*[F.sum(e).alias(f"_end_{n}") for n, e in values.items()])
-    carried = summary.select(*stream, *chunk, *[
+    keyed, keys = _keyed(df, stream)
+    inside, before = _windows(keys, chunk, order)
+    local = keyed.withColumns({n: F.sum(e).over(inside) for n, e in values.items()})
+    summary = keyed.groupBy(*keys, *chunk).agg(*[
+        F.sum(e).alias(f"_end_{n}") for n, e in values.items()])
+    carried = summary.select(*keys, *chunk, *[
         F.sum(f"_end_{n}").over(before).alias(f"_in_{n}") for n in values])
-    joined = _rejoin(local, carried, [*stream, *chunk])
+    joined = local.join(carried, [*keys, *chunk], "left")
     return joined.select(*df.columns, *[
         (F.col(n) + F.coalesce(F.col(f"_in_{n}"), F.lit(0))).alias(n) for n in values])
 
 
-def _rejoin(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their chunk's summary.  NULL streams are a stream of their own."""
-    right = per_chunk.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                             *[c for c in per_chunk.columns if c not in keys])
-    same = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = test if same is None else same & test
-    return rows.join(right, same, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 # Sentence types of the averaged formats: the header carries date and time for the others.
 HEADER_TYPES = ("PNORH3", "PNORH4")
 CARRIED_TYPES = ("PNORS3", "PNORS4", "PNORC3", "PNORC4")
@@ -86,12 +84,15 @@ def attach_headers(
     parsed: DataFrame, stream: list[str], chunk: list[str], order: list[str],
     record_type: str = "record_type", ok: Column | None = None,
     date: Column | None = None, time: Column | None = None, status: Column | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Date, time and status of the last header before each line of its burst.
 
     Adds ``carried_date``, ``carried_time``, ``carried_status`` (NULL before the first header)
     and ``cell_index``, the number of the averaged cell in arrival order after its header.
-    The default columns are those of ``parse_lines``.
+    The default columns are those of ``parse_lines``.  ``initial`` continues earlier data: per
+    stream the header in force (``carried_*``) and ``cells_since_header``, the form that
+    ``header_state`` returns.
     """
     ok = F.col("parse_status") == "OK" if ok is None else ok
     date = F.get("vals", F.lit(0)) if date is None else date
@@ -99,18 +100,54 @@ def attach_headers(
     status = F.get("vals", F.lit(3)) if status is None else status
     header = F.col(record_type).isin(*HEADER_TYPES) & ok
     cell = F.coalesce(F.col(record_type).isin(*CARRIED_CELLS) & ok, F.lit(False))
-    counted = running_sum(parsed, {"_cells": cell.cast("bigint")}, stream, chunk, order)
-    head = F.when(header, F.struct(date.alias("d"), time.alias("t"), status.alias("s"),
-                                   F.col("_cells").alias("c")))
-    out = carry_forward(counted, {"_head": head}, stream, chunk, order)
-    number = F.col("_cells") - F.coalesce(F.col("_head.c"), F.lit(0))
+    keyed, keys = _keyed(parsed, stream)
+    inside, before = _windows(keys, chunk, order)
+    local = keyed.withColumn("_n", F.sum(cell.cast("bigint")).over(inside))
+    local = local.withColumn("_start", F.when(header, F.struct(
+        date.alias("d"), time.alias("t"), status.alias("s"), F.col("_n").alias("n"))))
+    local = local.withColumn("_head", F.last("_start", ignorenulls=True).over(inside))
+    # Per chunk: its averaged cells, and its last header with the cells counted up to it.
+    summary = local.groupBy(*keys, *chunk).agg(
+        F.max("_n").alias("_total"),
+        F.max_by("_start", F.when(F.col("_start").isNotNull(), F.struct(*order))).alias("_end"))
+    summary = summary.withColumn("_n0", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    ended = F.when(F.col("_end").isNotNull(), F.struct(
+        F.col("_end.d").alias("d"), F.col("_end.t").alias("t"), F.col("_end.s").alias("s"),
+        (F.col("_n0") + F.col("_end.n")).alias("n")))
+    carried = summary.withColumn("_end", ended).select(
+        *keys, *chunk, "_n0", F.last("_end", ignorenulls=True).over(before).alias("_in"))
+    if initial is not None:  # joined to the chunks, not to the rows
+        start, _ = _keyed(initial, stream)
+        carried = carried.join(start.select(*keys, F.struct(
+            F.col("carried_date").alias("d"), F.col("carried_time").alias("t"),
+            F.col("carried_status").alias("s"),
+            (-F.col("cells_since_header").cast("bigint")).alias("n")).alias("_init")), keys, "left")
+        carried = carried.withColumn("_in", F.coalesce("_in", "_init")).drop("_init")
+    out = local.join(carried, [*keys, *chunk], "left")
+    own = F.col("_head").isNotNull()
+    pick = lambda f: F.when(own, F.col(f"_head.{f}")).otherwise(F.col(f"_in.{f}"))
+    number = F.when(own, F.col("_n") - F.col("_head.n")).otherwise(
+        F.col("_n0") + F.col("_n") - F.coalesce(F.col("_in.n"), F.lit(0)))
     return out.select(
         *parsed.columns,
-        F.col("_head.d").alias("carried_date"), F.col("_head.t").alias("carried_time"),
-        F.col("_head.s").alias("carried_status"),
+        pick("d").alias("carried_date"), pick("t").alias("carried_time"),
+        pick("s").alias("carried_status"),
+        number.cast("int").alias("cells_since_header"),
         F.when(cell, number.cast("int")).alias("cell_index"))
 
 
+def header_state(attached: DataFrame, stream: list[str], chunk: list[str], order: list[str],
+                 initial: DataFrame | None = None) -> DataFrame:
+    """Header in force at the end of every stream, to continue from."""
+    fields = ("carried_date", "carried_time", "carried_status", "cells_since_header")
+    last = attached.groupBy(*stream).agg(
+        F.max_by(F.struct(*fields), F.struct(*chunk, *order)).alias("_l")).select(*stream, "_l.*")
+    if initial is None:
+        return last
+    return last.unionByName(initial.select(*stream, *fields).join(
+        last.select(*stream), stream, "left_anti"))
+
+
 def number_runs(
     df: DataFrame, member: Column, stream: list[str], chunk: list[str], order: list[str],
 ) -> DataFrame:
