@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("tabular", "spectral")
+_MODULES = ("tabular", "spectral", "sentences")
 
 
 def _load() -> None:
