@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def with_once(df: DataFrame, **exprs: Column) -> DataFrame:
     """
     packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
     return df.select("*", F.inline(F.array(packed)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Inside one expression: name a value and use it any number of times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

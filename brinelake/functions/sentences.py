@@ -110,12 +110,12 @@ def message_type(line: Column | str) -> Column:
 
 def number(text: Column | str) -> Column:
     """Decimal number or NULL, with the spellings of ``NUM_PATTERN`` only."""
-    v = strip(text)
+    v = col_of(text)
     return F.when(v.rlike(NUM_PATTERN), F.replace(v, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def whole_number(text: Column | str) -> Column:
-    v = strip(text)
+    v = col_of(text)
     return F.when(v.rlike(INT_PATTERN), F.replace(v, F.lit("_"), F.lit("")).try_cast("double"))
 
 

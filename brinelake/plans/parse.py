@@ -1,9 +1,9 @@
 """Lines to one parsed frame, then to typed tables.
 
-The registered layouts become one small frame (a row per prefix, so its size is fixed by the
-number of sentence types).  Lines are joined to it by prefix and every rule is evaluated from
-that data with array functions: the plan has the same size for one layout or for hundreds,
-needs no shuffle and no Python worker.
+The registered layouts become small frames (a row per prefix, so their size is fixed by the
+number of sentence types) that lines are joined to by prefix.  A plain sentence is settled by
+one pattern match; all others are checked field by field against the joined rules with array
+functions.  No shuffle and no Python worker is involved.
 """
 
 from __future__ import annotations
@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 
 from brinelake import layouts as L
 from brinelake.functions import sentences as S
-from brinelake.functions.barrier import with_once
+from brinelake.functions.barrier import let, with_once
+from brinelake.functions.patterns import MARKER, line_pattern
 
 _FIELD = ("name string, kind int, lo double, hi double, allowed array<string>, min_len int, "
           "max_len int, store_lo double, store_hi double, store_allowed array<string>")
-_LAYOUT = ("prefix string, table_name string, style string, data_format int, duplicates string, "
-           f"beam_rule boolean, year_first boolean, tags array<string>, "
-           f"synonyms map<string,string>, rules array<struct<{_FIELD}>>")
+_ROUTE = ("prefix string, table_name string, style string, data_format int, year_first boolean, "
+          "width int")
+_RULES = ("rule_prefix string, duplicates string, beam_rule boolean, tags array<string>, "
+          f"synonyms map<string,string>, rules array<struct<{_FIELD}>>")
 
 
-def layout_frame(spark: SparkSession) -> DataFrame:
-    """The registered layouts, a row per prefix."""
+def route_frame(spark: SparkSession) -> DataFrame:
+    """Where each prefix goes; a row per registered layout."""
+    return spark.createDataFrame(
+        [(l.prefix, l.table, l.style, l.data_format, l.year_first, len(l.fields))
+         for l in L.layouts()], _ROUTE)
+
+
+def rule_frame(spark: SparkSession) -> DataFrame:
+    """The field rules; a row per registered layout."""
     rows = []
     for layout in L.layouts():
         rules = []
@@ -32,11 +41,10 @@ def layout_frame(spark: SparkSession) -> DataFrame:
             rules.append((f.name, f.kind, _num(f.lo), _num(f.hi), list(f.allowed) or None,
                           f.min_len, f.max_len, _num(store_lo), _num(store_hi),
                           list(f.store_allowed) or None))
-        rows.append((layout.prefix, layout.table, layout.style, layout.data_format,
-                     layout.duplicates, layout.beam_rule, layout.year_first,
+        rows.append((layout.prefix, layout.duplicates, layout.beam_rule,
                      [f.tag for f in layout.fields] if layout.fields[0].tag else None,
                      dict(layout.synonyms), rules))
-    return spark.createDataFrame(rows, _LAYOUT)
+    return spark.createDataFrame(rows, _RULES)
 
 
 def _num(x: float | None) -> float | None:
@@ -48,94 +56,48 @@ def parse_lines(
     line: str = "raw_sentence",
     strict: bool = False,
     sentinel_mode: str = "exact",
+    plain_first: bool = True,
 ) -> DataFrame:
     """Classify and parse lines; every input column is kept.
 
     Added columns: ``raw_sentence`` (as logged), ``record_type``, ``parse_status``,
     ``error_type``, ``error_message``, ``checksum``, ``checksum_expected``,
     ``checksum_valid``, ``table_name``, ``data_format``, ``year_first``, ``vals`` (field texts
-    in layout order), ``nums`` (their numbers) and ``payload`` (the array of a series).
-    Empty lines are dropped.  ``strict`` rejects wrong checksums; ``sentinel_mode``
-    ``le_minus_9`` treats every optional number of -9 or less as missing.
+    in layout order), ``nums`` (the numbers of numeric fields) and ``payload`` (the array of a
+    series).  Empty lines are dropped.  ``strict`` rejects wrong checksums; ``sentinel_mode``
+    ``le_minus_9`` treats every optional number of -9 or less as missing.  ``plain_first``
+    settles plain sentences by one pattern match; without it every line goes through the field
+    rules, with the same result.
     """
     if sentinel_mode not in ("exact", "le_minus_9"):
         raise ValueError(f"unknown sentinel_mode {sentinel_mode!r}")
     low = sentinel_mode == "le_minus_9"
+    spark = lines.sparkSession
     kept = [c for c in lines.columns if c != line]
 
-    step = lines.select(*kept, S.one_char_per_byte(line).alias("_text"))
-    step = step.select(*kept, "_text", S.is_binary("_text").alias("_binary"),
-                       S.has_non_ascii("_text").alias("_foreign"), S.strip("_text").alias("_s"))
-    step = step.where("_binary OR _foreign OR _s <> ''")
-
-    readable = ~F.col("_binary") & ~F.col("_foreign")
-    step = step.select(
-        *kept, "_binary", "_foreign",
-        F.when(readable, F.col("_s")).otherwise(S.readable("_text")).alias("_line"),
-        F.when(readable, S.prefix("_s")).alias("_prefix"))
-    spec = F.broadcast(layout_frame(lines.sparkSession))
-    step = step.join(spec, F.col("_prefix") == spec["prefix"], "left").drop("prefix")
+    step = _classified(lines, line, kept)
+    step = step.join(F.broadcast(route_frame(spark)), F.col("_prefix") == F.col("prefix"),
+                     "left").drop("prefix")
+    step = step.withColumn("_plain", _is_plain(low) if plain_first else F.lit(False))
+    # Plain lines need no rules: their key is NULL and finds none.
+    step = step.withColumn("_rule_key", F.when(~F.col("_plain"), F.col("_prefix")))
+    step = step.join(F.broadcast(rule_frame(spark)), F.col("_rule_key") == F.col("rule_prefix"),
+                     "left").drop("rule_prefix", "_rule_key")
 
     known = F.col("table_name").isNotNull()
+    step = step.withColumns({
+        "checksum": F.when(known, S.given_checksum("_line")),
+        "checksum_expected": F.when(known & F.col("_line").contains("*"), S.checksum("_line"))})
     step = with_once(
-        step,
-        _fields=F.when(known, S.split_fields("_line")),
-        checksum=F.when(known, S.given_checksum("_line")),
-        checksum_expected=F.when(known & F.col("_line").contains("*"), S.checksum("_line")))
-
-    rest = F.slice(F.col("_fields"), F.lit(2), F.greatest(F.size("_fields") - 1, F.lit(0)))
-    has_tag = F.exists(rest, lambda f: f.contains("="))
-    by_tag = (F.col("style") == L.TAGGED) | ((F.col("style") == L.EITHER) & has_tag)
-    step = with_once(step, _rest=rest, _by_tag=by_tag)
+        step, _got=F.when(F.col("_plain"), _plain_result()).when(known, _checked_result(low)))
 
-    # Tags, last occurrence first.
-    loose = F.col("style") == L.EITHER
-    pairs = F.when(loose, F.filter("_rest", lambda f: f.contains("="))).otherwise(F.col("_rest"))
-    raw_tag = lambda f: F.substring_index(f, "=", 1)
-    tag = lambda f: F.when(loose, raw_tag(f)).otherwise(F.upper(S.strip(raw_tag(f))))
-    text = lambda f: f.substr(F.length(raw_tag(f)) + 2, F.length(f))
-    step = with_once(
-        step,
-        _tags=F.when(F.col("_by_tag"), F.reverse(F.transform(pairs, tag))),
-        _texts=F.when(F.col("_by_tag"), F.reverse(F.transform(
-            pairs, lambda f: F.when(loose, text(f)).otherwise(S.strip(text(f)))))))
-    known_tags = F.transform(
-        "_tags", lambda t: F.coalesce(F.try_element_at("synonyms", t), t))
-    step = with_once(step, _known_tags=F.when(F.col("_by_tag"), known_tags))
-
-    width = F.size("rules")
-    by_position = F.slice(F.col("_rest"), F.lit(1), width)
-    vals = F.when(F.col("_by_tag"), F.transform(
-        "tags", lambda t: F.get("_texts", (F.array_position("_known_tags", t) - 1).cast("int")))
-    ).otherwise(by_position)
-    step = with_once(step, vals=F.when(known, vals))
-
-    step = with_once(step, _read=F.zip_with(
-        "vals", F.slice("rules", F.lit(1), F.size("vals")), lambda v, r: F.struct(
-            v.alias("v"), _reading(v, r, low).alias("n"), r.alias("r"))))
-
-    count = F.get("_read.n", F.size("rules") - 1)
-    have = F.size("_rest") - width
-    series_ok = (F.col("style") == L.SERIES) & count.between(1, 999) & (have >= count)
-    payload = F.transform(
-        F.slice(F.col("_rest"), width + 1, F.when(series_ok, count.cast("int")).otherwise(0)),
-        lambda v: S.optional_number(v, L.MISSING_MARKERS, low))
-    first = lambda problems: F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
-    step = with_once(
-        step,
-        nums=F.col("_read.n"),
-        payload=F.when(series_ok, payload),
-        _shape=F.when(known, _shape_problem(count, have)),
-        _rule=first(F.transform("_read", _field_problem)),
-        _store=first(F.transform("_read", _store_problem)))
-
-    beams = F.when(F.col("beam_rule"), _beam_problem())
-    refused = F.coalesce("_shape", "_rule", beams)
+    short_series = F.col("_plain") & (F.col("style") == L.SERIES) & F.col("_got.payload").isNull()
+    refused = F.coalesce(F.col("_got.refused"), F.when(
+        short_series, F.lit("Fewer values than announced")))
     wrong_sum = (F.col("checksum").isNotNull()
                  & (F.col("checksum") != F.col("checksum_expected")))
     error = (
-        F.when(F.col("_binary"), F.struct(
-            F.lit("BINARY_DATA").alias("type"), F.lit("Binary data").alias("text")))
+        F.when(F.col("_binary"), _error("BINARY_DATA", F.lit("Binary data")))
         .when(F.col("_foreign"), _error("DECODE_ERROR", F.lit("Line is not ASCII text")))
         .when(F.col("_prefix").isNull(), _error("PARSE_ERROR", F.when(
             F.col("_line").startswith("$"), F.lit("No comma in the line"))
@@ -146,8 +108,9 @@ def parse_lines(
         error = error.when(wrong_sum, _error("CHECKSUM_FAILED", F.concat(
             F.lit("Checksum is "), F.col("checksum"), F.lit(", expected "),
             F.col("checksum_expected"))))
-    error = error.when(F.col("_store").isNotNull(), _error("CONSTRAINT_VIOLATION", F.col("_store")))
-    step = with_once(step, _error=error)
+    error = error.when(F.col("_got.unstored").isNotNull(),
+                       _error("CONSTRAINT_VIOLATION", F.col("_got.unstored")))
+    step = step.withColumn("_error", error)
 
     ok = F.col("_error").isNull()
     return step.select(
@@ -161,54 +124,174 @@ def parse_lines(
         F.col("_error.text").alias("error_message"),
         "checksum", "checksum_expected",
         F.when(ok & F.col("checksum").isNotNull(), ~wrong_sum).alias("checksum_valid"),
-        "table_name", "data_format", "year_first", "vals", "nums", "payload")
+        "table_name", "data_format", "year_first",
+        F.col("_got.vals").alias("vals"), F.col("_got.nums").alias("nums"),
+        F.col("_got.payload").alias("payload"))
 
 
 def _error(kind: str | None, message: Column) -> Column:
     return F.struct(F.lit(kind).cast("string").alias("type"), message.alias("text"))
 
 
+# ------------------------------------------------------------------- lines and prefixes
+def _classified(lines: DataFrame, line: str, kept: list[str]) -> DataFrame:
+    """``_line`` as logged, ``_binary``, ``_foreign`` and ``_prefix``; no blank lines.
+
+    One search for anything but printable ASCII decides whether the bytes matter at all.
+    """
+    step = with_once(lines, _raw=F.col(line)) if line != "_raw" else lines
+    blank = F.col("_raw").rlike(r"^[ \t\n\r\x0b\x0c\x1c-\x1f]*$")
+    step = step.where(~(blank & ~S.is_binary(S.one_char_per_byte("_raw"))))
+    step = step.select(*kept, "_raw", F.col("_raw").rlike(r"[^\x20-\x7E]").alias("_odd"))
+    step = step.select(*kept, "_raw", "_odd", F.when(
+        F.col("_odd"), S.one_char_per_byte("_raw")).otherwise(F.col("_raw")).alias("_text"))
+    step = step.select(
+        *kept, "_text", "_odd",
+        (F.col("_odd") & S.is_binary("_text")).alias("_binary"),
+        (F.col("_odd") & S.has_non_ascii("_text")).alias("_foreign"))
+    step = step.select(
+        *kept, "_binary", "_foreign",
+        F.when(~F.col("_odd"), F.trim("_text"))
+        .when(F.col("_binary") | F.col("_foreign"), S.readable("_text"))
+        .otherwise(S.strip("_text")).alias("_line"))
+    head = F.substring_index("_line", ",", 1)
+    return step.select("*", F.when(
+        ~F.col("_binary") & ~F.col("_foreign") & S.is_sentence("_line"),
+        F.upper(F.substring(head, F.lit(2), F.length("_line")))).alias("_prefix"))
+
+
+# --------------------------------------------------------------------- plain sentences
+def _is_plain(low: bool) -> Column:
+    """Lines settled by the pattern of their layout."""
+    out = F.lit(False)
+    for layout in L.layouts():
+        optional = layout.style == L.SERIES or any(f.kind == L.OPT for f in layout.fields)
+        if low and optional:
+            continue  # the patterns know the exact markers only
+        out = F.when(F.col("_prefix") == layout.prefix,
+                     F.col("_line").rlike(line_pattern(layout))).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def _plain_result() -> Column:
+    """Fields of a plain sentence: split, tags and markers cut off, numbers cast as one array."""
+    text = F.substring_index("_line", "*", 1)
+    untagged = F.when(F.col("style") == L.TAGGED, F.regexp_replace(text, r",[A-Z0-9]+=", ","))
+    with_options = [l.prefix for l in L.layouts()
+                    if l.style == L.SERIES or any(f.kind == L.OPT for f in l.fields)]
+    unmarked = F.when(F.col("_prefix").isin(with_options), F.regexp_replace(
+        text, rf",(?:{MARKER})(?=,|$)", ","))
+    after_prefix = lambda t: F.split(F.substring(
+        t, F.length("_prefix") + 3, F.length(t)), ",")
+    width = F.col("width")
+
+    def result(texts: Column, numbers: Column) -> Column:
+        count = F.get(numbers, width - 1).cast("int")
+        series = (F.col("style") == L.SERIES) & (F.size(numbers) - width >= count)
+        return F.struct(
+            F.slice(texts, F.lit(1), width).alias("vals"),
+            F.slice(numbers, F.lit(1), width).alias("nums"),
+            F.when(series, F.slice(numbers, width + 1, count)).alias("payload"),
+            F.lit(None).cast("string").alias("refused"),
+            F.lit(None).cast("string").alias("unstored"))
+
+    return let(after_prefix(F.coalesce(untagged, text)), lambda texts: let(
+        F.when(unmarked.isNotNull(), after_prefix(unmarked)).otherwise(texts)
+        .try_cast("array<double>"), lambda numbers: result(texts, numbers)))
+
+
+# ------------------------------------------------------------------------- field rules
+def _checked_result(low: bool) -> Column:
+    """Every other sentence: fields by place or tag, and the first rule each one breaks."""
+    loose = F.col("style") == L.EITHER
+    raw_tag = lambda f: F.substring_index(f, "=", 1)
+    tag = lambda f: F.when(loose, raw_tag(f)).otherwise(F.upper(S.strip(raw_tag(f))))
+    text = lambda f: f.substr(F.length(raw_tag(f)) + 2, F.length(f))
+
+    def from_fields(fields: Column) -> Column:
+        rest = F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))
+        return let(rest, lambda r: from_rest(F.get(fields, F.lit(0)), r))
+
+    def from_rest(first: Column, rest: Column) -> Column:
+        tagged = (F.col("style") == L.TAGGED) | (
+            loose & F.exists(rest, lambda f: f.contains("=")))
+        return F.when(tagged, by_tag(first, rest)).otherwise(
+            read(first, rest, F.slice(rest, F.lit(1), F.col("width")), None))
+
+    def by_tag(first: Column, rest: Column) -> Column:
+        pairs = F.when(loose, F.filter(rest, lambda f: f.contains("="))).otherwise(rest)
+        found = F.reverse(F.transform(pairs, lambda f: F.struct(  # last occurrence first
+            tag(f).alias("raw"), F.coalesce(F.try_element_at("synonyms", tag(f)), tag(f)).alias("tag"),
+            F.when(loose, text(f)).otherwise(S.strip(text(f))).alias("v"))))
+        return let(found, lambda t: read(first, rest, F.transform("tags", lambda name: F.get(
+            t["v"], (F.array_position(t["tag"], name) - 1).cast("int"))), t))
+
+    def read(first: Column, rest: Column, vals: Column, tags: Column | None) -> Column:
+        read_one = lambda v, r: F.struct(
+            v.alias("v"), _reading(F.when(loose, S.strip(v)).otherwise(v), r, low).alias("n"),
+            r.alias("r"))
+        return let(vals, lambda v: let(
+            F.zip_with(v, F.slice("rules", F.lit(1), F.size(v)), read_one),
+            lambda read_fields: result(first, rest, v, read_fields, tags)))
+
+    def result(first, rest, vals, fields, tags) -> Column:
+        count = F.get(fields["n"], F.col("width") - 1)
+        have = F.size(rest) - F.col("width")
+        whole = (F.col("style") == L.SERIES) & count.between(1, 999) & (have >= count)
+        payload = F.transform(
+            F.slice(rest, F.col("width") + 1, F.when(whole, count.cast("int")).otherwise(0)),
+            lambda v: S.optional_number(v, L.MISSING_MARKERS, low))
+        first_of = lambda problems: F.get(
+            F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
+        return F.struct(
+            vals.alias("vals"), fields["n"].alias("nums"),
+            F.when(whole, payload).alias("payload"),
+            F.coalesce(_shape_problem(first, rest, count, have, tags),
+                       first_of(F.transform(fields, _field_problem)),
+                       F.when(F.col("beam_rule"), _beam_problem(fields["n"]))).alias("refused"),
+            first_of(F.transform(fields, _store_problem)).alias("unstored"))
+
+    return let(S.split_fields("_line"), from_fields)
+
+
 def _reading(v: Column, r: Column, low: bool) -> Column:
     return (F.when(r["kind"] == L.NUM, S.number(v))
             .when(r["kind"] == L.INT, S.whole_number(v))
             .when(r["kind"] == L.OPT, S.optional_number(v, L.MISSING_MARKERS, low)))
 
 
-def _shape_problem(count: Column, have: Column) -> Column:
+def _shape_problem(first: Column, rest: Column, count: Column, have: Column,
+                   tags: Column | None) -> Column:
     """Wrong prefix spelling, field count or tag set."""
-    size, need = F.size("_fields"), F.size("rules")
+    size, width = F.size(rest) + 1, F.col("width")
     style = F.col("style")
-    tag_dups = F.size(F.array_distinct("_tags")) < F.size("_tags")
-    known_tag = F.array_except("_known_tags", "tags")
-    lost_tag = F.array_except("tags", "_known_tags")
-    unread = F.exists(
-        F.arrays_zip(F.col("_known_tags").alias("t"), F.col("_texts").alias("v")),
-        lambda p: _reading(p["v"], _rule_of(p["t"]), False).isNull()
-        & (_rule_of(p["t"])["kind"] <= L.NUM))
-    tagged = (
-        F.when((style == L.TAGGED) & F.exists("_rest", lambda f: ~f.contains("=")),
+    text = lambda n: n.cast("bigint").cast("string")
+    spelled = F.when(first != F.concat(F.lit("$"), F.col("_prefix")),
+                     F.concat(F.lit("Invalid prefix: "), first))
+    if tags is None:
+        series = (
+            F.when(size < width + 2, F.concat(
+                F.lit("Expected at least "), text(width + 2), F.lit(" fields, got "), text(size)))
+            .when(count > have, F.concat(
+                F.lit("Expected "), text(count), F.lit(" values, got "), text(have))))
+        counted = F.when(size != width + 1, F.concat(
+            F.lit("Expected "), text(width + 1), F.lit(" fields, got "), text(size)))
+        return F.coalesce(spelled, F.when(style == L.SERIES, series).otherwise(counted))
+
+    repeated = F.size(F.array_distinct(tags["raw"])) < F.size(tags)
+    unknown = F.array_except(tags["tag"], F.col("tags"))
+    lost = F.array_except(F.col("tags"), tags["tag"])
+    unread = F.exists(tags, lambda p: (_rule_of(p["tag"])["kind"] <= L.NUM)
+                      & _reading(p["v"], _rule_of(p["tag"]), False).isNull())
+    return F.coalesce(spelled, (
+        F.when((style == L.TAGGED) & F.exists(rest, lambda f: ~f.contains("=")),
                F.lit("Tagged field without '='"))
-        .when((F.col("duplicates") == L.DUP_ERROR) & tag_dups, F.lit("Duplicate tag"))
-        .when((style == L.TAGGED) & (F.size(known_tag) > 0),
-              F.concat(F.lit("Unknown tags: "), F.array_join(known_tag, ", ")))
-        .when(F.size(lost_tag) > 0,
-              F.concat(F.lit("Missing tags: "), F.array_join(lost_tag, ", ")))
-        .when((F.col("duplicates") == L.DUP_EACH) & tag_dups & unread,
-              F.lit("Unreadable repeated tag")))
-    counted = F.when(size != need + 1, F.concat(
-        F.lit("Expected "), (need + 1).cast("string"), F.lit(" fields, got "), size.cast("string")))
-    series = (
-        F.when(size < need + 2, F.concat(
-            F.lit("Expected at least "), (need + 2).cast("string"), F.lit(" fields, got "),
-            size.cast("string")))
-        .when(count > have, F.concat(
-            F.lit("Expected "), count.cast("bigint").cast("string"), F.lit(" values, got "),
-            have.cast("string"))))
-    return (F.when(F.get("_fields", F.lit(0)) != F.concat(F.lit("$"), F.col("_prefix")),
-                   F.concat(F.lit("Invalid prefix: "), F.get("_fields", F.lit(0))))
-            .when(F.col("_by_tag"), tagged)
-            .when(style == L.SERIES, series)
-            .otherwise(counted))
+        .when((F.col("duplicates") == L.DUP_ERROR) & repeated, F.lit("Duplicate tag"))
+        .when((style == L.TAGGED) & (F.size(unknown) > 0),
+              F.concat(F.lit("Unknown tags: "), F.array_join(unknown, ", ")))
+        .when(F.size(lost) > 0, F.concat(F.lit("Missing tags: "), F.array_join(lost, ", ")))
+        .when((F.col("duplicates") == L.DUP_EACH) & repeated & unread,
+              F.lit("Unreadable repeated tag"))))
 
 
 def _rule_of(tag: Column) -> Column:
@@ -223,7 +306,6 @@ def _field_problem(r: Column) -> Column:
     """Form, range and choice of one field; NULL where it is fine."""
     v, n, rule = r["v"], r["n"], r["r"]
     kind = rule["kind"]
-    is_number = kind <= L.OPT
     whole = n.cast("decimal(38,0)").cast("string")
     number_problem = (
         F.when(n.isNull() & (kind != L.OPT), _says(r, "is not a number", v))
@@ -241,7 +323,7 @@ def _field_problem(r: Column) -> Column:
         .when(rule["allowed"].isNotNull(), ~F.array_contains(
             rule["allowed"], F.when(kind == L.UPPER, F.upper(v)).otherwise(v))))
     return (F.when(v.isNull(), F.concat(rule["name"], F.lit(" is missing")))
-            .when(is_number, number_problem)
+            .when(kind <= L.OPT, number_problem)
             .when(wrong_form, _says(r, "is invalid", v)))
 
 
@@ -255,8 +337,8 @@ def _store_problem(r: Column) -> Column:
         _says(r, "is not accepted by its table", r["v"]))
 
 
-def _beam_problem() -> Column:
-    code, beams = F.get("_read.n", F.lit(0)), F.get("_read.n", F.lit(2))
+def _beam_problem(nums: Column) -> Column:
+    code, beams = F.get(nums, F.lit(0)), F.get(nums, F.lit(2))
     fits = F.when(code == 4, beams == 4).otherwise(beams.between(1, 3))
     return F.when(~fits, F.concat(
         F.lit("beam_count does not suit the instrument: "), beams.cast("int").cast("string")))
