@@ -246,10 +246,14 @@ def register_lake_views(spark: SparkSession, base: str, prefix: str = "view_",
 
 def stale_writes(spark: SparkSession, base: str, as_of: datetime) -> DataFrame:
     """Unfinished files by age; one whose finished twin exists is complete."""
-    open_files = list_files(spark, base, UNFINISHED)
-    finished = list_files(spark, base, "*.parquet").select(F.col("path").alias("final_path"))
-    rows = open_files.withColumn("final_path", F.regexp_replace("path", r"\.writing$", ""))
-    rows = rows.join(finished.withColumn("_done", F.lit(True)), "final_path", "left")
+    return file_ages(list_files(spark, base, UNFINISHED), list_files(spark, base, "*.parquet"), as_of)
+
+
+def file_ages(unfinished: DataFrame, finished: DataFrame, as_of: datetime) -> DataFrame:
+    """State of each unfinished file, from two file listings."""
+    twins = finished.select(F.col("path").alias("final_path"), F.lit(True).alias("_done"))
+    rows = unfinished.withColumn("final_path", F.regexp_replace("path", r"\.writing$", ""))
+    rows = rows.join(twins, "final_path", "left")
     age = F.lit(as_of.timestamp()) - F.unix_micros("modificationTime") / 1e6
     return rows.select(
         "path", age.alias("age_seconds"),

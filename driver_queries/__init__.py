@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("tabular", "spectral", "sentences")
+_MODULES = ("tabular", "spectral", "sentences", "stores")
 
 
 def _load() -> None:
