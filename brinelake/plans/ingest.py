@@ -43,8 +43,7 @@ def with_headers(parsed: DataFrame, chunk: list[str], order: list[str],
     Lines before the first header of their stream have no time and become
     CONSTRAINT_VIOLATION rows.
     """
-    averaged = F.coalesce(F.col("record_type").isin(
-        *scans.HEADER_TYPES, *scans.CARRIED_TYPES), F.lit(False))
+    averaged = F.coalesce(F.col("table_name").isin("pnorh", "pnors34", "pnorc34"), F.lit(False))
     done = scans.attach_headers(parsed.where(averaged), STREAM, chunk, order, initial=initial)
     lost = (F.col("record_type").isin(*scans.CARRIED_TYPES) & (F.col("parse_status") == "OK")
             & F.col("carried_date").isNull())
@@ -57,20 +56,42 @@ def with_headers(parsed: DataFrame, chunk: list[str], order: list[str],
     return done.unionByName(parsed.where(~averaged), allowMissingColumns=True)
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
+def stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write a frame once and go on from the written table.
 
     Every output reads it instead of parsing again, and a lost executor costs nothing that
-    was parsed before.
+    was parsed before.  ``by`` keeps the rows of each table in a folder of their own.
     """
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def outputs(parsed: DataFrame) -> dict[str, DataFrame]:
+def present_tables(staged: DataFrame) -> set[str]:
+    """Tables with accepted rows; at most as many names as there are layouts."""
+    rows = staged.where("parse_status = 'OK' AND table_name IS NOT NULL").select(
+        "table_name").distinct()
+    return {r.table_name for r in rows.toLocalIterator()}
+
+
+def outputs(parsed: DataFrame, only: set[str] | None = None) -> dict[str, DataFrame]:
     """A1-A3: raw lines, errors and typed tables of one (staged) parsed frame."""
-    return {"raw_lines": parse.raw_lines(parsed), "parse_errors": parse.parse_errors(parsed),
-            **parse.typed_tables(parsed)}
+    typed = {t: parse.typed_table(parsed, t) for t in L.tables() if only is None or t in only}
+    return {"raw_lines": parse.raw_lines(parsed), "parse_errors": parse.parse_errors(parsed), **typed}
+
+
+def dated(parsed: DataFrame, staging: str, blobs: DataFrame | None = None,
+          initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Parsed lines with carried headers, staged by table; and the averaged-format rows among
+    them, if there are any, from which the header state is taken."""
+    averaged_tables = [t for t in L.tables() if t in ("pnorh", "pnors34", "pnorc34")]
+    averaged = parsed.where(F.col("table_name").isin(averaged_tables))
+    has_averaged = not averaged.isEmpty()
+    out = with_headers(parsed, LINE_CHUNK, LINE_ORDER, initial) if has_averaged else parsed
+    if blobs is not None:
+        out = out.unionByName(blobs, allowMissingColumns=True)
+    staged = stage(out, staging, by="table_name")
+    return staged, staged.where(F.col("table_name").isin(averaged_tables)) if has_averaged else None
 
 
 def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
@@ -85,13 +106,10 @@ def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
         index = scans.blob_index(rows, "raw_sentence", member, STREAM, LINE_CHUNK, LINE_ORDER)
         blobs = blob_rows(index.withColumn("received_at", F.col("started_at")))
         lines = rows.where(~member).drop("_text")
-    parsed = parse.parse_lines(lines, strict=strict)
-    parsed = stage(parsed, f"{staging.rstrip('/')}/parsed")
-    parsed = with_headers(parsed, LINE_CHUNK, LINE_ORDER)
-    if blobs is not None:
-        parsed = parsed.unionByName(blobs, allowMissingColumns=True)
-    parsed = stage(parsed, f"{staging.rstrip('/')}/dated")
-    tables = outputs(parsed)
+    parsed = stage(parse.parse_lines(lines, strict=strict), f"{staging.rstrip('/')}/parsed",
+                   by="table_name")
+    staged, _ = dated(parsed, f"{staging.rstrip('/')}/dated", blobs)
+    tables = outputs(staged, present_tables(staged))
     for name, df in tables.items():
         lake.write_lake(df, base, L.LAKE_TYPES.get(name, name.upper()), mode)
     return tables

@@ -56,18 +56,21 @@ class LineIngest:
         blobs = None
         if self.assemble_blobs:
             lines, blobs = self._blobs(spark, lines, batch_id)
-        parsed = I.stage(parse.parse_lines(lines, strict=self.strict), f"{work}/parsed")
+        parsed = I.stage(parse.parse_lines(lines, strict=self.strict), f"{work}/parsed",
+                         by="table_name")
 
         known = self._state(spark, "headers", batch_id)
-        dated = I.with_headers(parsed, LINE_CHUNK, LINE_ORDER, initial=known)
-        dated = I.stage(dated, f"{work}/dated")
-        averaged = dated.where(F.col("record_type").isin(*scans.HEADER_TYPES, *scans.CARRIED_TYPES))
-        scans.header_state(averaged, I.STREAM, LINE_CHUNK, LINE_ORDER, known).coalesce(1).write.mode(
-            "overwrite").parquet(self._state_path("headers", batch_id))
-
-        if blobs is not None:
-            dated = dated.unionByName(blobs, allowMissingColumns=True)
-        for name, df in I.outputs(dated).items():
+        staged, averaged = I.dated(parsed, f"{work}/dated", blobs, known)
+        if averaged is not None:
+            state = scans.header_state(averaged, I.STREAM, LINE_CHUNK, LINE_ORDER, known)
+        elif known is not None:
+            state = known
+        else:
+            state = spark.createDataFrame([], "stream_id string, carried_date string, carried_time"
+                                              " string, carried_status string, cells_since_header int")
+        state.coalesce(1).write.mode("overwrite").parquet(self._state_path("headers", batch_id))
+
+        for name, df in I.outputs(staged, I.present_tables(staged)).items():
             self._write(df, L.LAKE_TYPES.get(name, name.upper()), batch_id)
 
     def _blobs(self, spark: SparkSession, lines: DataFrame, batch_id: int):
@@ -134,10 +137,7 @@ def ingest_health(raw: DataFrame, errors: DataFrame, as_of: datetime,
     failed = errors.agg(F.count(F.lit(1)).alias("errors")).scalar()
     return lines.select(
         "total_lines", "last_minute", "last_5_minutes", failed.alias("error_count"), "newest",
-        F.timestamp_diff("SECOND", F.col("newest"), now).alias("age_seconds")
-        if hasattr(F, "timestamp_diff") else
-        F.expr(f"timestampdiff(SECOND, newest, TIMESTAMP_NTZ'{as_of.isoformat(sep=' ')}')")
-        .alias("age_seconds"))
+        F.timestamp_diff("SECOND", F.col("newest"), now).alias("age_seconds"))
 
 
 def progress(query: StreamingQuery) -> dict:

@@ -183,6 +183,18 @@ SELECT event_id AS line_no, user_id % 8 AS stream_id,
  CASE event_id % 9 WHEN 0 THEN 'PNORH3' WHEN 1 THEN 'PNORS3' WHEN 5 THEN 'PNORH4' ELSE 'PNORC3' END AS record_type,
  {YMD:ts} AS d, {HMS:ts} AS t, lpad(CAST(event_id % 1000 AS {STR}), 8, '0') AS s
 FROM {t:events}""",
+    # The same as sentences; the speed of a cell tells the event it came from.
+    "burst_lines": """
+SELECT line_no, stream_id, '$' || CASE record_type
+ WHEN 'PNORH3' THEN 'PNORH3,DATE=' || d || ',TIME=' || t || ',EC=0,SC=' || s
+ WHEN 'PNORH4' THEN 'PNORH4,' || d || ',' || t || ',0,' || s
+ WHEN 'PNORS3' THEN 'PNORS3,BV=22.9,SS=1546.1,H=151.1,PI=-12.0,R=-5.2,P=705.669,T=24.96'
+ ELSE 'PNORC3,CP=1.5,SP=' || CAST(line_no % 1000000 {IDIV} 10000 AS {STR}) || '.' ||
+  lpad(CAST(line_no % 10000 AS {STR}), 4, '0') || ',DIR=10.0,AA=5,AC=50' END AS raw_sentence
+FROM {f:bursts34}""",
+    "byte_lines": """
+SELECT line_no, stream_id, is_bin, CASE WHEN is_bin THEN repeat(chr(1), 9) || chr(228) ELSE '$PNORX,' END || raw_sentence AS raw_sentence
+FROM {f:blob_lines}""",
     # Binary and text lines in arrival order.
     "blob_lines": """
 SELECT event_id AS line_no, user_id % 8 AS stream_id, ts AS received_at,

@@ -14,16 +14,14 @@ from brinelake.operators import filters as K
 from brinelake.operators import metadata as C
 from brinelake.operators import scans
 from brinelake.plans import ingest as I
-from brinelake.plans import parse as P
 from brinelake.plans import upgrade as M
 from brinelake.plans import views as V
 from brinelake.session import fresh_folder
 from brinelake.sources import lake
 from brinelake.sources.lines import number_lines, read_lines, stream_lines
 from brinelake.streaming import live
-from driver_queries import sentence_lines as SL
-from driver_queries.frames import duck
-from driver_queries.registry import ORACLES, query, rounded
+from driver_queries.registry import query, rounded
+from driver_queries.tabular import CARRIED_SQL
 
 NOON = datetime(2024, 1, 15, 12)
 
@@ -377,6 +375,39 @@ def _(f):
     return rounded(done.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "value"), 4)
 
 
+def _two_batches(f, rows) -> live.LineIngest:
+    """Lines as two landings per stream, streamed in two batches with a restart between them."""
+    source, base, state = (fresh_folder(f.spark, n) for n in ("landing", "live", "state"))
+    middle = rows.agg(F.percentile_approx("line_no", 0.5).alias("m")).scalar()
+    job = live.LineIngest(base)
+    for part in (rows.where(F.col("line_no") < middle), rows.where(F.col("line_no") >= middle)):
+        part.repartition("stream_id").sortWithinPartitions("stream_id", "line_no").select(
+            "stream_id", "raw_sentence").write.mode("append").partitionBy("stream_id").text(source)
+        lines = stream_lines(f.spark, source, _stream_of(), 1000, "*.txt")
+        job.start(lines, state, available_now=True).awaitTermination()
+    return job
+
+
+@query("r04_blobs_over_batches", "byte_lines", """SELECT CAST(stream_id AS VARCHAR) AS stream_id, count(*) AS blobs, CAST(sum(b) AS BIGINT) AS bytes FROM (
+ SELECT stream_id, g, sum(strlen(raw_sentence)) AS b FROM (SELECT *, count(*) FILTER (WHERE NOT is_bin) OVER (PARTITION BY stream_id ORDER BY line_no) AS g FROM byte_lines)
+ WHERE is_bin GROUP BY 1, 2) GROUP BY 1""")
+def _(f):
+    job = _two_batches(f, f.byte_lines)
+    errors = f.spark.read.parquet(f"{job.base}/PARSE_ERRORS").where("error_type = 'BINARY_DATA'").groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("blobs"))
+    parts = f.spark.read.parquet(f"{job.base}/BLOBS").groupBy("stream_id").agg(F.sum("byte_count").cast("bigint").alias("bytes"))
+    return errors.join(parts, "stream_id").select("stream_id", "blobs", "bytes")
+
+
+@query("r05_headers_over_batches", "bursts34", f"""SELECT CAST(stream_id AS VARCHAR) AS stream_id, line_no, carried_date AS measurement_date,
+ carried_time AS measurement_time, cell_index FROM ({CARRIED_SQL}) WHERE record_type = 'PNORC3' AND carried_date IS NOT NULL""")
+def _(f):
+    job = _two_batches(f, f.burst_lines)
+    cells = f.spark.read.parquet(f"{job.base}/PNORC34")
+    return cells.select("stream_id", F.round(F.col("speed") * 10000).cast("bigint").alias("line_no"), "measurement_date",
+                        "measurement_time", F.col("cell_index").cast("int").alias("cell_index"))
+
+
 @query("r06_health", "raw errors", """SELECT count(*) AS total_lines, count(*) FILTER (WHERE received_at > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '1 minute') AS last_minute,
  count(*) FILTER (WHERE received_at > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '5 minutes') AS last_5_minutes,
  (SELECT count(*) FROM errors) AS error_count, max(received_at) AS newest FROM raw""")

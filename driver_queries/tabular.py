@@ -463,14 +463,17 @@ def _(f):
 
 
 # ----------------------------------------------------------------------------- W: windows
-@query("w01_header_carry", "bursts34", """SELECT line_no, record_type, carried_date, carried_time, carried_status,
+CARRIED_SQL = """SELECT line_no, stream_id, record_type, carried_date, carried_time, carried_status,
  CASE WHEN record_type = 'PNORC3' THEN CAST(count(*) FILTER (WHERE record_type = 'PNORC3')
   OVER (PARTITION BY stream_id, g ORDER BY line_no) AS INT) END AS cell_index
  FROM (SELECT *, last_value(CASE WHEN h THEN d END IGNORE NULLS) OVER w AS carried_date,
   last_value(CASE WHEN h THEN t END IGNORE NULLS) OVER w AS carried_time,
   last_value(CASE WHEN h THEN s END IGNORE NULLS) OVER w AS carried_status, count(*) FILTER (WHERE h) OVER w AS g
   FROM (SELECT *, record_type IN ('PNORH3', 'PNORH4') AS h FROM bursts34)
-  WINDOW w AS (PARTITION BY stream_id ORDER BY line_no))""")
+  WINDOW w AS (PARTITION BY stream_id ORDER BY line_no))"""
+
+
+@query("w01_header_carry", "bursts34", f"SELECT * EXCLUDE (stream_id) FROM ({CARRIED_SQL})")
 def _(f):
     rows = f.bursts34.withColumn("chunk", scans.line_chunk("line_no", 512))
     out = scans.attach_headers(
