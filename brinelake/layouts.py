@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 # How the text of one field is read.
 INT, NUM, OPT, TEXT, UPPER, DATE_M, DATE_Y, TIME, HEX, HEAD, HEAD_N = range(11)
@@ -52,9 +53,10 @@ class FieldSpec:
         if lo is None or hi is None:
             return lo, hi
         if step:  # half-up rounding: hi + step/2 already rounds past hi
-            above = math.nextafter(hi + step / 2, -math.inf)
-            below = lo - step / 2 if lo > 0 else math.nextafter(lo - step / 2, math.inf)
-            return below, above
+            half = Decimal(str(step)) / 2
+            above = math.nextafter(float(Decimal(str(hi)) + half), -math.inf)
+            below = float(Decimal(str(lo)) - half)
+            return (below if lo > 0 else math.nextafter(below, math.inf)), above
         return lo, hi
 
 
@@ -310,15 +312,25 @@ ERROR_FILE_TYPES = ("PNORI", "PNORS", "PNORC", "PNORH", "PNORW", "PNORB", "PNORE
 # ------------------------------------------------------------------- end of fixed values
 
 _registry: dict[str, Layout] = {layout.prefix: layout for layout in _LAYOUTS}
+_version = 0
 
 
 def register_layout(layout: Layout) -> None:
-    """Add or replace the layout of one prefix."""
+    """V1: add or replace the layout of one prefix."""
+    global _version
     _registry[layout.prefix.upper()] = replace(layout, prefix=layout.prefix.upper())
+    _version += 1
 
 
 def unregister_layout(prefix: str) -> None:
+    global _version
     _registry.pop(prefix.upper(), None)
+    _version += 1
+
+
+def version() -> int:
+    """Changes whenever the set of layouts does."""
+    return _version
 
 
 def layouts() -> list[Layout]:

@@ -78,7 +78,8 @@ def parse_lines(
     step = _classified(lines, line, kept)
     step = step.join(F.broadcast(route_frame(spark)), F.col("_prefix") == F.col("prefix"),
                      "left").drop("prefix")
-    step = step.withColumn("_plain", _is_plain(low) if plain_first else F.lit(False))
+    plain, plain_result, checked_result = _expressions(spark, low)
+    step = step.withColumn("_plain", plain if plain_first else F.lit(False))
     # Plain lines need no rules: their key is NULL and finds none.
     step = step.withColumn("_rule_key", F.when(~F.col("_plain"), F.col("_prefix")))
     step = step.join(F.broadcast(rule_frame(spark)), F.col("_rule_key") == F.col("rule_prefix"),
@@ -89,7 +90,7 @@ def parse_lines(
         "checksum": F.when(known, S.given_checksum("_line")),
         "checksum_expected": F.when(known & F.col("_line").contains("*"), S.checksum("_line"))})
     step = with_once(
-        step, _got=F.when(F.col("_plain"), _plain_result()).when(known, _checked_result(low)))
+        step, _got=F.when(F.col("_plain"), plain_result).when(known, checked_result))
 
     short_series = F.col("_plain") & (F.col("style") == L.SERIES) & F.col("_got.payload").isNull()
     refused = F.coalesce(F.col("_got.refused"), F.when(
@@ -129,6 +130,19 @@ def parse_lines(
         F.col("_got.payload").alias("payload"))
 
 
+_built: dict[tuple, tuple[Column, Column, Column]] = {}
+
+
+def _expressions(spark: SparkSession, low: bool) -> tuple[Column, Column, Column]:
+    """The long expressions, built once per application and set of layouts: a stream would
+    otherwise spend seconds per batch on putting the same text together."""
+    key = (spark.sparkContext.applicationId, L.version(), low)
+    if key not in _built:
+        _built.clear()
+        _built[key] = (_is_plain(low), _plain_result(), _checked_result(low))
+    return _built[key]
+
+
 def _error(kind: str | None, message: Column) -> Column:
     return F.struct(F.lit(kind).cast("string").alias("type"), message.alias("text"))
 
@@ -215,24 +229,22 @@ def _checked_result(low: bool) -> Column:
     def from_rest(first: Column, rest: Column) -> Column:
         tagged = (F.col("style") == L.TAGGED) | (
             loose & F.exists(rest, lambda f: f.contains("=")))
-        return F.when(tagged, by_tag(first, rest)).otherwise(
-            read(first, rest, F.slice(rest, F.lit(1), F.col("width")), None))
-
-    def by_tag(first: Column, rest: Column) -> Column:
         pairs = F.when(loose, F.filter(rest, lambda f: f.contains("="))).otherwise(rest)
         found = F.reverse(F.transform(pairs, lambda f: F.struct(  # last occurrence first
             tag(f).alias("raw"), F.coalesce(F.try_element_at("synonyms", tag(f)), tag(f)).alias("tag"),
             F.when(loose, text(f)).otherwise(S.strip(text(f))).alias("v"))))
-        return let(found, lambda t: read(first, rest, F.transform("tags", lambda name: F.get(
-            t["v"], (F.array_position(t["tag"], name) - 1).cast("int"))), t))
+        return let(F.when(tagged, found), lambda t: let(
+            F.when(t.isNotNull(), F.transform("tags", lambda name: F.get(
+                t["v"], (F.array_position(t["tag"], name) - 1).cast("int"))))
+            .otherwise(F.slice(rest, F.lit(1), F.col("width"))),
+            lambda vals: read(first, rest, vals, t)))
 
-    def read(first: Column, rest: Column, vals: Column, tags: Column | None) -> Column:
+    def read(first: Column, rest: Column, vals: Column, tags: Column) -> Column:
         read_one = lambda v, r: F.struct(
             v.alias("v"), _reading(F.when(loose, S.strip(v)).otherwise(v), r, low).alias("n"),
             r.alias("r"))
-        return let(vals, lambda v: let(
-            F.zip_with(v, F.slice("rules", F.lit(1), F.size(v)), read_one),
-            lambda read_fields: result(first, rest, v, read_fields, tags)))
+        return let(F.zip_with(vals, F.slice("rules", F.lit(1), F.size(vals)), read_one),
+                   lambda fields: result(first, rest, vals, fields, tags))
 
     def result(first, rest, vals, fields, tags) -> Column:
         count = F.get(fields["n"], F.col("width") - 1)
@@ -261,29 +273,27 @@ def _reading(v: Column, r: Column, low: bool) -> Column:
 
 
 def _shape_problem(first: Column, rest: Column, count: Column, have: Column,
-                   tags: Column | None) -> Column:
+                   tags: Column) -> Column:
     """Wrong prefix spelling, field count or tag set."""
     size, width = F.size(rest) + 1, F.col("width")
     style = F.col("style")
     text = lambda n: n.cast("bigint").cast("string")
     spelled = F.when(first != F.concat(F.lit("$"), F.col("_prefix")),
                      F.concat(F.lit("Invalid prefix: "), first))
-    if tags is None:
-        series = (
-            F.when(size < width + 2, F.concat(
-                F.lit("Expected at least "), text(width + 2), F.lit(" fields, got "), text(size)))
-            .when(count > have, F.concat(
-                F.lit("Expected "), text(count), F.lit(" values, got "), text(have))))
-        counted = F.when(size != width + 1, F.concat(
-            F.lit("Expected "), text(width + 1), F.lit(" fields, got "), text(size)))
-        return F.coalesce(spelled, F.when(style == L.SERIES, series).otherwise(counted))
+    series = (
+        F.when(size < width + 2, F.concat(
+            F.lit("Expected at least "), text(width + 2), F.lit(" fields, got "), text(size)))
+        .when(count > have, F.concat(
+            F.lit("Expected "), text(count), F.lit(" values, got "), text(have))))
+    counted = F.when(size != width + 1, F.concat(
+        F.lit("Expected "), text(width + 1), F.lit(" fields, got "), text(size)))
 
     repeated = F.size(F.array_distinct(tags["raw"])) < F.size(tags)
     unknown = F.array_except(tags["tag"], F.col("tags"))
     lost = F.array_except(F.col("tags"), tags["tag"])
     unread = F.exists(tags, lambda p: (_rule_of(p["tag"])["kind"] <= L.NUM)
                       & _reading(p["v"], _rule_of(p["tag"]), False).isNull())
-    return F.coalesce(spelled, (
+    tagged = (
         F.when((style == L.TAGGED) & F.exists(rest, lambda f: ~f.contains("=")),
                F.lit("Tagged field without '='"))
         .when((F.col("duplicates") == L.DUP_ERROR) & repeated, F.lit("Duplicate tag"))
@@ -291,7 +301,9 @@ def _shape_problem(first: Column, rest: Column, count: Column, have: Column,
               F.concat(F.lit("Unknown tags: "), F.array_join(unknown, ", ")))
         .when(F.size(lost) > 0, F.concat(F.lit("Missing tags: "), F.array_join(lost, ", ")))
         .when((F.col("duplicates") == L.DUP_EACH) & repeated & unread,
-              F.lit("Unreadable repeated tag"))))
+              F.lit("Unreadable repeated tag")))
+    return F.coalesce(spelled, F.when(tags.isNotNull(), tagged)
+                      .when(style == L.SERIES, series).otherwise(counted))
 
 
 def _rule_of(tag: Column) -> Column:
