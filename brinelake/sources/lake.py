@@ -26,27 +26,23 @@ def with_day(df: DataFrame, ts: str = "received_at") -> DataFrame:
     return df.withColumn("date", F.to_date(F.col(ts)))
 
 
-def spread(df: DataFrame, keys: list[str], files_per_key: int, by: list[str] | None = None) -> DataFrame:
-    """Shuffle for a partitioned write: a day goes to at most ``files_per_key`` tasks.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle for a partitioned write: rows of one folder together, in pieces of even size.
 
-    Without the salt one task would write a whole day of the busiest type.
+    The adaptive rebalance cuts a folder that holds very many rows (a busy day, one type with
+    a third of everything) over many tasks and puts small folders together, by the sizes it
+    sees, so no number of files has to be guessed.
     """
-    if files_per_key <= 1:
-        return df.repartition(*[F.col(k) for k in keys])
-    source = [F.col(c) for c in (by or df.columns) if c not in keys]
-    salt = F.pmod(F.xxhash64(*source), F.lit(files_per_key))
-    return df.withColumn("_salt", salt).repartition(*[F.col(k) for k in keys], "_salt").drop("_salt")
+    return df.hint("rebalance", *keys)
 
 
 def write_lake(df: DataFrame, base: str, record_type: str, mode: str = "append",
-               files_per_day: int = 8, ts: str = "received_at") -> None:
+               ts: str = "received_at") -> None:
     """A4: one type, by day of receipt, sorted for row-group skipping.
 
     The commit protocol of the writer makes the files appear together or not at all.
     """
-    rows = with_day(df, ts)
-    key = [c for c in ("record_id", "line_id", "config_id") if c in rows.columns] or [ts]
-    rows = spread(rows, ["date"], files_per_day, key)
+    rows = spread(with_day(df, ts), "date")
     inner = [c for c in (ts, "cell_index") if c in rows.columns]
     rows.sortWithinPartitions("date", *inner).write.mode(mode).partitionBy("date").parquet(
         f"{base.rstrip('/')}/{record_type}")
@@ -64,12 +60,10 @@ def bulk_export(tables: dict[str, DataFrame], base: str, mode: str = "append") -
     return row_counts(done)
 
 
-def write_by_month(df: DataFrame, path: str, mode: str = "append", ts: str = "received_at",
-                   files_per_month: int = 32) -> None:
+def write_by_month(df: DataFrame, path: str, mode: str = "append", ts: str = "received_at") -> None:
     """Month slices."""
     rows = df.withColumn("month", F.date_format(F.col(ts), "yyyy-MM"))
-    key = [c for c in ("record_id", "line_id", "config_id") if c in rows.columns] or [ts]
-    spread(rows, ["month"], files_per_month, key).write.mode(mode).partitionBy("month").parquet(path)
+    spread(rows, "month").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -83,19 +77,13 @@ def write_records(tables: dict[str, DataFrame], base: str, mode: str = "append")
         write_lake(df, base, L.LAKE_TYPES.get(name, name.upper()), mode)
 
 
-def write_line_files(lines: DataFrame, path: str, mode: str = "append", files_per_day: int = 4,
-                     ts: str = "received_at", order: list[str] | None = None) -> None:
-    """Lines back to text files by type and day.
-
-    Rows without order columns keep no order; with them every file is in order, and split by
-    time so that names follow time as well.
-    """
+def write_line_files(lines: DataFrame, path: str, mode: str = "append", ts: str = "received_at",
+                     order: list[str] | None = None) -> None:
+    """Lines back to text files by type and day, each file in order of ``order``."""
     rows = lines.where(F.col("record_type").isNotNull()).withColumn(
         "day", F.date_format(F.col(ts), "yyyyMMdd"))
-    key = order or [ts]
-    rows = spread(rows, ["record_type", "day"], files_per_day, [*key, "raw_sentence"])
-    rows.sortWithinPartitions("record_type", "day", *key).select(
-        "record_type", "day", "raw_sentence").write.mode(mode).partitionBy(
+    rows = spread(rows, "record_type", "day").sortWithinPartitions("record_type", "day", *(order or [ts]))
+    rows.select("record_type", "day", "raw_sentence").write.mode(mode).partitionBy(
         "record_type", "day").text(path)
 
 
@@ -105,23 +93,21 @@ def error_bucket(record_type: Column | str = "record_type") -> Column:
     return F.when(c.isin(*L.ERROR_FILE_TYPES), F.concat(c, F.lit("_error"))).otherwise(F.lit("ERROR"))
 
 
-def write_error_files(errors: DataFrame, path: str, mode: str = "append", files_per_day: int = 2,
+def write_error_files(errors: DataFrame, path: str, mode: str = "append",
                       record_type: str = "attempted_prefix", ts: str = "received_at") -> None:
     """Rejected lines by bucket and day."""
     rows = errors.select(error_bucket(record_type).alias("bucket"),
                          F.date_format(F.col(ts), "yyyyMMdd").alias("day"), "raw_sentence")
-    spread(rows, ["bucket", "day"], files_per_day).write.mode(mode).partitionBy(
-        "bucket", "day").text(path)
+    spread(rows, "bucket", "day").write.mode(mode).partitionBy("bucket", "day").text(path)
 
 
 def write_blobs(parts: DataFrame, path: str, mode: str = "append") -> None:
     """Blob parts (``scans.blob_parts``); ordered by chunk and part they are the blob."""
-    rows = parts
-    if "started_at" in parts.columns:
-        rows = rows.withColumn("date", F.to_date("started_at"))
-        rows.write.mode(mode).partitionBy("date").parquet(path)
-    else:
-        rows.write.mode(mode).parquet(path)
+    if "started_at" not in parts.columns:
+        parts.write.mode(mode).parquet(path)
+        return
+    rows = spread(parts.withColumn("date", F.to_date("started_at")), "date")
+    rows.write.mode(mode).partitionBy("date").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

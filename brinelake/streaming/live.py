@@ -43,9 +43,7 @@ class LineIngest:
 
     def _write(self, df: DataFrame, folder: str, batch_id: int) -> None:
         rows = lake.with_day(df, "received_at").withColumn("batch_id", F.lit(batch_id))
-        key = [c for c in ("line_id", "run_no") if c in rows.columns] or ["received_at"]
-        rows = lake.spread(rows, ["date"], 4, key)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        lake.spread(rows, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "date", "batch_id").parquet(f"{self.base}/{folder}")
 
     # ------------------------------------------------------------------------------ batch

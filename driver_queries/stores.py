@@ -211,7 +211,7 @@ def _(f):
 @query("a12_month_slices", "", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
 def _(f):
     path = fresh_folder(f.spark, "months")
-    lake.write_by_month(f.table("orders"), path, ts="o_orderdate", files_per_month=1)
+    lake.write_by_month(f.table("orders"), path, ts="o_orderdate")
     return f.spark.read.option("recursiveFileLookup", False).parquet(path).groupBy(
         F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
