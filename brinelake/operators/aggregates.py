@@ -12,6 +12,15 @@ from brinelake.operators import filters
 # Fixed value: buckets are counted from 2000-01-03 00:00:00.
 BUCKET_ORIGIN = 946_857_600
 
+def day_start(ts: str) -> Column:
+    """Midnight of a zone-less time, without a detour over the session's zone."""
+    return F.to_date(F.col(ts)).cast("timestamp_ntz")
+
+
+def hour_start(ts: str) -> Column:
+    return day_start(ts) + F.make_dt_interval(F.lit(0), F.hour(F.col(ts)))
+
+
 AGGREGATES = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
 
@@ -59,8 +68,9 @@ def histogram(df: DataFrame, column: str, width: float = 10.0) -> DataFrame:
 def per_period(df: DataFrame, columns: list[str], period: str = "hour", ts: str = "received_at",
                with_count: bool = False) -> DataFrame:
     """Averages per hour or day; the day comes as a date."""
-    start = F.to_date(F.col(ts)) if period == "day" else F.date_trunc(
-        period, F.col(ts)).cast("timestamp_ntz")
+    if period not in ("hour", "day"):
+        raise ValueError(f"unknown period {period!r}")
+    start = F.to_date(F.col(ts)) if period == "day" else hour_start(ts)
     aggs = [F.count(F.lit(1)).alias("records")] if with_count else []
     aggs += [F.avg(F.col(c).cast("double")).alias(f"avg_{c}") for c in columns]
     return df.groupBy(start.alias(period)).agg(*aggs).orderBy(period)
@@ -89,7 +99,7 @@ def error_frequency(errors: DataFrame, ts: str = "received_at") -> DataFrame:
 
 def errors_per_hour(errors: DataFrame, ts: str = "received_at") -> DataFrame:
     """G10."""
-    return errors.groupBy(F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour")).agg(
+    return errors.groupBy(hour_start(ts).alias("hour")).agg(
         F.count(F.lit(1)).alias("error_count")).orderBy("hour")
 
 
@@ -102,7 +112,7 @@ def daily_log_stats(raw: DataFrame, instrument: str = "head_id", by: str = "reco
     """
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     return raw.groupBy(
-        F.date_trunc("day", F.col(ts)).cast("timestamp_ntz").alias("day"), F.col(by)).agg(
+        day_start(ts).alias("day"), F.col(by)).agg(
         F.count(F.lit(1)).alias("record_count"),
         distinct(F.col(instrument)).alias("instrument_count"),
         F.count_if(F.col("checksum_valid")).alias("valid_count"),

@@ -232,7 +232,7 @@ def first_rows(
 def _edge_day(df: DataFrame, ts: str, limit: int, descending: bool) -> Column:
     """Day at which the running row count reaches the limit; NULL where it never does."""
     days = df.where(F.col(ts).isNotNull()).groupBy(
-        F.date_trunc("day", F.col(ts)).cast("timestamp_ntz").alias("day")).agg(
+        F.to_date(F.col(ts)).cast("timestamp_ntz").alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
     ordered = F.sort_array(F.collect_list(F.struct("day", "n")), asc=not descending)
     start = F.struct(F.lit(0).cast("bigint").alias("n"),

@@ -216,11 +216,11 @@ def first_per_group(df: DataFrame, group: list[str], n: int, by: str = "received
 
 def as_of_join(
     left: DataFrame, right: DataFrame, stream: list[str], left_ts: str, right_ts: str,
-    values: list[str], chunk_unit: str = "day", tie: str | None = None,
+    values: list[str], tie: str | None = None,
 ) -> DataFrame:
     """Last known ``values`` of ``right`` at or before each left row, per stream (for D6).
 
-    Both sides go through one carry-forward; chunks are calendar units.
+    Both sides go through one carry-forward in chunks of a day.
     """
     order = F.struct(*values) if tie is None else F.struct(tie, *values)
     r = right.groupBy(*stream, F.col(right_ts).alias("_ts")).agg(
@@ -232,6 +232,6 @@ def as_of_join(
     l = left.select(*stream, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"),
                     F.lit(None).cast(value_type).alias("_known"), F.struct(*keep).alias("_row"))
     both = l.unionByName(r, allowMissingColumns=True).withColumn(
-        "_chunk", F.date_trunc(chunk_unit, F.col("_ts")))
+        "_chunk", F.coalesce(F.to_date("_ts"), F.lit("0001-01-01").cast("date")))
     done = carry_forward(both, {"_last": F.col("_known")}, stream, ["_chunk"], ["_ts", "_side"])
     return done.where("_side = 1").select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])

@@ -99,7 +99,7 @@ FROM {t:events} WHERE event_type = 'error'""",
     "cells": """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS record_id, e.ts AS received_at, e.user_id % 8 AS stream_id,
  {MDY:e.ts} AS measurement_date, {HMS:e.ts} AS measurement_time,
- date_trunc('second', e.ts) AS measured_at,
+ CAST(date_trunc('second', e.ts) AS TIMESTAMP{N}) AS measured_at,
  CAST(100 + e.event_id % 5 AS INT) AS data_format, l.l_linenumber AS cell_index,
  CASE WHEN l.l_orderkey % 3 = 0 THEN NULL ELSE 0.5 + l.l_linenumber * 1.0e0 END AS cell_distance,
  (MIN(l.l_quantity) - 25) / 25 AS vel1, MIN(l.l_discount) * 10 - 0.5 AS vel2, MIN(l.l_tax) AS vel3,

@@ -188,3 +188,17 @@ def _layout_query(number: int, layout: L.Layout) -> None:
 
 for _i, _l in enumerate(L.layouts(), 1):
     _layout_query(_i, _l)
+
+
+@query("v01_custom_layout", "sensor", """SELECT record_id AS line_no, heading AS depth, head_id AS note FROM sensor WHERE heading <= 250.0""")
+def _(f):
+    custom = L.Layout("PDEPTH", "depths", L.POSITIONAL, (
+        L.FieldSpec("depth", L.NUM, "decimal(6,2)", lo=0.0, hi=250.0), L.FieldSpec("note", L.TEXT, "string")))
+    L.register_layout(custom)
+    try:
+        lines = f.sensor.select(F.col("record_id").alias("line_no"), F.concat_ws(
+            ",", F.lit("$PDEPTH"), F.col("heading").cast("string"), F.col("head_id")).alias("raw_sentence"))
+        typed = P.typed_table(P.parse_lines(lines).withColumn("line_id", F.col("line_no")), "depths")
+        return typed.select(F.col("line_id").alias("line_no"), F.col("depth").cast("double").alias("depth"), "note")
+    finally:
+        L.unregister_layout("PDEPTH")
