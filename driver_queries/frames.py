@@ -22,6 +22,7 @@ _SPARK = {
     "PMOD": "pmod({0},360e0)", "L": "{0} ->", "EACH": "transform",
     "SERIES": "array_join(transform(sequence(0,{0}-1), i -> {1}),',')",
     "JSON": "to_json({0})", "NLIST": "CAST({0} AS ARRAY<DOUBLE>)", "DAYS": "make_dt_interval({0})",
+    "TWO": "explode(array(0, 1))",
 }
 _DUCK = {
     "MDY": "strftime({0},'%m%d%y')", "YMD": "strftime({0},'%y%m%d')",
@@ -32,7 +33,7 @@ _DUCK = {
     "PMOD": "((({0}) % 360) + 360) % 360", "L": "lambda {0}:", "EACH": "list_transform",
     "SERIES": "array_to_string(list_transform(range({0}), lambda i: {1}),',')",
     "JSON": "CAST(to_json({0}) AS VARCHAR)", "NLIST": "CAST({0} AS DOUBLE[])",
-    "DAYS": "to_days({0})",
+    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])",
 }
 _MARK = re.compile(r"\{([A-Za-z]\w*)(?::([^{}]*))?\}")
 
@@ -140,9 +141,9 @@ SELECT burst_no AS record_id, received_at, measurement_date, measurement_time, s
  '0000' AS wave_error_code
 FROM {f:spectra} WHERE kind = 'E'""",
     "bands": """
-SELECT w.record_id * 2 + b.k AS record_id, w.received_at, w.measurement_date, w.measurement_time,
- CAST(b.k AS INT) AS band, w.hm0 / (b.k + 1) AS hmo, w.tp, w.main_dir
-FROM {f:waves} w JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) b ON b.k < 2""",
+SELECT record_id * 2 + k AS record_id, received_at, measurement_date, measurement_time,
+ CAST(k AS INT) AS band, hm0 / (k + 1) AS hmo, tp, main_dir
+FROM (SELECT *, {TWO} AS k FROM {f:waves} w) b""",
     "configs": """
 SELECT s_suppkey AS config_id, TIMESTAMP{N} '2024-01-01 00:00:00' + {DAYS:CAST(s_suppkey % 7 AS INT)} AS received_at,
  s_suppkey % 8 AS stream_id,
