@@ -112,12 +112,17 @@ class LineIngest:
 def live_buckets(stream: DataFrame, column: str, minutes: int = 5, aggregation: str = "avg",
                  ts: str = "received_at", delay: str = "10 minutes") -> DataFrame:
     """G1 on a stream.  Rows later than the watermark are dropped; that is our choice, the
-    batch form keeps them."""
+    batch form keeps them.  Watermarks need times with a zone: zone-less ones are read in the
+    session's zone, which should be UTC, and come back zone-less."""
+    zoneless = dict(stream.dtypes)[ts] == "timestamp_ntz"
+    if zoneless:
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     fn = aggregates.AGGREGATES.get(aggregation.lower(), F.avg)
     value = F.col(column) if fn in (F.count, F.min, F.max) else F.col(column).cast("double")
     out = stream.withWatermark(ts, delay).groupBy(
         aggregates.bucket(ts, minutes).alias("w")).agg(fn(value).alias("value"))
-    return out.select(F.col("w.start").alias("bucket"), "value")
+    start = F.col("w.start").cast("timestamp_ntz") if zoneless else F.col("w.start")
+    return out.select(start.alias("bucket"), "value")
 
 
 def ingest_health(raw: DataFrame, errors: DataFrame, as_of: datetime,

@@ -366,13 +366,11 @@ def _(f):
     source, out = fresh_folder(f.spark, "sensor"), fresh_folder(f.spark, "buckets")
     f.sensor.select("received_at", "pressure").repartition(1).write.parquet(source)
     stream = f.spark.readStream.schema("received_at timestamp_ntz, pressure double").parquet(source)
-    # Event times with a zone are what watermarks need; the session zone is fixed.
-    rows = live.live_buckets(stream.withColumn("received_at", F.col("received_at").cast("timestamp")), "pressure", 5, "sum")
+    rows = live.live_buckets(stream, "pressure", 5, "sum")
     q = rows.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", fresh_folder(f.spark, "state")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = f.spark.read.parquet(out)
-    return rounded(done.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "value"), 4)
+    return rounded(f.spark.read.parquet(out), 4)
 
 
 def _two_batches(f, rows) -> live.LineIngest:

@@ -13,7 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables
 
 from driver_queries import all_oracles, all_queries  # noqa: E402
 
-SLOW = ("r01", "r04", "r05", "a03", "s01")
+# Slow ones; tests/test_parse.py and tests/test_lake.py cover the same ground on small frames.
+SLOW = ("r01", "r04", "r05", "a03", "s01", "t0", "t10", "t12", "t13", "t14", "t15", "t18", "t20", "t21")
 NAMES = [n for n in all_queries() if not n.startswith(SLOW)]
 
 
