@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelake.llm import rules
+from brinelake.llm import bpe, rules
 from brinelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer file, as its package gives it on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
