@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelake.llm import bpe, rules, simhash
-from brinelake.llm.common import table
+from brinelake.llm import bpe, linededup, mixing, rules, simhash
+from brinelake.llm.common import table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,13 +20,6 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-def tokenizer_file(name: str) -> str:
-    """Path of a public tokenizer file, as its package gives it on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -38,6 +32,39 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target",
+                      (F.col("copies") * F.col("size")).alias("taken"), "rate")
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.line_deduplicated(docs, emptied=True)
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+                      F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLES["op9_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text FROM documents),
+l AS (SELECT r, unnest(range(len(string_split(text, chr(10))))) AS k, string_split(text, chr(10)) AS ls FROM d),
+s AS (SELECT r, k, ls[k + 1] AS line, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM l
+      WHERE regexp_matches(ls[k + 1], '[^\x20\x09-\x0D]')),
+w AS (SELECT r, i, k, line, lead(line) OVER o AS line2, lead(k) OVER o AS k2 FROM s
+      WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY r, i) AS n FROM w WHERE line2 IS NOT NULL),
+g AS (SELECT DISTINCT r, unnest([k, k2]) AS k FROM f WHERE n > 1),
+t AS (SELECT l.r, string_agg(ls[l.k + 1], chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL) AS text,
+             count(*) AS n_lines, count(g.k) AS n_removed
+      FROM l LEFT JOIN g ON l.r = g.r AND l.k = g.k GROUP BY l.r)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t.text, '')) END AS text_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,3 +101,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures
 FROM f
 """
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
