@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -64,3 +65,10 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, after which Spark deletes shuffle files of steps
+    whose result is written. Without it they may stay until the query ends."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
