@@ -8,8 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelake.llm import bpe, embeddings, linededup, mixing, rules, simhash, suffixes
+from brinelake.llm import bpe, chat, embeddings, linededup, mixing, rules, simhash, suffixes, tokenfile
 from brinelake.llm.common import table, tokenizer_file
+from brinelake.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,33 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("copies") * F.col("size")).alias("taken"), "rate")
 
 
+@_query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(control).alias("text"))
+    return chat.read_back(chat.formatted(rows.union(own), tokenizer_file("byte_bpe_50k.json")))
+
+
+ORACLES["op4_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(role || chr(0) || text, '\', '\\'), '<turn>', '\lturn>'),
+                        '</turn>', '\l/turn>') AS code FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length(code) - 1 + 15 + length(role) - length(replace(role, chr(10), '')))::BIGINT AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 @_query
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -59,6 +87,15 @@ FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 """
 
 
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    read = tokenfile.read(spark, folder)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
 @_query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.deduplicated(table(spark, sf_dir, "documents"))
