@@ -33,10 +33,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinelake.llm.bpe import byte_letters
+
 SHARD = 1 << 20
 LEAST = 16
 CACHE = 400_000
 _RUN = re.compile(r"[ \n]+")
+#: Letters that only change to lower case on their way to the model, then ASCII punctuation.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _SLOTS = 20
 
 
@@ -44,7 +48,9 @@ class WordIds:
     """Ids by the tokenizers library, with a bounded memory of what it gave for single words.
 
     For vocabularies whose tokens never cross a blank. Words are what stands between blanks and
-    line ends; new ones are encoded together, parted by a special token.
+    line ends. Of new ones, a run of plain letters and the punctuation after it go to the
+    library's model as the two pieces they are; all others go through the whole library
+    together, parted by a special token.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,23 @@ class WordIds:
         self.part_id, self.part = max((i, t.content) for i, t in special.items())
         self.size = self.library.get_vocab_size()
         self.memory: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(text)])
+            self.pieces[piece] = found
+        return found
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """What stands between blanks and line ends."""
+        found = text.split()
+        blanks = text.count(" ") + text.count("\n")
+        return found if sum(map(len, found)) + blanks == len(text) else _RUN.split(text)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,10 +89,17 @@ class WordIds:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memory) > CACHE:
-            self.memory = {}
+            self.memory, self.pieces = {}, {}
         have = self.memory
-        split = [_RUN.split(t) if t else [] for t in texts]
-        new = [w for w in set().union(*split) if w not in have]
+        split = [self._words(t) if t else [] for t in texts]
+        new = []
+        for w in set().union(*split):
+            if w not in have:
+                m = _SIMPLE.fullmatch(w) if len(w) <= 64 else None
+                if m is None:
+                    new.append(w)
+                else:
+                    have[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
         # A word that starts with a mark, or holds a special token's name, is encoded with its text.
         odd = {w for w in new if any(n in w for n in self.names)
                or (w and not w[0].isascii() and unicodedata.combining(w[0]))}
@@ -101,7 +131,7 @@ def repair(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndar
     """(rules, sequence) of a grammar for ``ids``.
 
     A round counts all adjacent pairs by sorting them and replaces, from left to right, every pair
-    that occurs at least a fourth as often as the most frequent one; it ends where that falls
+    that occurs at least a sixteenth as often as the most frequent one; it ends where that falls
     below ``least``.
     """
     seq = ids.astype(np.int64)
@@ -115,7 +145,7 @@ def repair(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndar
         most = int(count.max())
         if most < least:
             break
-        often = count >= max(least, most // 4)
+        often = count >= max(least, most // 16)
         chosen = order[start[often]]
         slot = ((chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
         _, first = np.unique(slot, return_index=True)  # of pairs in one slot the others wait a round
