@@ -76,7 +76,8 @@ def mask(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     if not len(starts) or not len(tokens):
         return np.zeros(len(tokens), bool)
     first = np.searchsorted(ends, tokens[:, 0], "right")  # the first span that ends after the token starts
-    return (first < len(starts)) & (starts[np.minimum(first, len(starts) - 1)] < tokens[:, 1])
+    return ((first < len(starts)) & (starts[np.minimum(first, len(starts) - 1)] < tokens[:, 1])
+            & (tokens[:, 0] < tokens[:, 1]))
 
 
 def trained_text(formatted: str, tokens: np.ndarray, under: np.ndarray, starts: list[int],
