@@ -154,21 +154,20 @@ def amplitude_cells(df: DataFrame, time_range: str | None = None, as_of: datetim
 
 
 def amplitude_heatmap(
-    df: DataFrame, time_range: str | None = None, as_of: datetime | None = None,
-    limit: int = 20_000, ts: str = "received_at", tie: str = "record_id",
+    df: DataFrame, times: int | None, time_range: str | None = None, as_of: datetime | None = None,
+    ts: str = "received_at", tie: str = "record_id",
 ) -> DataFrame:
-    """The newest cells as one array per time, by cell.
+    """One array of amplitudes per time, by cell, newest time first.
 
-    The limit is the heatmap's own; it also bounds every array.
+    ``times`` keeps that many of the newest times, each with all its cells; None keeps all.
     """
     if time_range:
         df = filters.look_back(df, time_range, as_of, ts)
     rows = df.select(ts, "cell_index", mean_amplitude().alias("avg_amp"), tie)
-    edge = filters._edge_day(rows, ts, limit, True)
-    rows = rows.where((F.col(ts) >= edge) | edge.isNull())
-    newest = rows.orderBy(F.col(ts).desc_nulls_last(), F.col("cell_index").asc_nulls_last(),
-                          F.col(tie).asc_nulls_last()).limit(limit)
-    grouped = newest.groupBy(ts).agg(F.sort_array(F.collect_list(
+    if times is not None:
+        newest = rows.select(ts).distinct().orderBy(F.col(ts).desc_nulls_last()).limit(times)
+        rows = rows.join(newest.withColumnRenamed(ts, "_t"), F.col(ts).eqNullSafe(F.col("_t")), "left_semi")
+    grouped = rows.groupBy(ts).agg(F.sort_array(F.collect_list(
         F.struct("cell_index", tie, "avg_amp"))).alias("cells"))
     return grouped.select(ts, F.transform("cells", lambda c: c["avg_amp"]).alias("amplitudes")
                           ).orderBy(F.col(ts).desc_nulls_last())

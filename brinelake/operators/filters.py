@@ -17,9 +17,6 @@ LOOK_BACK = {
     "30d": timedelta(days=30),
 }
 
-# From this limit on, a top-k first finds the days that can hold its rows (see first_rows).
-PRUNE_FROM = 10_000
-
 
 def project(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """the requested columns that exist; all columns where none of them does."""
@@ -83,7 +80,7 @@ def contains_text(df: DataFrame, needles: dict[str, str]) -> DataFrame:
 
 def raw_line_query(
     raw: DataFrame, start: datetime | None = None, end: datetime | None = None,
-    record_type: str | None = None, parse_status: str | None = None, limit: int | None = 100,
+    record_type: str | None = None, parse_status: str | None = None, limit: int | None = None,
     id_col: str = "line_id",
 ) -> DataFrame:
     """newest raw lines by time, type and status."""
@@ -94,7 +91,7 @@ def raw_line_query(
 
 def error_query(
     errors: DataFrame, start: datetime | None = None, end: datetime | None = None,
-    error_type: str | None = None, limit: int | None = 100, id_col: str = "line_id",
+    error_type: str | None = None, limit: int | None = None, id_col: str = "line_id",
 ) -> DataFrame:
     """newest error rows by time and type."""
     rows = equals(time_window(errors, start, end), _given(error_type=error_type))
@@ -205,49 +202,21 @@ def config_label(data_format: Column | str = "data_format") -> Column:
 
 
 def first_rows(
-    df: DataFrame, by: str, tie: str | list[str], limit: int | None = 100, descending: bool = True,
-    prune: bool | None = None,
+    df: DataFrame, by: str, tie: str | list[str], limit: int | None = None, descending: bool = True,
 ) -> DataFrame:
-    """K1, K3: the first rows in a total order, NULLs last.
+    """K1, K3: rows in a total order, NULLs last; with a limit, the first of them.
 
-    Small limits become a per-task top-k.  For large ones that would ship ``limit`` rows from
-    every task to one place, so a first pass counts rows per day, finds the day at which the
-    limit is reached, and the second pass reads that day and beyond only.  The result is the
-    same; ``prune`` forces or forbids the first pass.
+    A limit becomes a top-k in every task before the rows meet; without one all rows come back
+    in order, by a range-partitioned sort.
     """
-    key = F.col(by)
     ties = [tie] if isinstance(tie, str) else list(tie)
-    order = [key.desc_nulls_last() if descending else key.asc_nulls_last()]
-    order += [F.col(t).desc_nulls_last() if descending else F.col(t).asc_nulls_last()
-              for t in ties]
-    is_time = dict(df.dtypes).get(by, "").startswith("timestamp")
-    if limit is not None and is_time and (limit >= PRUNE_FROM if prune is None else prune):
-        edge = _edge_day(df, by, limit, descending)
-        inside = key >= edge if descending else key < edge + F.expr("INTERVAL 1 DAY")
-        df = df.where(inside | edge.isNull())
-    ordered = df.orderBy(*order)
+    ordered = df.orderBy(*[F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()
+                           for c in (by, *ties)])
     return ordered if limit is None else ordered.limit(limit)
 
 
-def _edge_day(df: DataFrame, ts: str, limit: int, descending: bool) -> Column:
-    """Day at which the running row count reaches the limit; NULL where it never does."""
-    days = df.where(F.col(ts).isNotNull()).groupBy(
-        F.to_date(F.col(ts)).cast("timestamp_ntz").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct("day", "n")), asc=not descending)
-    start = F.struct(F.lit(0).cast("bigint").alias("n"),
-                     F.lit(None).cast("timestamp_ntz").alias("edge"))
-    found = F.aggregate(
-        ordered, start,
-        lambda acc, d: F.struct(
-            (acc["n"] + d["n"]).alias("n"),
-            F.coalesce(acc["edge"], F.when(acc["n"] + d["n"] >= limit, d["day"])).alias("edge")),
-        lambda acc: acc["edge"])
-    return days.agg(found.alias("edge")).scalar()
-
-
 def query(
-    df: DataFrame, columns: list[str] | None = None, limit: int = 100, order_by: str | None = None,
+    df: DataFrame, columns: list[str] | None = None, limit: int | None = None, order_by: str | None = None,
     descending: bool = True, tie: str = "record_id", ts: str | None = "received_at",
 ) -> DataFrame:
     """K2: columns, order column, direction, limit; the order column has to exist."""
@@ -259,24 +228,21 @@ def query(
 
 def query_data(
     df: DataFrame, columns: list[str] | None = None, filters: dict[str, Any] | None = None,
-    start: datetime | None = None, end: datetime | None = None, limit: int = 100,
+    start: datetime | None = None, end: datetime | None = None, limit: int | None = None,
     descending: bool = True, ts: str = "received_at", tie: str = "record_id",
-    search: dict[str, str] | None = None, search_after_limit: bool = False,
+    search: dict[str, str] | None = None,
 ) -> DataFrame:
-    """F1-F5 and K1 in one call.  The text search comes before the limit unless asked otherwise."""
+    """F1-F5 and K1 in one call.  The text search comes before the limit, so it finds every row."""
     rows = time_window(equals(df, filters), start, end, ts)
-    if search and not search_after_limit:
-        rows = contains_text(rows, search)
-    rows = first_rows(rows, ts, tie, limit, descending)
-    if search and search_after_limit:
+    if search:
         rows = contains_text(rows, search)
-    return project(rows, columns)
+    return project(first_rows(rows, ts, tie, limit, descending), columns)
 
 
 def time_series(
     df: DataFrame, y_columns: list[str], time_range: str = "24h", as_of: datetime | None = None,
     x_column: str | None = None, ts: str = "received_at", tie: str = "record_id",
-    limit: int = 10_000,
+    limit: int | None = None,
 ) -> DataFrame:
     """K3: x and y columns, oldest first."""
     x = x_column or ts
@@ -301,6 +267,6 @@ def time_then_cell(df: DataFrame, limit: int, ts: str = "received_at", cell: str
                       F.col(tie).asc_nulls_last()).limit(limit)
 
 
-def some_rows(df: DataFrame, limit: int = 100, tie: str = "record_id") -> DataFrame:
+def some_rows(df: DataFrame, limit: int | None = None, tie: str = "record_id") -> DataFrame:
     """K5: some rows of one table, lowest ids first so that the answer repeats."""
     return df.orderBy(F.col(tie).asc_nulls_last()).limit(limit)

@@ -41,22 +41,22 @@ def directions_long(directions: DataFrame, limit: int | None = None) -> DataFram
 
 def coefficient_spectra(
     coefficients: DataFrame, flag: str = "A1", time_range: str | None = None,
-    as_of: datetime | None = None, burst_labels: list[str] | None = None, limit: int = 100,
+    as_of: datetime | None = None, burst_labels: list[str] | None = None, limit: int | None = None,
     shown: int | None = None,
 ) -> DataFrame:
-    """Newest spectra of one coefficient, cut to their bin count, with a frequency axis.
+    """Spectra of one coefficient, newest first, cut to their bin count, with a frequency axis.
 
-    ``burst_labels`` ("date time") picks bursts among them; without it ``shown`` keeps the
+    ``burst_labels`` ("date time") picks bursts among all rows; without it ``shown`` keeps the
     newest few, as the layered display does.
     """
     rows = coefficients.where(F.col("coefficient_flag") == flag)
     if time_range:
         rows = filters.look_back(rows, time_range, as_of)
-    rows = filters.first_rows(rows, "received_at", "record_id", limit)
     if burst_labels is not None:
         rows = rows.where(F.concat_ws(" ", "measurement_date", "measurement_time").isin(burst_labels))
-    elif shown is not None:
-        rows = filters.first_rows(rows, "received_at", "record_id", shown)
+        shown = None
+    few = [n for n in (limit, shown) if n is not None]
+    rows = filters.first_rows(rows, "received_at", "record_id", min(few) if few else None)
     n = F.least(F.size("coefficients"), F.col("num_frequencies").cast("int"))
     s, d = F.col("start_frequency").cast("double"), F.col("step_frequency").cast("double")
     cut = F.slice("coefficients", F.lit(1), F.greatest(n, F.lit(0)))
@@ -66,7 +66,7 @@ def coefficient_spectra(
 
 
 def energy_rows(energy: DataFrame, time_range: str | None = None, as_of: datetime | None = None,
-                limit: int = 500) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """The newest spectra with a value at all."""
     rows = filters.look_back(energy, time_range, as_of) if time_range else energy
     rows = filters.first_rows(rows, "received_at", "record_id", limit)
@@ -74,8 +74,8 @@ def energy_rows(energy: DataFrame, time_range: str | None = None, as_of: datetim
 
 
 def energy_heatmap(energy: DataFrame, time_range: str | None = None,
-                   as_of: datetime | None = None, limit: int = 500) -> DataFrame:
-    """Rows padded with 0 to the longest; at most ``limit`` rows, the heatmap's own bound."""
+                   as_of: datetime | None = None, limit: int | None = None) -> DataFrame:
+    """Rows padded with 0 to the longest; the newest ``limit`` rows, all where it is None."""
     rows = energy_rows(energy, time_range, as_of, limit)
     longest = rows.agg(F.max(F.size("energy_densities")).alias("n")).scalar()
     return rows.select("record_id", "received_at",
@@ -83,7 +83,7 @@ def energy_heatmap(energy: DataFrame, time_range: str | None = None,
 
 
 def heatmap_axis(energy: DataFrame, time_range: str | None = None, as_of: datetime | None = None,
-                 limit: int = 500) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """Every frequency of the heatmap rows, once, upwards."""
     rows = energy_rows(energy, time_range, as_of, limit)
     return energy_long(rows).select("frequency").distinct().orderBy("frequency")

@@ -24,7 +24,7 @@ def all_configurations(pnori: DataFrame, pnori12: DataFrame) -> DataFrame:
     return left.select(*keep).unionByName(right.select(*keep))
 
 
-def all_sensors(df100: DataFrame, df12: DataFrame, df34: DataFrame, limit: int | None = 100,
+def all_sensors(df100: DataFrame, df12: DataFrame, df34: DataFrame, limit: int | None = None,
                 tie: str = "record_id") -> DataFrame:
     """Sensor rows of the three tables with a format label, newest first."""
     keep = ("heading", "pitch", "roll", "pressure", "temperature")
@@ -34,7 +34,7 @@ def all_sensors(df100: DataFrame, df12: DataFrame, df34: DataFrame, limit: int |
     return filters.first_rows(out, "received_at", tie, limit)
 
 
-def all_velocities(df100: DataFrame, df12: DataFrame, limit: int | None = 100,
+def all_velocities(df100: DataFrame, df12: DataFrame, limit: int | None = None,
                    tie: str = "record_id") -> DataFrame:
     """Velocity cells of the profile formats; averaged formats are no profiles."""
     keep = ("cell_index", "vel1", "vel2", "vel3", "vel4")
@@ -42,7 +42,7 @@ def all_velocities(df100: DataFrame, df12: DataFrame, limit: int | None = 100,
     return filters.first_rows(out, "received_at", [tie, "cell_index"], limit)
 
 
-def headers(pnorh: DataFrame, limit: int | None = 100, tie: str = "record_id") -> DataFrame:
+def headers(pnorh: DataFrame, limit: int | None = None, tie: str = "record_id") -> DataFrame:
     """U4: header rows with a format label, newest first."""
     return filters.first_rows(
         _labelled(pnorh, ("error_code", "status_code"), None, tie), "received_at", tie, limit)
@@ -54,14 +54,15 @@ def _labelled(df: DataFrame, keep: tuple[str, ...], fixed: int | None, tie: str)
 
 
 def bursts(df: DataFrame, start: datetime | None = None, end: datetime | None = None,
-           limit: int | None = 1000, ts: str = "received_at") -> DataFrame:
-    """Distinct bursts in a window, newest first, with a label."""
+           limit: int | None = None, ts: str = "received_at") -> DataFrame:
+    """Distinct bursts in a window, newest first, with a label; per stream where it is known."""
+    stream = ["stream_id"] if "stream_id" in df.columns else []
     rows = filters.time_window(df, start, end, ts).select(
-        "measurement_date", "measurement_time", ts).distinct()
+        *stream, "measurement_date", "measurement_time", ts).distinct()
     rows = rows.withColumn("label", F.concat_ws(
         " ", F.coalesce("measurement_date", F.lit("None")),
         F.coalesce("measurement_time", F.lit("None"))))
-    return filters.first_rows(rows, ts, ["measurement_date", "measurement_time"], limit)
+    return filters.first_rows(rows, ts, ["measurement_date", "measurement_time", *stream], limit)
 
 
 # Order of widening for columns whose type differs between files.

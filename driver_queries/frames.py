@@ -95,7 +95,7 @@ SELECT event_id AS line_id, ts AS received_at,
  event_type AS error_message,
  CASE event_id % 5 WHEN 0 THEN 'PNORS' WHEN 1 THEN 'PNORS1' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'PNORWD' END
    AS attempted_prefix
-FROM {t:events} WHERE event_type = 'error'""",
+FROM {t:events}""",
     # Velocity cells.
     "cells": """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS record_id, e.ts AS received_at, e.user_id % 8 AS stream_id,
@@ -109,7 +109,9 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS record_id, e.ts AS received_at, e.u
  MIN(l.l_quantity) AS amp1, MAX(l.l_quantity) AS amp2, MIN(l.l_quantity) + 1 AS amp3,
  CASE WHEN l.l_orderkey % 5 = 0 THEN NULL ELSE MAX(l.l_quantity) + 2 END AS amp4,
  CAST(COUNT(*) AS INT) AS corr1
-FROM {t:lineitem} l JOIN {t:events} e ON e.event_id = l.l_orderkey
+FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_orderkey % n + first AS seen_by
+ FROM {t:lineitem} CROSS JOIN (SELECT COUNT(*) AS n, MIN(event_id) AS first FROM {t:events}) k) l
+JOIN {t:events} e ON e.event_id = l.seen_by
 GROUP BY l.l_orderkey, l.l_linenumber, e.ts, e.event_id, e.user_id""",
     # Seven vectors make one burst: energy, four coefficients, mean direction, spread.
     "spectra": """
@@ -163,7 +165,7 @@ FROM {t:supplier}""",
 SELECT user_id % 8 AS stream_id, ts AS received_at,
  CAST(event_id % 20 + 1 AS DOUBLE) / 10 AS blanking_distance,
  CAST(event_id % 5 + 1 AS DOUBLE) / 2 AS cell_size
-FROM {t:events} WHERE event_type = 'signup'""",
+FROM {t:events}""",
     # Sentences with planted faults.
     "lines": """
 SELECT event_id AS line_no, user_id % 8 AS stream_id, ts AS received_at,

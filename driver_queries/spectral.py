@@ -39,8 +39,7 @@ def _(f):
 
 
 @query("d07_coefficient_spectra", "coefs", """SELECT record_id, len(coefficients) AS n, round(list_sum(coefficients), 6) AS total,
- round(start_frequency + 63 * step_frequency, 6) AS last_frequency FROM coefs WHERE coefficient_flag = 'B2'
- ORDER BY received_at DESC, record_id DESC LIMIT 100""")
+ round(start_frequency + 63 * step_frequency, 6) AS last_frequency FROM coefs WHERE coefficient_flag = 'B2'""")
 def _(f):
     out = D.coefficient_spectra(f.coefs, "B2")
     return rounded(out.select(
@@ -50,7 +49,7 @@ def _(f):
 
 
 @query("d08_energy_heatmap", "energy", """SELECT record_id, received_at, len(energy_densities) AS n,
- round(list_sum(energy_densities), 6) AS total FROM energy ORDER BY received_at DESC, record_id DESC LIMIT 500""")
+ round(list_sum(energy_densities), 6) AS total FROM energy""")
 def _(f):
     out = D.energy_heatmap(f.energy)
     return rounded(out.select("record_id", "received_at", F.size("energies").cast("bigint").alias("n"),

@@ -64,16 +64,15 @@ def _(f):
 
 
 @query("f06_raw_lines", "raw",
-       f"SELECT * FROM raw WHERE record_type = 'PNORS' AND parse_status = 'OK' AND received_at <= {AS_OF}"
-       " ORDER BY received_at DESC, line_id DESC LIMIT 1000")
+       f"SELECT * FROM raw WHERE record_type = 'PNORS' AND parse_status = 'OK' AND received_at <= {AS_OF}")
 def _(f):
-    return K.raw_line_query(f.raw, None, NOON, "PNORS", "OK", 1000)
+    return K.raw_line_query(f.raw, None, NOON, "PNORS", "OK")
 
 
 @query("f07_errors", "errors",
-       "SELECT * FROM errors WHERE error_type = 'PARSE_ERROR' ORDER BY received_at DESC, line_id DESC LIMIT 100")
+       "SELECT * FROM errors WHERE error_type = 'PARSE_ERROR'")
 def _(f):
-    return K.error_query(f.errors, error_type="PARSE_ERROR", limit=100)
+    return K.error_query(f.errors, error_type="PARSE_ERROR")
 
 
 _CONFIG_SQL = """(SELECT config_id, received_at,
@@ -172,7 +171,7 @@ def _(f):
 
 
 @query("k03_time_series", "sensor", f"""SELECT received_at, heading, temperature FROM sensor
- WHERE received_at >= {AS_OF} - INTERVAL '7 days' ORDER BY received_at, record_id LIMIT 10000""")
+ WHERE received_at >= {AS_OF} - INTERVAL '7 days'""")
 def _(f):
     return K.time_series(f.sensor, ["heading", "temperature"], "7d", NOON)
 
@@ -204,7 +203,7 @@ def _(f):
 
 
 @query("u02_all_sensors", "sensor", """SELECT record_id, received_at, 'DF' || CAST(data_format AS VARCHAR) AS format,
- heading, pitch, roll, pressure, temperature FROM sensor ORDER BY received_at DESC, record_id DESC LIMIT 100""")
+ heading, pitch, roll, pressure, temperature FROM sensor""")
 def _(f):
     s = f.sensor
     return U.all_sensors(s.where("data_format = 100"), s.where("data_format IN (101, 102)"),
@@ -212,22 +211,20 @@ def _(f):
 
 
 @query("u03_all_velocities", "cells", """SELECT record_id, received_at, 'DF' || CAST(data_format AS VARCHAR) AS format,
- cell_index, vel1, vel2, vel3, vel4 FROM cells WHERE data_format <= 102
- ORDER BY received_at DESC, record_id DESC, cell_index DESC LIMIT 100""")
+ cell_index, vel1, vel2, vel3, vel4 FROM cells WHERE data_format <= 102""")
 def _(f):
     c = f.cells
     return U.all_velocities(c.where("data_format = 100"), c.where("data_format IN (101, 102)"))
 
 
 @query("u04_headers", "sensor", """SELECT record_id, received_at, 'DF' || CAST(data_format AS VARCHAR) AS format,
- error_code, status_code FROM sensor WHERE data_format >= 103 ORDER BY received_at DESC, record_id DESC LIMIT 100""")
+ error_code, status_code FROM sensor WHERE data_format >= 103""")
 def _(f):
     return U.headers(f.sensor.where("data_format >= 103"))
 
 
-@query("u05_bursts", "cells", f"""SELECT DISTINCT measurement_date, measurement_time, received_at,
- measurement_date || ' ' || measurement_time AS label FROM cells WHERE received_at <= {AS_OF}
- ORDER BY received_at DESC, measurement_date DESC, measurement_time DESC LIMIT 1000""")
+@query("u05_bursts", "cells", f"""SELECT DISTINCT stream_id, measurement_date, measurement_time, received_at,
+ measurement_date || ' ' || measurement_time AS label FROM cells WHERE received_at <= {AS_OF}""")
 def _(f):
     return U.bursts(f.cells, None, NOON)
 
@@ -437,10 +434,20 @@ def _(f):
 
 
 @query("g14_amp_heatmap", "cells", f"""SELECT received_at, array_to_string(list(round(avg_amp, 2) ORDER BY cell_index, record_id), ' ') AS amplitudes
- FROM (SELECT received_at, cell_index, record_id, {_AMP} AS avg_amp FROM cells
- ORDER BY received_at DESC, cell_index, record_id LIMIT 20000) GROUP BY 1""")
+ FROM (SELECT received_at, cell_index, record_id, {_AMP} AS avg_amp FROM cells) GROUP BY 1""")
 def _(f):
-    rows = G.amplitude_heatmap(f.cells)
+    return _amplitudes(f, None)
+
+
+@query("g14_amp_newest", "cells", f"""SELECT received_at, array_to_string(list(round(avg_amp, 2) ORDER BY cell_index, record_id), ' ') AS amplitudes
+ FROM (SELECT received_at, cell_index, record_id, {_AMP} AS avg_amp FROM cells) WHERE received_at IN
+ (SELECT DISTINCT received_at FROM cells ORDER BY 1 DESC LIMIT 40) GROUP BY 1""")
+def _(f):
+    return _amplitudes(f, 40)
+
+
+def _amplitudes(f, times):
+    rows = G.amplitude_heatmap(f.cells, times)
     return rows.select("received_at", F.array_join(F.transform(
         "amplitudes", lambda a: F.round(a, 2).cast("string")), " ").alias("amplitudes"))
 

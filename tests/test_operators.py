@@ -23,12 +23,17 @@ def series(spark):
     return spark.createDataFrame(rows, "record_id int, received_at timestamp_ntz, y double, s string").repartition(3)
 
 
-@pytest.mark.parametrize("limit", [1, 37, 449, 450, 460, 600])
+@pytest.mark.parametrize("limit", [1, 37, 449, 450, 460, 600, None])
 @pytest.mark.parametrize("descending", [True, False])
-def test_day_cut_does_not_change_top_k(series, limit, descending):
-    a, b = ([r.record_id for r in K.first_rows(series, "received_at", "record_id", limit, descending, prune).collect()]
-            for prune in (True, False))
-    assert a == b and len(a) == min(limit, 500)
+def test_first_rows(series, limit, descending):
+    got = [r.record_id for r in K.first_rows(series, "received_at", "record_id", limit, descending).collect()]
+    timed, rest = [i for i in range(500) if i % 10], [i for i in range(500) if i % 10 == 0]
+    want = sorted(timed, reverse=descending) + sorted(rest, reverse=descending)
+    assert got == want[:limit]
+
+
+def test_no_limit_unless_asked(spark, series):
+    assert K.query_data(series).count() == K.query(series).count() == K.time_series(series, ["y"], "all").count() == 500
 
 
 def test_filters(series):
@@ -38,8 +43,7 @@ def test_filters(series):
     assert K.look_back(series, "nonsense").count() == 500
     assert K.look_back(series, "24h", T0 + timedelta(hours=100)).count() > 300
     found = K.query_data(series, search={"s": "text 1"}, limit=5)
-    late = K.query_data(series, search={"s": "text 1"}, limit=5, search_after_limit=True)
-    assert found.count() == 5 and late.count() == 0
+    assert found.count() == 5
     with pytest.raises(ValueError):
         K.query(series, order_by="nope")
     got = K.validity_report(series.select(F.lit(360.0).alias("heading"), F.lit(4).alias("instrument_type_code"),
