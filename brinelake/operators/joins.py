@@ -16,11 +16,13 @@ BURST = ["measurement_date", "measurement_time"]
 def burst_key(*frames: DataFrame) -> list[str]:
     """One integer where every side has it, otherwise date and time.
 
-    The data format belongs to the key wherever all sides carry it.
+    Stream and data format belong to the key wherever all sides carry them: the instruments of a
+    fleet sample at the same second.
     """
     shared = set.intersection(*[set(f.columns) for f in frames])
     key = ["measurement_id"] if "measurement_id" in shared else list(BURST)
-    return key + (["data_format"] if "data_format" in shared else [])
+    return [c for c in ("stream_id",) if c in shared] + key + (
+        ["data_format"] if "data_format" in shared else [])
 
 
 def _right(df: DataFrame, key: list[str], columns: dict[str, str]) -> DataFrame:
@@ -145,7 +147,8 @@ def complete_bursts(energy: DataFrame, directions: DataFrame) -> DataFrame:
     for kind in ("MD", "DS"):
         side = directions.where(F.col("direction_type") == kind).select(*key)
         energy = energy.join(side, key, "left_semi")
-    return energy.select("measurement_date", "measurement_time", "received_at").distinct()
+    stream = [c for c in key if c == "stream_id"]
+    return energy.select(*stream, "measurement_date", "measurement_time", "received_at").distinct()
 
 
 def completeness(parts: dict[str, DataFrame], key: list[str] | None = None) -> DataFrame:

@@ -25,9 +25,16 @@ def column_class(data_type: T.DataType) -> str:
     return "TEXT"
 
 
+# Fixed value: words up to this length are abbreviations in a display name.
+_ABBREVIATION = 2
+
+
 def display_name(name: str) -> str:
-    """Words of a table name, short ones in capitals."""
-    return " ".join(w.upper() if len(w) < 3 else w.title() for w in name.replace("_", " ").split())
+    """A table name for people: its parts as capitalised words, abbreviations in capitals."""
+    shown = []
+    for part in filter(None, name.split("_")):
+        shown.append(part.title() if len(part) > _ABBREVIATION else part.upper())
+    return " ".join(shown)
 
 
 def describe(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
@@ -75,22 +82,21 @@ def columns(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def resolve(name: str, loaded: set[str], prefix: str = "pq_") -> str | None:
-    """C4: loaded view of a table name: as it is, without ``_data``, with the view prefix,
-    or by its letters alone."""
-    tried = [name]
-    if name.endswith("_data"):
-        tried.append(prefix + name.removesuffix("_data"))
-    tried.append(prefix + name)
-    lowered = name.lower()
-    if lowered.startswith("pnor"):
-        letters = lowered[:4]
-        for ch in lowered[4:]:
-            if not ("a" <= ch <= "z"):
-                break
-            letters += ch
-        if len(letters) > 4:
-            tried.append(prefix + letters.removesuffix("data"))
-    return next((t for t in tried if t in loaded), None)
+    """C4: the loaded view that shows a table.
+
+    The layouts say which lake type holds a table; the views of that type, of the table's own
+    name, and of the plain type that it is a variant of are looked for, nearest first.
+    """
+    if name in loaded:
+        return name
+    table = name.lower()
+    lake_type = L.LAKE_TYPES.get(table, table.split("_")[0]).lower()
+    plain = max((t.lower() for t in L.LAKE_TYPES.values()
+                 if t.isalpha() and lake_type.startswith(t.lower())), key=len, default=lake_type)
+    for view in (lake_type, table, plain):
+        if f"{prefix}{view}" in loaded:
+            return f"{prefix}{view}"
+    return None
 
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -197,8 +197,13 @@ def blob_index(
     return runs.groupBy(*stream, "run_no").agg(*aggs)
 
 
-def latest_burst(df: DataFrame, ts: str = "measured_at") -> DataFrame:
-    """All rows of the newest burst; an aggregate finds the time, no window is needed."""
+def latest_burst(df: DataFrame, ts: str = "measured_at", per_stream: bool = False) -> DataFrame:
+    """All rows of the newest burst, or of the newest burst of every stream; an aggregate
+    finds the times, no window is needed."""
+    if per_stream:
+        newest = df.groupBy(F.col("stream_id").alias("_s")).agg(F.max(ts).alias("_t"))
+        return df.join(newest, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col(ts) == F.col("_t")),
+                       "left_semi")
     newest = df.agg(F.max(ts).alias("t")).scalar()
     return df.where(F.col(ts) == newest)
 

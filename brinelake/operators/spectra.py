@@ -89,6 +89,11 @@ def heatmap_axis(energy: DataFrame, time_range: str | None = None, as_of: dateti
     return energy_long(rows).select("frequency").distinct().orderBy("frequency")
 
 
+def _burst(df: DataFrame) -> list[str]:
+    """What names a burst in a frame: its stream, where that is known, and its date and time."""
+    return [c for c in ("stream_id",) if c in df.columns] + list(joins.BURST)
+
+
 def directional_spectra(energy: DataFrame, directions: DataFrame, complete: bool = False) -> DataFrame:
     """Energy, mean direction, spread and axis of every burst.
 
@@ -107,7 +112,7 @@ def directional_spectra(energy: DataFrame, directions: DataFrame, complete: bool
         out = out.where(F.col("MD").isNotNull() & F.col("DS").isNotNull())
     n = F.col("num_frequencies")
     return out.select(
-        F.col("received_at").alias("timestamp"), *joins.BURST,
+        F.col("received_at").alias("timestamp"), *_burst(out),
         A.frequency_axis("start_frequency", "step_frequency", n).alias("frequencies"), "energy",
         F.coalesce("MD", A.zeros(n)).alias("directions"),
         F.coalesce("DS", A.zeros(n)).alias("spreads"))
@@ -122,14 +127,15 @@ def directional_spectrum(energy: DataFrame, directions: DataFrame,
     """
     if timestamp is None:
         spectra = directional_spectra(energy, directions, complete=True)
-        newest = F.max_by(F.struct("*"), F.struct("timestamp", *joins.BURST))
+        newest = F.max_by(F.struct("*"), F.struct("timestamp", *reversed(_burst(spectra))))
         return spectra.agg(newest.alias("r")).select("r.*").where("timestamp IS NOT NULL")
     exact = F.col("received_at") == F.lit(timestamp.isoformat(sep=" ")).cast("timestamp_ntz")
     by_text = ((F.col("measurement_date") == timestamp.strftime("%m%d%y"))
                & (F.col("measurement_time") == timestamp.strftime("%H%M%S")))
+    burst = _burst(energy)
     best = energy.where(exact | by_text).agg(F.min_by(
-        F.struct(*joins.BURST), F.struct((~exact).cast("int"), F.col("record_id"))).alias("b"))
-    chosen = energy.join(best.where("b IS NOT NULL").select("b.*"), joins.BURST, "left_semi")
+        F.struct(*burst), F.struct((~exact).cast("int"), F.col("record_id"))).alias("b"))
+    chosen = energy.join(best.where("b IS NOT NULL").select("b.*"), burst, "left_semi")
     return directional_spectra(chosen, directions)
 
 
@@ -137,7 +143,7 @@ def peaks(spectra: DataFrame) -> DataFrame:
     """Frequency, energy and direction at the largest energy of each burst."""
     i = A.peak_position("energy")
     return spectra.select(
-        "timestamp", *joins.BURST,
+        "timestamp", *_burst(spectra),
         F.get("frequencies", i).alias("peak_frequency"),
         F.get(A.no_nulls("energy"), i).alias("peak_energy"),
         F.get("directions", i).alias("peak_direction"))
@@ -145,10 +151,10 @@ def peaks(spectra: DataFrame) -> DataFrame:
 
 def bins(spectra: DataFrame) -> DataFrame:
     """Directional spectra as one row per burst and frequency."""
-    rows = spectra.select("timestamp", *joins.BURST, F.posexplode(F.arrays_zip(
+    rows = spectra.select("timestamp", *_burst(spectra), F.posexplode(F.arrays_zip(
         F.col("frequencies").alias("f"), F.col("energy").alias("e"),
         F.col("directions").alias("d"), F.col("spreads").alias("s"))).alias("bin", "_b"))
-    return rows.select("timestamp", *joins.BURST, "bin", F.col("_b.f").alias("frequency"),
+    return rows.select("timestamp", *_burst(spectra), "bin", F.col("_b.f").alias("frequency"),
                        F.col("_b.e").alias("energy"), F.col("_b.d").alias("direction"),
                        F.col("_b.s").alias("spread"))
 
@@ -160,7 +166,7 @@ def spreading_grid(spectra: DataFrame) -> DataFrame:
     not a shuffle.  The result has 72 rows per bin: filter or aggregate bursts first.
     """
     rows = bins(spectra).where("frequency IS NOT NULL").select(
-        "timestamp", *joins.BURST, "bin", "frequency",
+        "timestamp", *_burst(spectra), "bin", "frequency",
         F.coalesce("energy", F.lit(0.0)).alias("_e"), F.coalesce("direction", F.lit(0.0)).alias("_m"),
         F.greatest(F.coalesce("spread", F.lit(A.DEFAULT_SPREAD)), F.lit(A.LEAST_SPREAD)).alias("_s"))
     thetas = F.sequence(F.lit(0), F.lit(360 - A.DIRECTION_STEP), F.lit(A.DIRECTION_STEP))
@@ -169,11 +175,11 @@ def spreading_grid(spectra: DataFrame) -> DataFrame:
     rows = rows.select("*", F.inline(F.array(F.struct(weights.alias("_w")))))
     total = F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x)
     rows = rows.select("*", F.inline(F.array(F.struct(total.alias("_sum")))))
-    rows = rows.select("timestamp", *joins.BURST, "bin", "frequency", "_e", "_sum",
+    rows = rows.select("timestamp", *_burst(spectra), "bin", "frequency", "_e", "_sum",
                        F.posexplode("_w").alias("_i", "_x"))
     scaled = F.when(F.col("_sum") > 0,
                     F.col("_x") / F.col("_sum") * (F.col("_e") / float(A.DIRECTION_STEP)))
-    return rows.select("timestamp", *joins.BURST, "bin", "frequency",
+    return rows.select("timestamp", *_burst(spectra), "bin", "frequency",
                        (F.col("_i") * A.DIRECTION_STEP).alias("theta"),
                        F.coalesce(scaled, F.col("_x")).alias("intensity"))
 
@@ -185,7 +191,7 @@ def bubbles(spectra: DataFrame) -> DataFrame:
 
 def mean_steps(spectra: DataFrame) -> DataFrame:
     """Mean frequency step of each burst."""
-    return spectra.select("timestamp", *joins.BURST, A.mean_step("frequencies").alias("mean_step"))
+    return spectra.select("timestamp", *_burst(spectra), A.mean_step("frequencies").alias("mean_step"))
 
 
 def layered(coefficients: DataFrame, n: int = 5) -> DataFrame:

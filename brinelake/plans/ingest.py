@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     Every output reads it instead of parsing again, and a lost executor costs nothing that
     was parsed before.  ``by`` keeps the rows of each table in a folder of their own.
     """
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,14 +97,22 @@ def dated(parsed: DataFrame, staging: str, blobs: DataFrame | None = None,
 
 
 def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
-           assemble_blobs: bool = False, mode: str = "append") -> dict[str, DataFrame]:
-    """Numbered lines (``sources.lines.number_lines``) into the lake; returns what was written."""
+           assemble_blobs: bool = False, run: str | None = None) -> dict[str, DataFrame]:
+    """Numbered lines (``sources.lines.number_lines``) into the lake; returns what was written.
+
+    Everything is written under the id of the run, as a stream writes under its batch: running
+    again with the same id, after a crash or by mistake, replaces what that run wrote before and
+    touches nothing else. Without an id every call is a run of its own.
+    """
+    run = run or uuid.uuid4().hex
+    staging = f"{staging.rstrip('/')}/run={run}"
+    lines = stage(lines, f"{staging}/lines")
     blobs = None
     if assemble_blobs:
         rows = filled_lines(lines)
         member = is_blob_line()
         parts = scans.blob_parts(rows, "raw_sentence", member, STREAM, LINE_CHUNK, LINE_ORDER)
-        lake.write_blobs(parts, f"{base.rstrip('/')}/BLOBS", mode)
+        lake.write_run(parts.withColumn("received_at", F.col("started_at")), base, "BLOBS", run)
         index = scans.blob_index(rows, "raw_sentence", member, STREAM, LINE_CHUNK, LINE_ORDER)
         blobs = blob_rows(index.withColumn("received_at", F.col("started_at")))
         lines = rows.where(~member).drop("_text")
@@ -111,5 +121,5 @@ def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
     staged, _ = dated(parsed, f"{staging.rstrip('/')}/dated", blobs)
     tables = outputs(staged, present_tables(staged))
     for name, df in tables.items():
-        lake.write_lake(df, base, L.LAKE_TYPES.get(name, name.upper()), mode)
+        lake.write_run(df, base, L.LAKE_TYPES.get(name, name.upper()), run)
     return tables

@@ -389,6 +389,8 @@ def typed_table(parsed: DataFrame, table: str) -> DataFrame:
     carried = "carried_date" in parsed.columns and not fed_by[0].dated
 
     columns: list[Column] = [F.col(c) for c in extra]
+    if "line_id" in extra:  # what joins and ties of the operators go by
+        columns.append(F.col("line_id").alias("record_id"))
     columns.append(F.col("raw_sentence").alias("original_sentence"))
     columns.append(F.col("record_type").alias("sentence_type"))
     if all((layout.data_format or 0) > 100 for layout in fed_by):

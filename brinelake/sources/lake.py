@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,29 @@ def write_lake(df: DataFrame, base: str, record_type: str, mode: str = "append",
         f"{base.rstrip('/')}/{record_type}")
 
 
+def write_run(df: DataFrame, base: str, record_type: str, run: str, ts: str = "received_at") -> None:
+    """A3, A4: rows of one run or batch below ``date=.../batch_id=...``; what the same run wrote
+    into these days before is replaced, whatever the session's overwrite mode."""
+    rows = spread(with_day(df, ts).withColumn("batch_id", F.lit(run)), "date")
+    inner = [c for c in (ts, "cell_index") if c in rows.columns]
+    rows.sortWithinPartitions("date", *inner).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(
+        f"{base.rstrip('/')}/{record_type}")
+
+
+def compact(spark: SparkSession, base: str, record_type: str, days: list[date], staging: str) -> None:
+    """A4: the files of some days, batches and all, as few larger ones under one run."""
+    for day in days:
+        rows = read_type(spark, base, record_type, start=day, end=day)
+        path = f"{staging.rstrip('/')}/{record_type}-{day.isoformat()}"
+        rows.drop("date").write.mode("overwrite").parquet(path)
+        folder = f"{base.rstrip('/')}/{record_type}/date={day.isoformat()}"
+        remove(spark, folder)
+        staged = spark.read.parquet(path)
+        staged.repartition(max(1, len(staged.inputFiles()) // 8)).write.mode("overwrite").parquet(
+            f"{folder}/batch_id=compacted")
+
+
 def bulk_export(tables: dict[str, DataFrame], base: str, mode: str = "append") -> DataFrame:
     """A5: every mapped table into the lake; returns the rows the lake now holds per table."""
     done: dict[str, DataFrame] = {}
@@ -131,6 +155,27 @@ def apply_status_updates(raw: DataFrame, updates: DataFrame, id_col: str = "line
         for c in raw.columns])
 
 
+def write_status_updates(spark: SparkSession, base: str, record_type: str, updates: DataFrame,
+                         staging: str, id_col: str = "line_id", sequence: str = "update_no") -> list[date]:
+    """A10: the updates written back; only days that hold an updated line are rewritten.
+
+    The new days are staged first, so a crash leaves either the old or the new files of a day.
+    Returns the days.
+    """
+    rows = read_type(spark, base, record_type)
+    days = [r.date for r in rows.join(updates.select(id_col), id_col, "left_semi").select("date")
+            .distinct().orderBy("date").toLocalIterator()]
+    for day in days:
+        old = read_type(spark, base, record_type, start=day, end=day)
+        path = f"{staging.rstrip('/')}/{record_type}-{day.isoformat()}"
+        apply_status_updates(old, updates, id_col, sequence).drop("date").write.mode(
+            "overwrite").parquet(path)
+        folder = f"{base.rstrip('/')}/{record_type}/date={day.isoformat()}"
+        remove(spark, folder)
+        spark.read.parquet(path).write.mode("overwrite").parquet(f"{folder}/batch_id=updated")
+    return days
+
+
 def retain_days(df: DataFrame, days: int, as_of: datetime, ts: str = "received_at") -> DataFrame:
     """Rows of the last days."""
     return filters.time_window(df, as_of - timedelta(days=days), None, ts)
@@ -142,27 +187,70 @@ def expired_partitions(df: DataFrame, days: int, as_of: datetime) -> DataFrame:
     return df.select("date").where(F.col("date") < F.lit(cut)).distinct()
 
 
+def drop_expired(spark: SparkSession, base: str, record_type: str, days: int, as_of: datetime) -> list[str]:
+    """Remove the day folders that lie wholly before the cut; returns their names."""
+    cut, folder = (as_of - timedelta(days=days)).date().isoformat(), f"{base.rstrip('/')}/{record_type}"
+    old = [n for n in folders(spark, folder) if n.startswith("date=") and n[5:] < cut]
+    for name in old:
+        remove(spark, f"{folder}/{name}")
+    return old
+
+
 # ------------------------------------------------------------------------------- reading
+def _store(spark: SparkSession, path: str):
+    """File system and path, for folder names and removal; files are read by Spark's readers."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path, none if it does not exist."""
+    store, where = _store(spark, path)
+    if not store.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in store.listStatus(where) if s.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
 def read_type(spark: SparkSession, base: str, record_type: str, schema: str | None = None,
               start: date | None = None, end: date | None = None) -> DataFrame:
     """One type of the lake, files merged by column name, days pruned.
 
-    With a schema nothing is inferred, which is the way for large lakes.  Without one, files
-    are merged by name; where they disagree on a type, each group of equal files is read by
-    itself and widened.
+    Only the folders of the chosen days are listed. Files lie directly below a day or below the
+    batch or run that wrote them; both are read. With a schema nothing is inferred, which is the
+    way for large lakes. Without one, files are merged by name; where they disagree on a type,
+    files of equal schema are read together and the groups are widened.
     """
     folder = f"{base.rstrip('/')}/{record_type}"
-    reader = spark.read.option("pathGlobFilter", "*.parquet")
-    if schema is not None:
-        df = reader.schema(schema).parquet(folder)
-    else:
+    names = [n for n in folders(spark, folder) if n.startswith("date=")]
+    chosen = [n for n in names if (start is None or n[5:] >= start.isoformat())
+              and (end is None or n[5:] <= end.isoformat())]
+    # where no day is chosen, the last one gives the columns of an empty frame
+    days = "{" + ",".join(chosen or names[-1:]) + "}"
+    parts = []
+    for level in (f"{folder}/{days}/*.parquet", f"{folder}/{days}/batch_id=*/*.parquet"):
+        reader = spark.read.option("basePath", folder)
         try:
-            df = reader.option("mergeSchema", True).parquet(folder)
-        except Exception as error:  # noqa: BLE001 - only the merge failure is handled
+            if schema is not None:
+                parts.append(reader.schema(schema).parquet(level))
+            else:
+                parts.append(reader.option("mergeSchema", True).parquet(level))
+        except Exception as error:  # noqa: BLE001 - only a missing level and a failed merge are handled
+            if "PATH_NOT_FOUND" in str(error):
+                continue
             if "MERGE_SCHEMA" not in str(error):
                 raise
-            df = _read_widened(spark, folder)
+            parts.append(_read_widened(spark, folder, level))
+    parts = [p.drop("batch_id") for p in parts]
+    if not parts:
+        return spark.read.option("mergeSchema", True).parquet(folder)  # says what is missing
+    df = parts[0] if len(parts) == 1 else unions.union_widening(parts)
     if "date" in df.columns:
+        df = df.withColumn("date", F.col("date").cast("date"))
         if start is not None:
             df = df.where(F.col("date") >= F.lit(start))
         if end is not None:
@@ -170,24 +258,28 @@ def read_type(spark: SparkSession, base: str, record_type: str, schema: str | No
     return df
 
 
-def _read_widened(spark: SparkSession, folder: str) -> DataFrame:
-    """Day folders grouped by their schema, each group read once, then united by name."""
-    listing = list_files(spark, folder, "*.parquet").select(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct()
+def _read_widened(spark: SparkSession, folder: str, level: str) -> DataFrame:
+    """Files grouped by their schema, each group read once, then united by name.
+
+    One look at each footer; the files of one folder may differ.
+    """
+    paths = [r.path for r in spark.read.format("binaryFile").load(level).select("path").toLocalIterator()]
+
+    def schema_of(path: str) -> str:
+        return spark.read.option("basePath", folder).parquet(path).schema.json()
+
     groups: dict[str, list[str]] = {}
-    for row in listing.orderBy("folder").toLocalIterator():  # day folders, not rows
-        df = spark.read.option("pathGlobFilter", "*.parquet").option(
-            "basePath", folder).parquet(row.folder)
-        groups.setdefault(df.schema.json(), []).append(row.folder)
-    return unions.union_widening([
-        spark.read.option("pathGlobFilter", "*.parquet").option("basePath", folder).parquet(*paths)
-        for paths in groups.values()])
+    with ThreadPoolExecutor(16) as pool:
+        for path, schema in zip(paths, pool.map(schema_of, paths)):
+            groups.setdefault(schema, []).append(path)
+    return unions.union_widening([spark.read.option("basePath", folder).parquet(*files)
+                                  for files in groups.values()])
 
 
 def read_lake(spark: SparkSession, base: str, types: list[str], start: date | None = None,
               end: date | None = None, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """S3: chosen types between two days, a frame per type that exists."""
-    present = {r.record_type for r in lake_types(spark, base).toLocalIterator()}
+    present = set(lake_types(spark, base))
     return {t: read_type(spark, base, t, (schemas or {}).get(t), start, end)
             for t in types if t in present}
 
@@ -203,7 +295,7 @@ def lake_files(spark: SparkSession, base: str) -> DataFrame:
     files = list_files(spark, base, "*.parquet")
     day = F.regexp_extract("path", r"/date=(\d{4}-\d{2}-\d{2})/", 1)
     return files.select(
-        F.regexp_extract("path", r"/([^/]+)/date=[^/]+/[^/]+$", 1).alias("record_type"),
+        F.regexp_extract("path", r"/([^/]+)/date=[^/]+/(?:batch_id=[^/]+/)?[^/]+$", 1).alias("record_type"),
         F.when(day != "", day).try_cast("date").alias("date"), "path",
         F.col("length").alias("bytes")).where("record_type <> ''")
 
@@ -214,20 +306,21 @@ def lake_inventory(spark: SparkSession, base: str) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def lake_types(spark: SparkSession, base: str) -> DataFrame:
-    return lake_files(spark, base).select("record_type").distinct()
+def lake_types(spark: SparkSession, base: str) -> list[str]:
+    """Types of a lake: the folders below it that hold days."""
+    root = base.rstrip("/")
+    return [n for n in folders(spark, root) if not n.startswith(("_", "."))
+            and any(d.startswith("date=") for d in folders(spark, f"{root}/{n}"))]
 
 
 def register_lake_views(spark: SparkSession, base: str, prefix: str = "view_",
-                        schemas: dict[str, str] | None = None) -> list[str]:
-    """A temporary view per lake type."""
-    names = []
-    for row in lake_types(spark, base).orderBy("record_type").toLocalIterator():
-        name = f"{prefix}{row.record_type.lower()}"
-        read_type(spark, base, row.record_type, (schemas or {}).get(row.record_type)
-                  ).createOrReplaceTempView(name)
-        names.append(name)
-    return names
+                        schemas: dict[str, str] | None = None, types: list[str] | None = None,
+                        start: date | None = None, end: date | None = None) -> list[str]:
+    """A temporary view per lake type, all or the chosen ones, of all or the chosen days."""
+    frames = read_lake(spark, base, types if types is not None else lake_types(spark, base), start, end, schemas)
+    for name, df in frames.items():
+        df.createOrReplaceTempView(f"{prefix}{name.lower()}")
+    return sorted(f"{prefix}{name.lower()}" for name in frames)
 
 
 def stale_writes(spark: SparkSession, base: str, as_of: datetime) -> DataFrame:

@@ -41,13 +41,23 @@ def stream_lines(spark: SparkSession, path: str, stream: Column | None = None,
 
 
 def number_lines(lines: DataFrame, place: str = "line_place") -> DataFrame:
-    """A1: ``line_in_block`` and the repeatable ``line_id`` of every line.
+    """A1: ``line_in_block``, ``line_no`` in the file, and the repeatable ``line_id``.
 
-    A file split is a bounded unit of work, and the ordered scans use the same partitioning,
-    so they follow without another shuffle of the lines.
+    ``line_no`` is counted on two levels: rows per split, a running sum of those per file, and
+    the place in the split. It does not depend on where splits begin, so (``file_path``,
+    ``line_no``) names a line for good; ``line_id`` is a hash of the two for use as one column.
+    The lines are shuffled once, by split, which the ordered scans then use as well.
     """
+    lines = lines.drop("line_in_block", "line_no", "line_id")
     if place not in lines.columns:
         lines = lines.withColumn(place, F.monotonically_increasing_id())
     inside = Window.partitionBy(*LINE_CHUNK).orderBy(place)
     numbered = lines.withColumn("line_in_block", F.row_number().over(inside)).drop(place)
-    return numbered.withColumn("line_id", F.xxhash64("file_path", "block_start", "line_in_block"))
+    per_split = lines.groupBy(*LINE_CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
+        Window.unboundedPreceding, -1)  # one row per split
+    offsets = per_split.select(*LINE_CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = numbered.join(offsets, LINE_CHUNK).withColumn(
+        "line_no", F.col("_before") + F.col("line_in_block")).drop("_before")
+    numbered = numbered.select(*lines.drop(place).columns, "line_in_block", "line_no")
+    return numbered.withColumn("line_id", F.xxhash64("file_path", "line_no"))

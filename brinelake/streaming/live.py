@@ -42,9 +42,7 @@ class LineIngest:
         return spark.read.parquet(self._state_path(kind, batch_id - 1)) if batch_id > 0 else None
 
     def _write(self, df: DataFrame, folder: str, batch_id: int) -> None:
-        rows = lake.with_day(df, "received_at").withColumn("batch_id", F.lit(batch_id))
-        lake.spread(rows, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "date", "batch_id").parquet(f"{self.base}/{folder}")
+        lake.write_run(df, self.base, folder, str(batch_id))
 
     # ------------------------------------------------------------------------------ batch
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -66,10 +64,15 @@ class LineIngest:
         else:
             state = spark.createDataFrame([], "stream_id string, carried_date string, carried_time"
                                               " string, carried_status string, cells_since_header int")
-        state.coalesce(1).write.mode("overwrite").parquet(self._state_path("headers", batch_id))
+        state.write.mode("overwrite").parquet(self._state_path("headers", batch_id))
 
         for name, df in I.outputs(staged, I.present_tables(staged)).items():
             self._write(df, L.LAKE_TYPES.get(name, name.upper()), batch_id)
+        if batch_id > 0:  # a batch begins only after the one before has committed
+            lake.remove(spark, f"{self.base}/_work/batch_id={batch_id - 1}")
+        for kind in ("headers", "blobs"):  # the state read above stays for a run of this batch again
+            if batch_id > 1:
+                lake.remove(spark, self._state_path(kind, batch_id - 2))
 
     def _blobs(self, spark: SparkSession, lines: DataFrame, batch_id: int):
         """Blob parts under an id that a run keeps over batch edges."""
@@ -96,7 +99,7 @@ class LineIngest:
         end = index.groupBy("stream_id").agg(F.max_by("blob_id", "run_no").alias("open_blob"))
         now = last.where("_l.open").join(end, "stream_id").select("stream_id", "open_blob")
         kept = open_runs.join(last.select("stream_id"), "stream_id", "left_anti")
-        now.unionByName(kept).coalesce(1).write.mode("overwrite").parquet(
+        now.unionByName(kept).write.mode("overwrite").parquet(
             self._state_path("blobs", batch_id))
 
         new = index.where(~F.col("continues")).withColumn("received_at", F.col("started_at"))
