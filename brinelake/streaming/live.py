@@ -128,6 +128,14 @@ def live_buckets(stream: DataFrame, column: str, minutes: int = 5, aggregation:
     return out.select(start.alias("bucket"), "value")
 
 
+def completed(emitted: DataFrame, rows: DataFrame, column: str, minutes: int = 5,
+              aggregation: str = "avg", ts: str = "received_at") -> DataFrame:
+    """Emitted buckets and, from the rows themselves, those that the watermark still holds
+    back. A stream that ends never closes its last buckets; the batch form does."""
+    tail = aggregates.time_buckets(rows, column, minutes, aggregation, ts=ts)
+    return emitted.unionByName(tail.select(*emitted.columns).join(emitted.select("bucket"), "bucket", "left_anti"))
+
+
 def ingest_health(raw: DataFrame, errors: DataFrame, as_of: datetime,
                   ts: str = "received_at") -> DataFrame:
     """Rows in the last minute and 5 minutes, all rows, errors, age of the newest row."""

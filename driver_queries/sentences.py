@@ -94,6 +94,34 @@ _STATUS = f"""CASE WHEN line_no < 0 THEN CASE WHEN {_binary('raw_sentence')} THE
  WHEN line_no % 29 = 0 THEN 'PARSE_ERROR' WHEN line_no % 23 = 0 THEN NULL WHEN line_no % 19 = 0 THEN 'PARSE_ERROR' END"""
 
 
+@query("p11_duplicate_tags", "", """SELECT event_id AS line_no, CASE event_id % 3 WHEN 0 THEN 'OK' ELSE 'FAIL' END AS parse_status,
+ CASE WHEN event_id % 3 = 0 THEN (event_id % 900) / 10 END AS speed FROM events""")
+def _(f):
+    """A tag given twice: the last counts in some layouts, others reject the line."""
+    lines = f.sql("""SELECT event_id AS line_no, CASE event_id % 3
+     WHEN 0 THEN concat('$PNORC3,CP=2.5,SP=77.7,SP=', CAST((event_id % 900) / 10 AS DECIMAL(5,1)), ',DIR=12.0,AA=5,AC=50')
+     WHEN 1 THEN '$PNORI2,IT=4,SN=77,NB=4,NC=25,BD=0.40,CS=2.00,CY=ENU,CY=XYZ'
+     ELSE '$PNORC2,DATE=061722,TIME=071850,CN=1,CN=2,CP=3.0,VE=0.1,VN=0.1,VU=0.1,VU2=0.1,A1=50,A2=50,A3=50,A4=50,C1=60,C2=60,C3=60,C4=60'
+     END AS raw_sentence FROM {t:events}""")
+    parsed = P.parse_lines(lines).withColumn("line_id", F.col("line_no"))
+    speed = P.typed_table(parsed.withColumns({"carried_date": F.lit("061722"), "carried_time": F.lit("071850"), "cell_index": F.lit(1)}),
+                          "pnorc34").select(F.col("line_id").alias("line_no"), F.col("speed").cast("double").alias("speed"))
+    return parsed.select("line_no", "parse_status").join(speed, "line_no", "left")
+
+
+@query("p12_velocity_tags", "", """SELECT event_id AS line_no, (event_id % 100) / 100 AS vel1, (event_id % 90) / 100 AS vel2,
+ -(event_id % 80) / 100 AS vel3, (event_id % 70) / 100 AS vel4 FROM events""")
+def _(f):
+    """Every spelling of the four velocity tags lands in the same columns."""
+    lines = f.sql("""SELECT event_id AS line_no, concat('$PNORC2,DATE=061722,TIME=071850,CN=1,CP=3.0,', t[0], '=', v[0], ',', t[1], '=', v[1],
+     ',', t[2], '=', v[2], ',', t[3], '=', v[3], ',A1=50,A2=50,A3=50,A4=50,C1=60,C2=60,C3=60,C4=60') AS raw_sentence FROM (SELECT event_id,
+     CASE event_id % 3 WHEN 0 THEN array('VE', 'VN', 'VU', 'VU2') WHEN 1 THEN array('VX', 'VY', 'VZ', 'VZ2') ELSE array('V1', 'V2', 'V3', 'V4') END AS t,
+     transform(array(event_id % 100, event_id % 90, -(event_id % 80), event_id % 70), x -> CAST(CAST(x / 100 AS DECIMAL(5,2)) AS STRING)) AS v
+     FROM {t:events}) e""")
+    typed = P.typed_table(P.parse_lines(lines).withColumn("line_id", F.col("line_no")), "pnorc12")
+    return typed.select(F.col("line_id").alias("line_no"), *[F.round(F.col(f"vel{k}").cast("double"), 6).alias(f"vel{k}") for k in (1, 2, 3, 4)])
+
+
 @query("p19_classify", "mixed", f"""SELECT line_no, error_type,
  CASE WHEN error_type IS NOT NULL THEN 'FAIL' WHEN line_no % 23 = 0 THEN 'PENDING' ELSE 'OK' END AS parse_status,
  CASE WHEN error_type IN ('BINARY_DATA', 'DECODE_ERROR') THEN NULL WHEN line_no < 0 OR line_no % 29 = 0 THEN 'UNKNOWN'

@@ -91,6 +91,46 @@ def _(f):
     return lake.read_type(f.spark, base, "PNORS").select("record_id", "heading", "pitch")
 
 
+@query("s03_mixed_files", "sensor", """SELECT record_id, CASE WHEN record_id % 2 = 0 THEN CAST(floor(heading) AS DOUBLE) ELSE heading END AS heading,
+ CASE WHEN record_id % 2 = 1 THEN pitch END AS pitch FROM sensor""")
+def _(f):
+    day = f"{fresh_folder(f.spark, 'mixed')}/PNORS/date=2024-01-01"
+    even = f.sensor.where("record_id % 2 = 0").select("record_id", F.floor("heading").cast("int").alias("heading"))
+    even.write.mode("append").parquet(day)
+    f.sensor.where("record_id % 2 = 1").select("record_id", "heading", "pitch").write.mode("append").parquet(day)
+    return lake.read_type(f.spark, day.rsplit("/", 2)[0], "PNORS").select("record_id", "heading", "pitch")
+
+
+def _half_written(f) -> str:
+    """A lake whose even rows are finished, each file with a leftover twin, and whose odd rows are not."""
+    base = fresh_folder(f.spark, "unfinished")
+    for run, rest in (("done", 0), ("open", 1)):
+        lake.write_run(f.sensor.where(f"record_id % 2 = {rest}"), base, "PNORS", run)
+    store, _ = lake._store(f.spark, base)
+    path = f.spark._jvm.org.apache.hadoop.fs.Path
+    for row in lake.list_files(f.spark, base, "*.parquet").select("path").toLocalIterator():  # files, not rows
+        late = path(row.path + ".writing")
+        if "/batch_id=open/" in row.path:
+            store.rename(path(row.path), late)
+        else:
+            out = store.create(late)
+            out.writeByte(1)  # empty files are not listed
+            out.close()
+    return base
+
+
+@query("s04_unfinished_files", "sensor", "SELECT record_id, heading FROM sensor WHERE record_id % 2 = 0")
+def _(f):
+    return lake.read_type(f.spark, _half_written(f), "PNORS").select("record_id", "heading")
+
+
+@query("s05_chosen_views", "sensor cells", "SELECT count(*) AS n, count(DISTINCT CAST(received_at AS DATE)) AS days, 1 AS views FROM cells"
+       " WHERE CAST(received_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def _(f):
+    names = lake.register_lake_views(f.spark, _lake(f), "chosen_", types=["PNORC", "PNORX"], start=date(2024, 1, 5), end=date(2024, 1, 9))
+    return C.run_sql(f.spark, f"SELECT count(*) AS n, count(DISTINCT date) AS days, {len(names)} AS views FROM chosen_pnorc")
+
+
 @query("s05_lake_views", "sensor cells", "SELECT s.data_format, count(*) AS n FROM sensor s JOIN cells c"
        " ON s.received_at = c.received_at AND s.data_format = c.data_format GROUP BY 1")
 def _(f):
@@ -105,14 +145,18 @@ def _(f):
     return lake.lake_inventory(f.spark, _lake(f)).where("files > 0 AND bytes > 0").select("record_type", "date")
 
 
-@query("s07_stale_writes", "", "SELECT 'fault_detected' AS status, count(DISTINCT user_id % 8) AS n FROM events")
+@query("s07_stale_writes", "sensor", """SELECT status, count(DISTINCT CAST(received_at AS DATE)) AS days FROM sensor
+ CROSS JOIN (SELECT unnest(['completed', 'waiting_first_retry', 'waiting_second_retry', 'fault_detected']) AS status) s
+ WHERE (status = 'completed') = (record_id % 2 = 0) GROUP BY 1""")
 def _(f):
-    base = fresh_folder(f.spark, "stuck")
-    f.sensor.repartition("stream_id").select("stream_id", F.col("head_id")).write.partitionBy("stream_id").text(base)
-    files = lake.list_files(f.spark, base, "*.txt")
-    # The folder's own listing stands for a listing of unfinished files an hour later.
-    as_of = datetime.fromtimestamp(datetime.now().timestamp() + 3600)
-    return lake.file_ages(files, files.where("false"), as_of).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    base = _half_written(f)
+    newest = lake.list_files(f.spark, base, lake.UNFINISHED).agg(F.max("modificationTime").alias("t")).first().t
+    out = None
+    for seconds, state in ((1, "waiting_first_retry"), (20, "waiting_second_retry"), (120, "fault_detected")):
+        seen = lake.stale_writes(f.spark, base, datetime.fromtimestamp(newest.timestamp() + seconds))
+        seen = seen.where(F.col("status").isin("completed", state))
+        out = seen if out is None else out.unionByName(seen)
+    return out.groupBy("status").agg(F.countDistinct(F.regexp_extract("path", r"/date=([^/]+)/", 1)).alias("days"))
 
 
 # -------------------------------------------------------------------------------- A: sinks
@@ -146,6 +190,46 @@ def _(f):
     return out
 
 
+@query("a03_ingest_again", "lines", """SELECT 'RAW_LINES' AS folder, count(*) AS n, count(DISTINCT raw_sentence) AS texts FROM lines
+ UNION ALL SELECT 'PNORS', count(*), count(DISTINCT raw_sentence) FROM lines WHERE line_no % 29 <> 0 AND line_no % 19 <> 0 AND line_no % 23 <> 0""")
+def _(f):
+    """Two runs with one staging folder and different types, then the first run once more."""
+    base, staging = fresh_folder(f.spark, "ingested"), fresh_folder(f.spark, "staging")
+    good = "line_no % 29 <> 0 AND line_no % 19 <> 0 AND line_no % 23 <> 0"
+    parts = {run: number_lines(read_lines(f.spark, _line_files(f, f"SELECT * FROM {{f:lines}} l WHERE {where}"), _stream_of(), "*.txt"))
+             for run, where in (("good", good), ("rest", f"NOT ({good})"))}
+    for run in ("good", "rest", "good"):
+        I.ingest(parts[run], base, staging, run=run)
+    out = None
+    for name, column in (("RAW_LINES", "raw_sentence"), ("PNORS", "original_sentence")):
+        part = lake.read_type(f.spark, base, name).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(column).alias("texts")).select(
+            F.lit(name).alias("folder"), "n", "texts")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("a01_line_ids", "lines", "SELECT CAST(stream_id AS VARCHAR) AS stream_id, raw_sentence, row_number() OVER"
+       " (PARTITION BY stream_id ORDER BY line_no) AS line_no, true AS same FROM lines")
+def _(f):
+    """Line numbers and ids of files read whole and in pieces of a few kilobytes."""
+    path, key = _line_files(f), "spark.sql.files.maxPartitionBytes"
+    old = f.spark.conf.get(key)
+    kept = []
+    try:
+        for size in ("128m", "8k"):
+            f.spark.conf.set(key, size)
+            out = fresh_folder(f.spark, "numbered")
+            number_lines(read_lines(f.spark, path, _stream_of(), "*.txt")).write.parquet(out)
+            kept.append(f.spark.read.parquet(out))
+    finally:
+        f.spark.conf.set(key, old)
+    whole, pieces = kept
+    other = pieces.select("file_path", "line_no", F.col("line_id").alias("other"), F.col("raw_sentence").alias("text"))
+    return whole.join(other, ["file_path", "line_no"], "left").select(
+        "stream_id", "raw_sentence", "line_no",
+        (F.col("line_id").eqNullSafe(F.col("other")) & F.col("raw_sentence").eqNullSafe(F.col("text"))).alias("same"))
+
+
 @query("a04_lake_rows", "cells", "SELECT record_id, CAST(received_at AS DATE) AS date, cell_index, vel1,"
        " CAST(measurement_date || measurement_time AS BIGINT) AS measurement_id FROM cells")
 def _(f):
@@ -203,6 +287,29 @@ def _(f):
     return lake.apply_status_updates(f.raw, first.unionByName(second)).select("line_id", "parse_status", "error_message")
 
 
+@query("a10_written_back", "raw", """SELECT line_id, CASE WHEN line_id % 3 = 0 AND CAST(received_at AS DATE) = DATE '2024-01-08' THEN 'FAIL' ELSE parse_status END AS parse_status,
+ CAST(received_at AS DATE) = DATE '2024-01-08' AS rewritten FROM raw""")
+def _(f):
+    base = fresh_folder(f.spark, "status")
+    lake.write_lake(f.raw, base, "RAW_LINES")
+    before = lake.list_files(f.spark, base).select("path").withColumn("kept", F.lit(True))
+    before.write.parquet(f"{base}/_before")
+    updates = f.raw.where("line_id % 3 = 0 AND CAST(received_at AS DATE) = DATE '2024-01-08'").select(
+        "line_id", F.lit("FAIL").alias("parse_status"), F.lit(1).alias("update_no"))
+    lake.write_status_updates(f.spark, base, "RAW_LINES", updates, fresh_folder(f.spark, "staged"))
+    days = lake.lake_files(f.spark, base).join(f.spark.read.parquet(f"{base}/_before"), "path", "left").groupBy("date").agg(
+        F.bool_or(F.col("kept").isNull()).alias("rewritten"))
+    return lake.read_type(f.spark, base, "RAW_LINES").join(days, "date", "left").select("line_id", "parse_status", "rewritten")
+
+
+@query("a11_dropped_days", "raw", "SELECT line_id FROM raw WHERE CAST(received_at AS DATE) >= DATE '2024-01-10'")
+def _(f):
+    base = fresh_folder(f.spark, "retained")
+    lake.write_lake(f.raw, base, "RAW_LINES")
+    lake.drop_expired(f.spark, base, "RAW_LINES", 5, NOON)
+    return lake.read_type(f.spark, base, "RAW_LINES").select("line_id")
+
+
 @query("a11_retention", "raw", "SELECT line_id FROM raw WHERE received_at >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '5 days'")
 def _(f):
     return lake.retain_days(f.raw, 5, NOON).select("line_id")
@@ -335,6 +442,40 @@ def _(f):
         "source", "display_name", "category", "record_count")
 
 
+@query("c02_describe", "waves", """SELECT 'waves' AS source, column_name, kind AS column_type, n FROM (SELECT unnest(['record_id', 'received_at',
+ 'measurement_date', 'measurement_time', 'spectrum_basis', 'processing_method', 'hm0', 'tp', 'main_dir', 'wave_error_code']) AS column_name,
+ unnest(['NUMERIC', 'TIMESTAMP', 'TEXT', 'TEXT', 'NUMERIC', 'NUMERIC', 'NUMERIC', 'NUMERIC', 'NUMERIC', 'TEXT']) AS kind) c
+ CROSS JOIN (SELECT count(*) AS n FROM waves) w""")
+def _(f):
+    return C.describe(f.spark, "waves", f.waves).select("source", "column_name", "column_type").crossJoin(
+        f.waves.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("c04_resolve", "sensor cells", """SELECT name, n FROM (SELECT unnest(['pnors_df100', 'PNORC12', 'pnorw_data', 'chosen']) AS name) x LEFT JOIN
+ (SELECT 'pnors_df100' AS name, count(*) AS n FROM sensor UNION ALL SELECT 'PNORC12', count(*) FROM cells UNION ALL SELECT 'chosen', count(*) FROM sensor) y
+ USING (name)""")
+def _(f):
+    names = [*lake.register_lake_views(f.spark, _lake(f), "pq_"), "chosen"]
+    f.sensor.createOrReplaceTempView("chosen")
+    out = None
+    for name in ("pnors_df100", "PNORC12", "pnorw_data", "chosen"):
+        view = C.resolve(name, set(names))
+        n = f.spark.table(view).agg(F.count(F.lit(1)).alias("n")) if view else f.spark.range(1).select(F.lit(None).cast("bigint").alias("n"))
+        part = n.select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("c05_columns", "bands", """SELECT 'record_id' AS name, count(record_id) AS n FROM bands UNION ALL SELECT 'received_at', count(received_at) FROM bands
+ UNION ALL SELECT 'measurement_date', count(measurement_date) FROM bands UNION ALL SELECT 'measurement_time', count(measurement_time) FROM bands
+ UNION ALL SELECT 'band', count(band) FROM bands UNION ALL SELECT 'hmo', count(hmo) FROM bands UNION ALL SELECT 'tp', count(tp) FROM bands
+ UNION ALL SELECT 'main_dir', count(main_dir) FROM bands""")
+def _(f):
+    names = [name for name, _ in C.columns(f.bands)]
+    counts = f.bands.agg(*[F.count(c).alias(c) for c in names])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in names])))
+
+
 @query("c06_free_sql", "sensor", "SELECT data_format, count(*) AS n, round(avg(heading), 6) AS heading FROM sensor WHERE pitch > 0 GROUP BY 1")
 def _(f):
     return rounded(C.run_sql(f.spark, "SELECT data_format, count(*) AS n, avg(heading) AS heading FROM sensor_rows WHERE pitch > 0"
@@ -360,17 +501,48 @@ def _(f):
     return f.spark.read.parquet(f"{base}/RAW_LINES").groupBy("stream_id", "parse_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("r02_stream_lake", "lines", """SELECT 'PNORS' AS record_type, count(*) AS n, round(sum((line_no * 37) % 3600 / 10.0e0), 4) AS total, 1 AS views
+ FROM lines WHERE line_no % 29 <> 0 AND line_no % 19 <> 0 AND line_no % 23 <> 0 UNION ALL SELECT 'RAW_LINES', count(*), NULL, 1 FROM lines""")
+def _(f):
+    """What a stream and a batch run wrote into one lake, half of the lines each, by the lake's readers."""
+    base, staging = fresh_folder(f.spark, "one-lake"), fresh_folder(f.spark, "staging")
+    halves = [_line_files(f, f"SELECT * FROM {{f:lines}} l WHERE line_no % 2 = {k}") for k in (0, 1)]
+    lines = stream_lines(f.spark, halves[0], _stream_of(), 4, "*.txt")
+    live.LineIngest(base).start(lines, fresh_folder(f.spark, "state"), available_now=True).awaitTermination()
+    I.ingest(number_lines(read_lines(f.spark, halves[1], _stream_of(), "*.txt")), base, staging, run="batch")
+    seen = {r.record_type for r in lake.lake_inventory(f.spark, base).where("files > 0").collect()}
+    frames, out = lake.read_lake(f.spark, base, ["PNORS", "RAW_LINES"]), None
+    for name in frames:
+        views = lake.register_lake_views(f.spark, base, "live_", types=[name]) if name in seen else []
+        total = F.round(F.sum(F.col("heading").cast("double")), 4) if name == "PNORS" else F.lit(None).cast("double")
+        part = f.spark.table(views[0]).agg(F.count(F.lit(1)).alias("n"), total.alias("total")).select(
+            F.lit(name).alias("record_type"), "n", "total", F.lit(len(views)).alias("views"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("r07_bounded_batches", "lines", "SELECT CAST(ceil(count(DISTINCT stream_id) / 3.0) AS INT) AS batches, count(*) AS n FROM lines")
+def _(f):
+    out = fresh_folder(f.spark, "bounded")
+    lines = stream_lines(f.spark, _line_files(f), _stream_of(), 3, "*.txt")
+    q = lines.writeStream.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).option(
+        "checkpointLocation", fresh_folder(f.spark, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return f.spark.read.parquet(out).agg(F.countDistinct("batch").cast("int").alias("batches"), F.count(F.lit(1)).alias("n"))
+
+
 @query("r03_live_buckets", "sensor", """SELECT time_bucket(INTERVAL '5 minutes', received_at) AS bucket, round(sum(pressure), 4) AS value
- FROM sensor GROUP BY 1 HAVING bucket + INTERVAL '5 minutes' <= (SELECT max(received_at) FROM sensor) - INTERVAL '10 minutes'""")
+ FROM sensor GROUP BY 1""")
 def _(f):
     source, out = fresh_folder(f.spark, "sensor"), fresh_folder(f.spark, "buckets")
-    f.sensor.select("received_at", "pressure").repartition(1).write.parquet(source)
+    rows = f.sensor.select("received_at", "pressure")
+    rows.repartitionByRange("received_at").sortWithinPartitions("received_at").write.parquet(source)
     stream = f.spark.readStream.schema("received_at timestamp_ntz, pressure double").parquet(source)
-    rows = live.live_buckets(stream, "pressure", 5, "sum")
-    q = rows.writeStream.format("parquet").option("path", out).option(
+    live_rows = live.live_buckets(stream, "pressure", 5, "sum")
+    q = live_rows.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", fresh_folder(f.spark, "state")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(f.spark.read.parquet(out), 4)
+    return rounded(live.completed(f.spark.read.parquet(out), f.spark.read.parquet(source), "pressure", 5, "sum"), 4)
 
 
 def _two_batches(f, rows) -> live.LineIngest:
