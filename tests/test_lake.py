@@ -44,11 +44,11 @@ def test_status_updates_latest_wins(spark):
 
 
 LINES = {
-    "one": [b"\x01\x02\x03start of one", b"$PNORC3,CP=4.5,SP=1.0,DIR=110.9,AA=6,AC=28", b"$PNORH3,DATE=141112,TIME=081946,EC=0,SC=2A4C0000*5F",
-            b"$PNORS3,BV=22.9,SS=1546.1,H=151.1,PI=-12.0,R=-5.2,P=705.669,T=24.96", b"$PNORC3,CP=4.5,SP=2.0,DIR=110.9,AA=6,AC=28",
-            b"$PNORC3,CP=4.5,SP=3.0,DIR=110.9,AA=6,AC=28", b"", b"\x01\x02open", b"   ", b"\xff\xfestill open ................"],
-    "two": [b"\x03\x04and on", b"$PNORC4,27.5,4.0,322.6,28,4*6E", b"garbage", b"$PXXXX,1,2", b"$PNORH4,141112,083149,0,2A4C0000",
-            b"$PNORC4,27.5,5.0,322.6,28,4", b"\x01\x02last"],
+    "one": [b"\x01\x02\x03start of one", b"$PNORC3,CP=4.5,SP=1.0,DIR=203.5,AA=9,AC=47", b"$PNORH3,DATE=230415,TIME=110530,EC=0,SC=1B070000*5F",
+            b"$PNORS3,BV=18.7,SS=1475.3,H=64.8,PI=6.5,R=1.9,P=31.204,T=10.52", b"$PNORC3,CP=4.5,SP=2.0,DIR=203.5,AA=9,AC=47",
+            b"$PNORC3,CP=4.5,SP=3.0,DIR=203.5,AA=9,AC=47", b"", b"\x01\x02open", b"   ", b"\xff\xfestill open ................"],
+    "two": [b"\x03\x04and on", b"$PNORC4,12.5,4.0,87.2,47,9*6E", b"garbage", b"$PXXXX,1,2", b"$PNORH4,230415,113030,0,1B070000",
+            b"$PNORC4,12.5,5.0,87.2,47,9", b"\x01\x02last"],
 }
 
 
@@ -88,10 +88,10 @@ def test_stream_equals_batch(spark, results):
 def test_headers_and_blobs(spark, results):
     batch, live = results
     assert values(spark, batch, "PNORC34", "speed", "measurement_time", "cell_index") == [
-        ("2.0000", "081946", "1"), ("3.0000", "081946", "2"), ("4.0000", "081946", "3"), ("5.0000", "083149", "1")]
+        ("2.0000", "110530", "1"), ("3.0000", "110530", "2"), ("4.0000", "110530", "3"), ("5.0000", "113030", "1")]
     errors = values(spark, batch, "PARSE_ERRORS", "error_type", "raw_sentence")
     assert [e[0] for e in errors].count("BINARY_DATA") == 3  # the run over both files is one blob
-    assert ("CONSTRAINT_VIOLATION", "$PNORC3,CP=4.5,SP=1.0,DIR=110.9,AA=6,AC=28") in errors
+    assert ("CONSTRAINT_VIOLATION", "$PNORC3,CP=4.5,SP=1.0,DIR=203.5,AA=9,AC=47") in errors
     parts = spark.read.parquet(f"{live}/BLOBS").groupBy("blob_id").agg(F.sum("line_count").alias("n"))
     assert sorted(r.n for r in parts.collect()) == [1, 1, 3]
     assert spark.read.parquet(f"{batch}/BLOBS").agg(F.sum("byte_count")).first()[0] == spark.read.parquet(
