@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +36,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")
 
 
-def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples, batch by batch."""
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
-
-
 def row_keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__file`` and ``__row``, which name a row whatever its values repeat.
 
     They come from the file that the row is read from, so they are the same in every pass and
-    under every split. A frame that does not come straight from files is written first.
+    under every split. A frame that does not come straight from files is written first; one that
+    repeats rows of a file by a generator has to be written by the caller.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"),

@@ -13,7 +13,7 @@ this number on are rules), ``rules`` (pairs of unsigned 32-bit numbers), ``seque
 so a lost executor costs its own shards only.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; documents with
-equal ids are ordered by text, of which equal ones are interchangeable; a document longer than a
+equal ids are ordered by a hash of their text, equal texts are interchangeable; a document longer than a
 shard is a shard of its own; an empty table gives an empty data set.
 """
 
@@ -265,8 +265,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
         if held:
             yield done()
 
-    (docs.select(doc_id, text).repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
-     .mapInArrow(shards, _SHARDS.format(kind))
+    # the hash settles ties; splitters are sampled from the keys, which therefore stay small
+    rows = docs.select(doc_id, text, F.xxhash64(text).alias("__tie"))
+    (rows.repartitionByRange(doc_id, "__tie").sortWithinPartitions(doc_id, "__tie")
+     .select(doc_id, text).mapInArrow(shards, _SHARDS.format(kind))
      .write.mode("overwrite").option("compression", "zstd").parquet(folder))
 
 
