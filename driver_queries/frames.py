@@ -242,7 +242,16 @@ class Frames:
             text = re.sub(r"\{f:(\w+)\}", lambda m: f"({FRAMES[m.group(1)]})", text)
         return self.spark.sql(render(text, True, self.folder).replace('"values"', "`values`"))
 
+    #: Frames written beforehand, so that a timing is of the operator and not of its test data.
+    kept: dict[tuple[str, str], str] = {}
+
+    def keep(self, path: str, *names: str) -> None:
+        for name in names:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            self.kept[self.folder, name] = f"{path}/{name}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in FRAMES:
             raise AttributeError(name)
-        return self.sql(FRAMES[name])
+        kept = self.kept.get((self.folder, name))
+        return self.spark.read.parquet(kept) if kept else self.sql(FRAMES[name])
