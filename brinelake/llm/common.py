@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import os
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,18 @@ from brinelake.session import fresh_folder
 BLANKS = r"\x20\x09-\x0D"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import the package from where the driver has it.
+
+    Clusters install the package or get it by their own means; this serves sessions that were
+    started elsewhere on a machine with the same folders.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

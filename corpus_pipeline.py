@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinelake.llm import bpe, linededup, mixing, rules, simhash
-from brinelake.llm.common import table, tokenizer_file, written
+from brinelake.llm.common import importable, table, tokenizer_file, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy rejects go."""
+    importable(spark)
     return rules.filtered(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages of two lines or more go; so does what is left without a word."""
+    importable(spark)
     out = linededup.line_deduplicated(docs)
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("__removed") > 0, size)
@@ -29,16 +31,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays; shingles of five words."""
+    importable(spark)
     return simhash.deduplicated(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    importable(spark)
     return mixing.mixture(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document: doc_id, source, n_tokens, ids."""
+    importable(spark)
     ids = bpe.encode(F.col("text"), tokenizer_file("byte_bpe_50k.json"))
     out = docs.select("doc_id", "source", ids.alias("ids"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
