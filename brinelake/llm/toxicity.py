@@ -172,7 +172,10 @@ def _fold(doc_id: Column) -> Column:
 
 
 class Weigher:
-    """Sum of the weights of the distinct words of a text."""
+    """Sum of the evidence of the distinct words of a text: squared log odds, over ten.
+
+    Squares, since a word seen in many toxic rows and no other tells more than two seen in a few.
+    """
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
         self.restorer, self.weights = restorer, weights
@@ -200,7 +203,7 @@ class Weigher:
                 if h is not None:
                     hits[h[0]] = h[1]
                     break
-        return float(sum(hits.values()))
+        return sum(w * w for w in hits.values()) / 10
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, folds: list[int],
@@ -261,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "do
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher = Weigher(Restorer(sent.value), told.value)
         for batch in batches:
-            found = [int(min(100.0, weigher.total(t))) for t in batch.column(0).to_pylist()]
+            found = [int(10 * min(100.0, weigher.total(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(1).cast(pa.int64())],
                                              names=["s", "toxic"])
 
@@ -272,9 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "do
 
 
 def _curve(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
-    """Slope and offset of P(toxic) over log(1 + sum), by damped Newton steps on smoothed counts."""
-    bins = [*bins, (0, 1, 0), (8, 1, 1)]  # one pseudo-count on either side
-    x = np.array([np.log1p(b[0]) for b in bins])
+    """Slope and offset of P(toxic) over log(1 + sum), by damped Newton steps on smoothed counts.
+
+    Bins are tenths of a sum, rows, toxic rows.
+    """
+    bins = [*bins, (0, 1, 0), (80, 1, 1)]  # one pseudo-count on either side
+    x = np.array([np.log1p(b[0] / 10) for b in bins])
     n, t = (np.array([b[k] for b in bins], float) for k in (1, 2))
     design, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(200):
@@ -288,7 +294,7 @@ def _curve(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
            folds: tuple[int, int] = (0, 2), bound: int = FIT_ROWS) -> DataFrame:
-    """Per row: the id, ``total`` (sum of weights) and ``score``."""
+    """Per row: the id, ``total`` (sum of evidence) and ``score``."""
     model = character_model(docs, text)
     weights, slope, offset = fit(docs, labels, model, doc_id, text, folds, bound)
     context = docs.sparkSession.sparkContext
