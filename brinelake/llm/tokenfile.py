@@ -7,7 +7,7 @@ position is found by binary search in the running sum of expansion lengths, so i
 from the middle of a shard by expanding only the symbols there.
 
 Format: a Parquet data set with one row per shard: ``part`` and ``n`` (order of the shards),
-``doc_ids``, ``doc_tokens`` (lengths, end ids included), ``n_tokens``, ``terminals`` (symbols from
+``first`` (ids of the part before the shard), ``doc_ids``, ``doc_tokens`` (lengths, end ids included), ``n_tokens``, ``terminals`` (symbols from
 this number on are rules), ``rules`` (pairs of unsigned 32-bit numbers), ``sequence`` (unsigned
 32-bit numbers) and ``lengths`` (expansion length per rule). Spark's writer commits whole files,
 so a lost executor costs its own shards only.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinelake.llm.bpe import byte_letters
+from brinelake.llm.common import written
 
 SHARD = 1 << 20
-LEAST = 16
-CACHE = 400_000
+LEAST = 64
+CACHE = 800_000
 _RUN = re.compile(r"[ \n]+")
 #: Letters that only change to lower case on their way to the model, then ASCII punctuation.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -67,13 +69,12 @@ class WordIds:
         self.memory: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = dict(enumerate(byte_letters()))
+        self.four = [struct.Struct(f"<{n}I") for n in range(130)]
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(text)])
-            self.pieces[piece] = found
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.library.model.tokenize(text)
+        found = self.pieces[piece] = self.four[len(tokens)].pack(*[t.id for t in tokens])
         return found
 
     @staticmethod
@@ -89,17 +90,22 @@ class WordIds:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memory) > CACHE:
-            self.memory, self.pieces = {}, {}
-        have = self.memory
+            self.memory = {}
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        have, pieces, piece, simple = self.memory, self.pieces.get, self._piece, _SIMPLE.fullmatch
         split = [self._words(t) if t else [] for t in texts]
         new = []
         for w in set().union(*split):
             if w not in have:
-                m = _SIMPLE.fullmatch(w) if len(w) <= 64 else None
+                m = simple(w) if len(w) <= 64 else None
                 if m is None:
                     new.append(w)
                 else:
-                    have[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
+                    letters, marks = m.groups()
+                    letters = letters.lower()
+                    code = pieces(letters) or piece(letters)
+                    have[w] = code + (pieces(marks) or piece(marks)) if marks else code
         # A word that starts with a mark, or holds a special token's name, is encoded with its text.
         odd = {w for w in new if any(n in w for n in self.names)
                or (w and not w[0].isascii() and unicodedata.combining(w[0]))}
@@ -218,7 +224,9 @@ class Shard:
         return np.frombuffer(raw, "<u4")[start - before:end - before]
 
 
-_SHARDS = ("part long, n long, doc_ids array<{0}>, doc_tokens array<long>, n_tokens long,"
+#: Rows of the table of files up to which it is sent to every executor; 16 bytes each.
+FEW_FILES = 100_000
+_SHARDS = ("part long, n long, first long, doc_ids array<{0}>, doc_tokens array<long>, n_tokens long,"
            " terminals long, rules binary, sequence binary, lengths binary")
 
 
@@ -228,28 +236,28 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, n = words(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, n, first = words(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         names: list = []
         held: list[bytes] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            nonlocal n, size
+            nonlocal n, first, size
             ids = np.frombuffer(b"".join(held), "<u4")
             terminals = max(coder.size, end_id + 1)
             rules, seq = repair(ids, terminals)
-            row = {"part": part, "n": n, "doc_ids": list(names), "doc_tokens": [len(h) // 4 for h in held],
+            row = {"part": part, "n": n, "first": first, "doc_ids": list(names), "doc_tokens": [len(h) // 4 for h in held],
                    "n_tokens": len(ids), "terminals": terminals, "rules": rules.tobytes(),
                    "sequence": seq.tobytes(), "lengths": rule_lengths(rules, terminals).tobytes()}
-            n, size = n + 1, 0
+            n, first, size = n + 1, first + len(ids), 0
             names.clear()
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = None
         for batch in batches:
-            schema = pa.schema([("part", pa.int64()), ("n", pa.int64()),
+            schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("first", pa.int64()),
                                 ("doc_ids", pa.list_(batch.schema.field(0).type)),
                                 ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()),
                                 ("terminals", pa.int64()), ("rules", pa.binary()),
@@ -272,15 +280,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
      .write.mode("overwrite").option("compression", "zstd").parquet(folder))
 
 
-def shard_starts(shards: DataFrame) -> DataFrame:
-    """(part, n, before): ids in the data set before each shard, from two levels of sums."""
-    sizes = shards.select("part", "n", "n_tokens")
-    inner = W.partitionBy("part").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    outer = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    parts = parts.select("part", F.coalesce(F.sum("all").over(outer), F.lit(0)).alias("offset"))
-    inside = sizes.select("part", "n", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("local"))
-    return inside.join(parts, "part").select("part", "n", (F.col("offset") + F.col("local")).alias("before"))
+def part_starts(shards: DataFrame) -> DataFrame:
+    """(part, before): ids in the data set before each file, in the order of the files."""
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    return parts.select("part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -301,6 +305,8 @@ def read(spark, folder: str) -> DataFrame:
                     names=["doc_id", "start", "ids"])
 
     schema = T.StructType().add("doc_id", kind).add("start", "long").add("ids", "binary")
-    return (shards.join(shard_starts(shards), ["part", "n"])
-            .select("before", "doc_ids", "doc_tokens", "terminals", "rules", "sequence", "lengths")
+    parts = written(part_starts(shards), "token-files")
+    parts = F.broadcast(parts) if parts.count() <= FEW_FILES else parts
+    return (shards.join(parts, "part")
+            .select((F.col("before") + F.col("first")).alias("before"), "doc_ids", "doc_tokens", "terminals", "rules", "sequence", "lengths")
             .mapInArrow(expand, schema))
