@@ -253,12 +253,12 @@ def _(f):
         F.aggregate("energy_densities", F.lit(0.0), lambda a, x: a + x).alias("energy_sum")))
 
 
-_PROFILE = "s.heading, s.pitch, s.roll, s.pressure, s.temperature, c.cell_index"
+_PROFILE = "s.stream_id, s.heading, s.pitch, s.roll, s.pressure, s.temperature, c.cell_index"
 
 
 @query("j02_profile_df100", "sensor cells", f"""SELECT s.record_id AS sensor_id, s.received_at, s.measurement_date,
  s.measurement_time, {_PROFILE}, c.vel1, c.vel2, c.vel3, c.vel4, c.speed, c.direction
- FROM sensor s JOIN cells c {_on('s', 'c')} WHERE s.data_format = 100 AND c.data_format = 100""")
+ FROM sensor s JOIN cells c {_on('s', 'c')} AND s.stream_id = c.stream_id WHERE s.data_format = 100 AND c.data_format = 100""")
 def _(f):
     return J.current_profile_df100(f.sensor.where("data_format = 100").drop("data_format"),
                                    f.cells.where("data_format = 100").drop("data_format"))
@@ -296,15 +296,15 @@ def _(f):
 
 @query("j04_profile_12", "sensor cells", f"""SELECT s.record_id AS sensor_id, s.data_format, s.received_at,
  s.measurement_date, s.measurement_time, {_PROFILE}, c.cell_distance, c.vel1, c.vel2, c.vel3, c.vel4
- FROM sensor s JOIN cells c {_on('s', 'c')} AND s.data_format = c.data_format WHERE s.data_format IN (101, 102)""")
+ FROM sensor s JOIN cells c {_on('s', 'c')} AND s.data_format = c.data_format AND s.stream_id = c.stream_id WHERE s.data_format IN (101, 102)""")
 def _(f):
     return J.current_profile_12(f.sensor.where("data_format IN (101, 102)"), f.cells)
 
 
 @query("j05_profile_34", "sensor cells", f"""SELECT h.record_id AS header_id, h.data_format, h.received_at,
  h.measurement_date, h.measurement_time, h.error_code, h.status_code, {_PROFILE}, c.cell_distance, c.speed, c.direction
- FROM sensor h JOIN sensor s {_on('h', 's')} AND h.data_format = s.data_format
- JOIN cells c {_on('h', 'c')} AND h.data_format = c.data_format WHERE h.data_format IN (103, 104)""")
+ FROM sensor h JOIN sensor s {_on('h', 's')} AND h.data_format = s.data_format AND h.stream_id = s.stream_id
+ JOIN cells c {_on('h', 'c')} AND h.data_format = c.data_format AND h.stream_id = c.stream_id WHERE h.data_format IN (103, 104)""")
 def _(f):
     s = f.sensor.where("data_format IN (103, 104)")
     return J.current_profile_34(s, s, f.cells)
