@@ -147,3 +147,23 @@ def test_upgrade_skips_what_is_missing(spark):
     assert M.consolidate("pnorc34", {}) is None
     out = M.upgrade({"raw_lines": new})
     assert set(out) == {"raw_lines"}
+
+
+def test_instruments_of_one_second_stay_apart(spark):
+    """Typed tables of two streams that sampled at the same second, straight from parsed lines."""
+    from brinelake.operators import joins
+    from brinelake.plans import parse
+
+    rows = []
+    for k, stream in enumerate(("north", "south")):
+        rows.append((f"{stream}-1", stream, f"$PNORS,061722,143027,00000000,00C10020,12.6,1487.5,{131 + k}.4,-3.1,4.8,1.250,17.31,0,0"))
+        for cell in (1, 2):
+            rows.append((f"{stream}-c{cell}", stream, f"$PNORC,061722,143027,{cell},0.3{k},0.42,-0.05,-0.06,0.52,36.4,C,71,69,74,70,33,38,35,31"))
+    lines = spark.createDataFrame(rows, "line_id string, stream_id string, raw_sentence string").withColumn(
+        "received_at", F.lit("2022-06-17 14:30:28").cast("timestamp_ntz"))
+    parsed = parse.parse_lines(lines)
+    sensors, cells = parse.typed_table(parsed, "pnors_df100"), parse.typed_table(parsed, "pnorc_df100")
+    got = joins.current_profile_df100(sensors, cells).collect()
+    assert sorted((r.stream_id, r.cell_index, float(r.heading), round(float(r.vel1), 2)) for r in got) == [
+        ("north", 1, 131.4, 0.30), ("north", 2, 131.4, 0.30), ("south", 1, 132.4, 0.31), ("south", 2, 132.4, 0.31)]
+    assert K.query_data(sensors).count() == 2
