@@ -137,7 +137,7 @@ def repair(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndar
     """(rules, sequence) of a grammar for ``ids``.
 
     A round counts all adjacent pairs by sorting them and replaces, from left to right, every pair
-    that occurs at least a sixteenth as often as the most frequent one; it ends where that falls
+    that occurs at least a sixty-fourth as often as the most frequent one; it ends where that falls
     below ``least``.
     """
     seq = ids.astype(np.int64)
@@ -151,7 +151,7 @@ def repair(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndar
         most = int(count.max())
         if most < least:
             break
-        often = count >= max(least, most // 16)
+        often = count >= max(least, most // 64)
         chosen = order[start[often]]
         slot = ((chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
         _, first = np.unique(slot, return_index=True)  # of pairs in one slot the others wait a round
