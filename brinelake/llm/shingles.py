@@ -1,0 +1,132 @@
+"""Links of texts by the Jaccard similarity of their word shingles: min-hash keys, exact counts.
+
+A text is the set of the XXH64 hashes of its shingles. Of each set ``BANDS`` keys are made of
+``ROWS`` minima each; two sets of similarity *s* miss each other in every key with probability
+``(1 - s**ROWS)**BANDS``: 3 in a million at 0.8, less above. Keys only propose; a link is put out
+when the counted similarity of the two whole sets is at least ``LEAST``.
+
+Pairs are proposed in two rounds. First every set is held against the smallest of its block, one
+row per set and key. What is connected by then needs no further look, so only pairs of a block
+that still lie in different groups are proposed in the second round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brinelake.llm.common import written
+from brinelake.llm.components import components
+
+BANDS, ROWS = 24, 4
+#: Numerator and denominator of the least similarity.
+LEAST = (4, 5)
+_rng = np.random.default_rng(42)
+_XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_ODD = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_PART = 2048
+
+
+def keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of one set that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), _PART):
+        np.minimum(least, ((shingles[None, k:k + _PART] ^ _XOR) * _ODD).min(1), out=least)
+    return np.fromiter((xxhash.xxh64_intdigest(part.tobytes(), b)
+                        for b, part in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS)
+
+
+def sketches(text: Column, hashes, majority) -> Column:
+    """Struct of fingerprint, name of the set, its size and its keys; null name without a word."""
+    kind = (T.StructType().add("fp", "long").add("sig", "long").add("n", "long")
+            .add("keys", T.ArrayType(T.LongType())))
+
+    @F.arrow_udf(kind)
+    def told(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in column:
+            fp, sig, n, out = [], [], [], []
+            for t in array:
+                every = hashes(t.as_py())
+                own = np.unique(every)
+                fp.append(majority(every))
+                n.append(len(own))
+                sig.append(xxhash.xxh64_intdigest(own.tobytes(), 1) if len(own) else None)
+                out.append(keys(own).view(np.int64) if len(own) else None)
+            names = np.array([s or 0 for s in sig], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.array(fp, np.uint64).view(np.int64)),
+                 pa.array(names, mask=np.array([s is None for s in sig], bool)),
+                 pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                names=["fp", "sig", "n", "keys"])
+
+    return told(text)
+
+
+def sets(text: Column, hashes) -> Column:
+    """The distinct shingle hashes of each text."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def told(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in column:
+            yield pa.array([np.unique(hashes(t.as_py())).view(np.int64) for t in array],
+                           pa.list_(pa.int64()))
+
+    return told(text)
+
+
+def _sized(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    p, q = LEAST
+    return q * F.least(a, b) >= p * F.greatest(a, b)
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Fingerprints (a, b) of the pairs whose sets are similar enough."""
+    p, q = LEAST
+    left, right = (held.select(F.col("sig").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("set").alias(f"set_{c}"))
+                   for c in ("a", "b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return (pairs.join(left, "a").join(right, "b")
+            .where((p + q) * both >= p * (F.size("set_a") + F.size("set_b")))
+            .select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+
+
+def links(prints: DataFrame, rows: DataFrame, known: DataFrame, text: str, hashes) -> DataFrame:
+    """``known`` and the links (a, b) of fingerprints whose texts are similar enough.
+
+    ``prints`` has ``__file``, ``__row``, ``fp``, ``sig``, ``n`` and ``keys``; ``rows`` the texts.
+    """
+    said = prints.where(F.col("sig").isNotNull())
+    nodes = written(said.groupBy("sig").agg(F.min(F.struct("fp", "__file", "__row", "n", "keys")).alias("x"))
+                    .select("sig", "x.*"), "shingle-nodes")
+    twins = (said.select("sig", F.col("fp").alias("b")).distinct()
+             .join(nodes.select("sig", F.col("fp").alias("a")), "sig").where(F.col("a") != F.col("b"))
+             .select("a", "b"))
+    dealt = nodes.select("sig", "n", F.explode("keys").alias("key"))
+    heads = (dealt.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("head"), F.max("sig").alias("last"))
+             .where(F.col("head.sig") != F.col("last")).drop("last"))
+    met = written(dealt.join(heads, "key"), "shingle-blocks")
+    held = written(nodes.join(met.select("sig").distinct(), "sig")
+                   .join(rows.select("__file", "__row", text), ["__file", "__row"])
+                   .select("sig", "fp", sets(F.col(text), hashes).alias("set")), "shingle-sets")
+    first = written(met.where((F.col("sig") != F.col("head.sig")) & _sized("n", "head.n"))
+                    .select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), "shingle-pairs")
+    known = written(known.union(twins).union(_verified(first, held)), "shingle-links")
+    roots = components(known).select(F.col("node").alias("fp"), "root")
+    placed = written(met.select("key", "sig", "n").join(held.select("sig", "fp"), "sig").join(roots, "fp", "left")
+                     .select("key", "sig", "n", F.coalesce("root", "fp").alias("root")), "shingle-placed")
+    apart = (placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("key"))
+    rest = written(placed.join(apart, "key", "left_semi"), "shingle-rest")
+    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "root")]) for s in "ab")
+    second = (one.join(two, "key").where((F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b"))
+                                         & _sized("n_a", "n_b"))
+              .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
+              .join(first, ["a", "b"], "left_anti"))
+    return known.union(written(_verified(second, held), "shingle-links"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinelake.llm import shingles
 from brinelake.llm.common import row_keyed, written
 from brinelake.llm.components import components
 
@@ -36,20 +37,27 @@ _FREE_MASKS = np.array([(0xFF << 8 * i) | (0xFF << 8 * j) for i, j in FREE], np.
 _MATRIX = 512
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str | None, size: int = 3, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the shingles of one text in their order; none of a text without a word."""
     data = b" ".join((text or "").encode().lower().split())  # bytes: A-Z and ASCII blanks only
     if not data:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(data)]
     digest = xxhash.xxh64_intdigest
     if len(starts) <= size:
-        return digest(data, seed)
+        return np.array([digest(data, seed)], np.uint64)
     n = len(starts) - size + 1
-    hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends[size - 1:])),
-                         np.uint64, n)
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends[size - 1:])),
+                       np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     count = np.zeros(64, np.int64)
     for k in range(0, n, 255 * 256):  # 255 ones fit in a byte
         part = hashes[k:k + 255 * 256]
@@ -60,6 +68,11 @@ def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(shingle_hashes(text, size, seed))
+
+
 def fingerprints(text: Column, size: int = 3, seed: int = SEED) -> Column:
     """Fingerprint column; the 64 bits are held in a signed long."""
 
@@ -173,10 +186,14 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
             .select("free", "fp").mapInArrow(_block_edges, "a long, b long"))
 
 
-def grouped(prints: DataFrame, by: list[str], fp: str = "fp") -> DataFrame:
-    """(fp, first): per distinct fingerprint the smallest ``struct(by)`` of its group."""
+def grouped(prints: DataFrame, by: list[str], fp: str = "fp", more=None) -> DataFrame:
+    """(fp, first): per distinct fingerprint the smallest ``struct(by)`` of its group.
+
+    ``more`` may be a function that adds links to those of the fingerprints.
+    """
     reps = written(prints.groupBy(fp).agg(F.min(F.struct(*by)).alias("least")), "simhash-reps")
-    roots = components(links(reps.select(fp), fp)).select(F.col("node").alias(fp), "root")
+    found = links(reps.select(fp), fp)
+    roots = components(more(found) if more else found).select(F.col("node").alias(fp), "root")
     placed = written(reps.join(roots, fp, "left")
                      .select(fp, "least", F.coalesce("root", F.col(fp)).alias("root")), "simhash-roots")
     first = placed.groupBy("root").agg(F.min("least").alias("first"))
@@ -195,15 +212,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5,
-                 seed: int = SEED) -> DataFrame:
+                 seed: int = SEED, similar: bool = False) -> DataFrame:
     """One row of each group of near duplicates, with the columns it came with.
 
     The row with the smallest id stays (null ids last), and of repeated rows the first in its file.
+    With ``similar`` texts whose shingles have a Jaccard similarity of ``shingles.LEAST`` or more
+    are linked too, whatever the distance of their fingerprints.
     """
     rows = row_keyed(docs)
-    prints = written(rows.select(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"),
-                                 "__file", "__row", fingerprints(F.col(text), size, seed).alias("fp")),
-                     "simhash-prints")
-    groups = grouped(prints, ["none", "id", "__file", "__row"])
+    by = ["none", "id", "__file", "__row"]
+    named = rows.select(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "__file",
+                        "__row", text)
+    if similar:
+        def hashes(t: str | None) -> np.ndarray:
+            return shingle_hashes(t, size, seed)
+
+        told = named.withColumn("told", shingles.sketches(F.col(text), hashes, majority))
+        prints = written(told.select(*by, "told.*"), "simhash-prints")
+        groups = grouped(prints, by, more=lambda found: shingles.links(prints, rows, found, text, hashes))
+    else:
+        prints = written(named.select(*by, fingerprints(F.col(text), size, seed).alias("fp")),
+                         "simhash-prints")
+        groups = grouped(prints, by)
     firsts = groups.select("first.__file", "first.__row").distinct()
     return rows.join(firsts, ["__file", "__row"], "left_semi").select(*docs.columns)

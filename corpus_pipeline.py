@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; shingles of five words."""
+    """One document of each group of near duplicates stays: fingerprints of five-word shingles
+    within two bits, or five-word Jaccard similarity of 0.8 or more."""
     importable(spark)
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, similar=True)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,67 @@
+"""The near-duplicate stage against five-word Jaccard similarity by brute force."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from brinelake.llm import shingles, simhash
+from brinelake.llm.common import written
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(3)
+    texts = []
+    for size, edits in ((120, 2), (300, 6), (300, 5), (900, 19), (60, 1), (300, 14), (2500, 50)):
+        base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+        texts += [" ".join(base), *(changed(rng, base, edits) for _ in range(3)), "  ".join(base).upper()]
+    chain = [f"c{k}" for k in range(400)]  # each text is near the next only
+    texts += [" ".join(chain[k:k + 200]) for k in range(0, 200, 20)]
+    texts += [" ".join(["again and again we say so"] * k) for k in (5, 6)] + ["", None, "one", "one", "two words"]
+    sets = [grams(t) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    home = list(range(len(texts)))
+
+    def root(k):
+        while home[k] != k:
+            k = home[k]
+        return k
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            near = (prints[a] ^ prints[b]).bit_count() <= 2
+            same = len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])
+            far += same and not near
+            if near or same:
+                x, y = sorted((root(a), root(b)))
+                home[y] = x
+    assert far > 20
+    rows = [(k, t, "en", "a", len(t or "")) for k, t in enumerate(texts)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"),
+                   "test-similar")
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    got = {r["doc_id"] for r in stage(spark, docs, "").collect()}
+    assert got == {k for k in range(len(texts)) if root(k) == k}
+
+
+def test_keys_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    for n in (20, 90, 5000):
+        for _ in range(60):
+            own = rng.integers(0, 1 << 64, n, np.uint64)
+            other = np.append(own[n // 10:], rng.integers(0, 1 << 64, n // 10, np.uint64))  # 9 of 11
+            assert (shingles.keys(own) == shingles.keys(other)).any()
+            assert not (shingles.keys(own) == shingles.keys(rng.integers(0, 1 << 64, n, np.uint64))).any()
