@@ -8,6 +8,9 @@ around those, whole windows are compared. A window that also starts earlier, in
 (doc_id, position), is a repeat; touching repeats merge, which extends a match both ways to its
 full length, and the lines of the merged runs go. What stays is the first occurrence.
 
+A passage of many words may stand on one line; with ``long`` a line of so many words is a window of
+its own beside the runs, and short lines that recur stay as they are.
+
 Only one row per window goes through the joins, never a pair of positions: each window looks up
 the first place of its like.
 
@@ -26,6 +29,8 @@ from brinelake.functions.barrier import with_once
 from brinelake.llm.common import BLANKS, row_keyed, written
 
 RUN = 2
+#: Words that make a line a passage of its own where single lines are looked at.
+LONG = 50
 _KEY = ["__file", "__row"]
 
 
@@ -33,17 +38,35 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def windows(rows: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
-    """One row per window: place, fingerprint ``f`` at line ``s``, hash ``g``, its line numbers."""
+def _long(line: Column, words: int) -> Column:
+    """Whether a line has so many words."""
+    return (F.char_length(line) >= 2 * words - 1) & line.rlike(
+        f"^[{BLANKS}]*+(?:[^{BLANKS}]++[{BLANKS}]++){{{words - 1}}}[^{BLANKS}]")
+
+
+def windows(rows: DataFrame, doc_id: str, text: str, run: int, long: int | None = None) -> DataFrame:
+    """One row per window: place, fingerprint ``f`` at line ``s``, hash ``g``, its line numbers.
+
+    With ``long`` every line of so many words is a window too.
+    """
     df = rows.select(*_KEY, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"),
                                      *_KEY).alias("doc"), F.col(text).alias("t"))
     spoken = F.filter(F.transform(_lines(F.col("t")), lambda x, k: F.struct(
-        k.alias("k"), F.xxhash64(x).alias("h"), x.rlike(f"[^{BLANKS}]").alias("word"))),
-        lambda x: x["word"])
+        k.alias("k"), F.xxhash64(x).alias("h"), x.rlike(f"[^{BLANKS}]").alias("word"),
+        *([_long(x, long).alias("long")] if long else []))), lambda x: x["word"])
     df = with_once(df.where(F.col("t").isNotNull()), spoken=spoken).drop("t")
-    return (df.where(F.size("spoken") >= run)
-            .select("doc", "spoken", F.explode(F.sequence(F.lit(0), F.size("spoken") - run)).alias("i"))
-            .select("doc", "i", F.slice("spoken", F.col("i") + 1, run).alias("part"))
+    starts = F.sequence(F.lit(0), F.size("spoken") - run)
+    if long:
+        runs = F.when(F.size("spoken") >= run, F.transform(starts, lambda i: F.struct(
+            i.alias("i"), F.lit(run).alias("of"))))
+        alone = F.filter(F.transform("spoken", lambda x, i: F.struct(
+            i.alias("i"), F.when(x["long"], 1).otherwise(0).alias("of"))), lambda x: x["of"] > 0)
+        none = F.array().cast("array<struct<i:int,of:int>>")
+        df = df.select("doc", "spoken", F.inline(F.concat(F.coalesce(runs, none), alone)))
+        run = F.col("of")
+    else:
+        df = df.where(F.size("spoken") >= run).select("doc", "spoken", F.explode(starts).alias("i"))
+    return (df.select("doc", "i", *(["of"] if long else []), F.slice("spoken", F.col("i") + 1, run).alias("part"))
             .select("doc", "i", F.array_min("part.h").alias("f"),
                     (F.col("i") + run - F.array_position(F.reverse(F.col("part.h")),
                                                          F.array_min("part.h"))).alias("s"),
@@ -51,10 +74,10 @@ def windows(rows: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-            run: int = RUN) -> tuple[DataFrame, DataFrame]:
+            run: int = RUN, long: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows with their file keys, and per row with repeats the line numbers that go."""
     rows = row_keyed(docs)
-    places = written(windows(rows, doc_id, text, run), "line-windows")
+    places = written(windows(rows, doc_id, text, run, long), "line-windows")
     twice = (places.groupBy("f").agg(F.min(F.struct("doc", "s")).alias("a"),
                                      F.max(F.struct("doc", "s")).alias("b"))
              .where(F.col("a") != F.col("b")).select("f"))
@@ -68,12 +91,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def line_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      run: int = RUN, emptied: bool = False) -> DataFrame:
+                      run: int = RUN, emptied: bool = False, long: int | None = None) -> DataFrame:
     """``docs`` with their texts less the later repeated runs, and ``__lines``, ``__removed``.
 
     A document left without a word by this is a copy of earlier text; it goes unless ``emptied``.
     """
-    rows, gone = repeats(docs, doc_id, text, run)
+    rows, gone = repeats(docs, doc_id, text, run, long)
     df = with_once(rows.join(gone, _KEY, "left"), __cut=_lines(F.col(text)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__gone"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(

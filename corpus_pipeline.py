@@ -21,9 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of passages of two lines or more go; so does what is left without a word."""
+    """Later repeats of passages of two lines or more, or of lines of ``linededup.LONG`` words or
+    more, go; so does what is left without a word."""
     importable(spark)
-    out = linededup.line_deduplicated(docs)
+    out = linededup.line_deduplicated(docs, long=linededup.LONG)
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("__removed") > 0, size)
                           .otherwise(F.col("n_chars"))).select(*docs.columns)
