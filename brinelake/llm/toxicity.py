@@ -48,7 +48,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "ßàáâãäåæçèéêëìíîïð
 _N = 64
 _INDEX = {c: k + 1 for k, c in enumerate(_LETTERS)}
 _TABLE = np.array([_INDEX.get(chr(b), 0) for b in range(256)], np.int64)
-_SPACED_RUN = re.compile(r"(?<!\S)(?:[\w@$!|+][ .\-_*]){3,}[\w@$!|+](?!\w)")
+_APART = re.compile(r"[^\W_]|[@$!|+]")
+_SPACED_RUN = re.compile(rf"(?<!\S)(?:(?:{_APART.pattern})[ .\-_*]++){{2,}}(?:{_APART.pattern})(?!\w)")
 _EDGE = re.compile(r"^[^\w@$|+]+|(?:[^\w$]+|[^\w]{2,})$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _AGAIN = re.compile(r"([^\W\d_])\1\1")
@@ -122,13 +123,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(places: list[list[tuple[str, float]]], model: list) -> str:
     """The likeliest word of a lattice: letters' trigram log probability less channel costs."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in places:
+    for options in places:  # a blank among the readings is the end of a word
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (p, word) in best.items():
             for letters, cost in options:
                 q, x, y = p - cost, a, b
                 for c in letters:
-                    z = _INDEX[c]
+                    z = _INDEX.get(c, 0)
                     q += model[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or q > new[x, y][0]:
@@ -137,6 +138,12 @@ def viterbi(places: list[list[tuple[str, float]]], model: list) -> str:
     return max((p + model[a][b][0], word) for (a, b), (p, word) in best.items())[1]
 
 
+def _parts(places: list, length: int = 96, shared: int = 32) -> Iterator[list]:
+    """Parts that overlap, so that a word of ``shared`` letters is whole in one of them."""
+    for k in range(0, max(1, len(places) - shared), length - shared):
+        yield places[k:k + length]
+
+
 class Restorer:
     """Restored words of tokens and texts under one character model."""
 
@@ -152,15 +159,26 @@ class Restorer:
             return core
         return viterbi(lattice(core), self.model)
 
-    def spaced(self, text: str) -> list[str]:
-        """Words of letters that stand apart, as in ``i d i o t``; a long run is read in parts."""
-        out = []
+    def _both(self, places: list) -> tuple[list[str], list[str]]:
+        strings, words = [], []
+        for part in _parts(places):
+            strings.append(viterbi(part, self.model))
+            cut = [p + [(" ", p[0][1])] if p[0][0] == "" else p for p in part]
+            words += viterbi(cut, self.model).split()
+        return strings, words
+
+    def apart(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
+        """Letters that stand apart, as in ``i d i o t``, per run: decoded parts, and their words."""
         for m in _SPACED_RUN.finditer(text):
-            run = m[0].lower()
-            for k in range(0, len(run), 48):
-                if any(c in _INDEX for c in run[k:k + 64]):
-                    out.append(viterbi(lattice(run[k:k + 64]), self.model))
-        return out
+            run = _APART.findall(m[0].lower())
+            if any(c in _INDEX for c in run):
+                blank = [("", SKIP_COST)]
+                places = [p for c in run for p in (*lattice(c), blank)][:-1]
+                yield self._both(places)
+
+    def spaced(self, text: str) -> list[str]:
+        """The decoded strings of letters that stand apart; a long run is read in parts."""
+        return [w for strings, _ in self.apart(text) for w in strings]
 
 
 def _features(word: str) -> list[str]:
@@ -179,12 +197,44 @@ class Weigher:
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
         self.restorer, self.weights = restorer, weights
-        self.memory: dict[str, tuple[str, float] | None] = {}
+        self.longest = max(map(len, weights), default=0)
+        self.memory: dict[str, tuple[tuple[str, float], ...]] = {}
 
-    def _of(self, word: str) -> tuple[str, float] | None:
+    def _of(self, word: str | None) -> tuple[str, float] | None:
         best = max((self.weights.get(f, 0.0) for f in _features(word)), default=0.0) if word else 0.0
         return (word, best) if best > 0 else None
 
+    def _inside(self, text: str, least: int) -> dict[str, float]:
+        """Words and beginnings of ``least`` letters or more at every place; of those that
+        overlap the one that tells most."""
+        found = []
+        for a in range(len(text) - least + 1):
+            for b in range(a + least, min(len(text), a + self.longest) + 1):
+                part = text[a:b]
+                best = max(self.weights.get(part, 0.0), self.weights.get(part + "*", 0.0) if b < len(text) else 0.0)
+                if best > 0:
+                    found.append((-best, a - b, a, b))
+        hits, taken = {}, set()
+        for w, _, a, b in sorted(found):
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                hits[text[a:b]] = -w
+        return hits
+
+    def _hidden(self, strings: list[str], words: list[str], least: int) -> dict[str, float]:
+        """What is found in decoded strings; their words are for what is shorter than ``least``."""
+        hits: dict[str, float] = {}
+        for w in strings:
+            hits |= self._inside(w, least)
+        for h in map(self._of, words):
+            if h is not None and not any(k in h[0] for k in hits):
+                hits[h[0]] = h[1]
+        return hits
+
+    def _token(self, token: str) -> tuple[tuple[str, float], ...]:
+        h = self._of(self.restorer.word(token))
+        return (h,) if h else ()
+
     def total(self, text: str | None) -> float:
         if not text:
             return 0.0
@@ -194,15 +244,11 @@ class Weigher:
         tokens = set(text.split())
         for t in tokens:
             if t not in memory:
-                memory[t] = self._of(self.restorer.word(t))
-        hits = dict(h for h in map(memory.__getitem__, tokens) if h is not None)
-        for w in self.restorer.spaced(text):
-            # what stands apart may be several words, and may take in a neighbour
-            for start in range(max(1, min(4, len(w) - 3))):
-                h = self._of(w[start:])
-                if h is not None:
-                    hits[h[0]] = h[1]
-                    break
+                memory[t] = self._token(t)
+        hits = {w: x for t in tokens for w, x in memory[t]}
+        for strings, words in self.restorer.apart(text):
+            for w, x in self._hidden(strings, words, 4).items():
+                hits[w] = max(x, hits.get(w, 0.0))
         return sum(w * w for w in hits.values()) / 10
 
 
