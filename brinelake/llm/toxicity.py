@@ -51,6 +51,7 @@ _TABLE = np.array([_INDEX.get(chr(b), 0) for b in range(256)], np.int64)
 _APART = re.compile(r"[^\W_]|[@$!|+]")
 _SPACED_RUN = re.compile(rf"(?<!\S)(?:(?:{_APART.pattern})[ .\-_*]++){{2,}}(?:{_APART.pattern})(?!\w)")
 _EDGE = re.compile(r"^[^\w@$|+]+|(?:[^\w$]+|[^\w]{2,})$")
+_OUTER = re.compile("^[^\\w{0}]+|[^\\w{0}]+$".format(re.escape("".join(LOOKALIKES))))
 _PLAIN = re.compile(r"[^\W\d_]+")
 _AGAIN = re.compile(r"([^\W\d_])\1\1")
 
@@ -155,9 +156,27 @@ class Restorer:
         core = _EDGE.sub("", token).lower()
         if not core or (_PLAIN.fullmatch(core) and not _AGAIN.search(core)):
             return core
-        if len(core) > 64 or not any(c in _INDEX for c in core):
+        if not any(c in _INDEX for c in core):
             return core
-        return viterbi(lattice(core), self.model)
+        places = lattice(core)
+        return viterbi(places, self.model) if len(places) <= 64 else core
+
+    def second(self, token: str) -> str | None:
+        """The word with the look-alikes around it read as letters, as in ``!diot`` and ``(lown``."""
+        core = _OUTER.sub("", token).lower()
+        if core == _EDGE.sub("", token).lower() or not any(c in _INDEX for c in core):
+            return None
+        places = lattice(core)
+        return viterbi(places, self.model) if len(places) <= 64 else None
+
+    def long(self, token: str) -> tuple[list[str], list[str]]:
+        """Of a token that stays long when repeated letters are folded: its decoded parts, and
+        these cut into words. Other tokens have none."""
+        core = _OUTER.sub("", token).lower()
+        if len(core) <= 64 or _PLAIN.fullmatch(core) and not _AGAIN.search(core) or not any(c in _INDEX for c in core):
+            return [], []
+        places = lattice(core)
+        return self._both(places) if len(places) > 64 else ([], [])
 
     def _both(self, places: list) -> tuple[list[str], list[str]]:
         strings, words = [], []
@@ -232,8 +251,11 @@ class Weigher:
         return hits
 
     def _token(self, token: str) -> tuple[tuple[str, float], ...]:
-        h = self._of(self.restorer.word(token))
-        return (h,) if h else ()
+        known = [h for h in (self._of(self.restorer.word(token)), self._of(self.restorer.second(token))) if h]
+        if len(token) > 64 and (parts := self.restorer.long(token))[0]:
+            # chance has words of four letters in any long code, so these need the cut into words
+            return tuple(self._hidden(*parts, 5).items())
+        return (max(known, key=lambda h: h[1]),) if known else ()
 
     def total(self, text: str | None) -> float:
         if not text:

@@ -1,4 +1,4 @@
-"""Words that hide in runs of single letters."""
+"""Words that hide in runs of single letters, in long tokens and behind look-alikes."""
 
 import pytest
 
@@ -17,7 +17,8 @@ def weigher(spark):
 @pytest.mark.parametrize("text", [
     "y o u a r e a n i d i o t", "t h i s i s a l l t h e s a m e t o m e a n d t o t h e o t h e r s y o u i d i o t s",
     "so y o u s c u m it is", "an a s s here", "i  d  i  o  t", "i - d - i - o - t", "i. d. i. o. t.",
-    "m0r0n", "(idiot)", "scum!", "'clown'", "i d i o t and idiot"])
+    "idi" + "o" * 70 + "t", ".".join("i" * 1 + "d" + "i" + "o" + "t") + "." * 70, "-_".join("thatshamethatthesameidiotthatthesameother"),
+    "!diot", "(lown", "m0r0n", "(idiot)", "scum!", "'clown'", "i d i o t and idiot"])
 def test_found_once(weigher, text):
     assert weigher.total(text) == 2.5
 
@@ -31,3 +32,4 @@ def test_nothing_found(weigher, text):
 def test_every_place_of_a_long_run(weigher):
     for n in range(0, 140, 3):
         assert weigher.total(" ".join("e" * n + "idiot" + "e" * 60)) == 2.5
+        assert weigher.total(".".join("he" * n + "idiot" + "he" * 60)) == 2.5
