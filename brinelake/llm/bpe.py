@@ -262,7 +262,9 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, special tokens included."""
+        """The text of ids, special tokens included; ids that no token has stand for nothing."""
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.bytes_of):
+            ids = [i for i in ids if 0 <= i < len(self.bytes_of)]
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
@@ -312,6 +314,24 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+def coded(text: Column, path: str) -> Column:
+    """Struct of ``ids`` and ``decoded``: the token ids of a text and the text they decode to."""
+
+    @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string"))
+    def both(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = loaded(path)
+        for array in column:
+            ids, back = [], []
+            for part in _slices(array.to_pylist()):
+                for found in bpe.encode_batch(part):
+                    ids.append(found.astype(np.int32))
+                    back.append(bpe.decode(found.tolist()))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
+                                             names=["ids", "decoded"])
+
+    return both(text)
+
+
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: tokens, digest of the decimal ids, digest of the text decoded from them."""
 

@@ -50,6 +50,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named by position, and the new name of each old one.
+
+    Whatever a table calls its columns, they cannot clash with names that an operator adds.
+    """
+    new = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new))
+
+
+def restored(df: DataFrame, docs: DataFrame, *more: Column, **instead: Column) -> DataFrame:
+    """The columns of ``docs`` in a frame that descends from ``own_names(docs)``, then ``more``;
+    ``instead`` has new values for some of them, by their old names."""
+    return df.select(*[instead.get(n, F.col(f"c{k}")).alias(n) for k, n in enumerate(docs.columns)], *more)
+
+
 def row_keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__file`` and ``__row``, which name a row whatever its values repeat.
 

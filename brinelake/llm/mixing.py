@@ -16,7 +16,8 @@ of its smallest document; a document is never taken more than three times.
 Defined cases: a null or blank text has size zero and is taken zero times; a null source is a
 source of its own, last; a source without words has target zero; repeated rows are documents of
 their own, with the same total whichever of them is called which; the result depends on ids,
-texts and places in files and not on partitions.
+texts and places in files and not on partitions; other columns are carried under names of
+position, so that none can clash with a name used here.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinelake.llm.common import row_keyed, words, written
+from brinelake.llm.common import own_names, restored, row_keyed, words, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -154,8 +155,9 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text:
 def mixture(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
             text: str = "text") -> DataFrame:
     """The mixed documents: each row as often as it is taken, with the columns it came with."""
-    rows = row_keyed(docs)
-    copies = mixed(docs, source, doc_id, text).where(F.col("copies") > 0).select(
+    inner, name = own_names(docs)
+    rows = row_keyed(inner)
+    copies = mixed(inner, name[source], name[doc_id], name[text]).where(F.col("copies") > 0).select(
         "__file", "__row", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("__times"))
-    return (rows.join(copies, ["__file", "__row"])
-            .select(*docs.columns, F.explode("__times").alias("__k")).drop("__k"))
+    taken = rows.join(copies, ["__file", "__row"])
+    return restored(taken.select("*", F.explode("__times").alias("__k")), docs)

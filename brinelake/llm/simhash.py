@@ -10,7 +10,8 @@ not its pairs; every link is looked at in just one block.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text
 with fewer words than a shingle is one shingle; copies share their fingerprint and are never
-paired; a null id is never the smallest. Columns other than the id and the text are not looked at.
+paired; a null id is never the smallest. Other columns are carried under names of position, so
+that none can clash with a name used here.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinelake.llm import shingles
-from brinelake.llm.common import row_keyed, written
+from brinelake.llm.common import own_names, restored, row_keyed, written
 from brinelake.llm.components import components
 
 SEED = 42
@@ -186,14 +186,10 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
             .select("free", "fp").mapInArrow(_block_edges, "a long, b long"))
 
 
-def grouped(prints: DataFrame, by: list[str], fp: str = "fp", more=None) -> DataFrame:
-    """(fp, first): per distinct fingerprint the smallest ``struct(by)`` of its group.
-
-    ``more`` may be a function that adds links to those of the fingerprints.
-    """
+def grouped(prints: DataFrame, by: list[str], fp: str = "fp") -> DataFrame:
+    """(fp, first): per distinct fingerprint the smallest ``struct(by)`` of its group."""
     reps = written(prints.groupBy(fp).agg(F.min(F.struct(*by)).alias("least")), "simhash-reps")
-    found = links(reps.select(fp), fp)
-    roots = components(more(found) if more else found).select(F.col("node").alias(fp), "root")
+    roots = components(links(reps.select(fp), fp)).select(F.col("node").alias(fp), "root")
     placed = written(reps.join(roots, fp, "left")
                      .select(fp, "least", F.coalesce("root", F.col(fp)).alias("root")), "simhash-roots")
     first = placed.groupBy("root").agg(F.min("least").alias("first"))
@@ -203,36 +199,24 @@ def grouped(prints: DataFrame, by: list[str], fp: str = "fp", more=None) -> Data
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3,
                     seed: int = SEED) -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``, the smallest id of its group."""
-    prints = written(docs.select(doc_id, fingerprints(F.col(text), size, seed).alias("fp")),
+    prints = written(docs.select(F.col(doc_id).alias("id"), fingerprints(F.col(text), size, seed).alias("fp")),
                      "simhash-prints")
-    ranked = prints.select(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "fp")
-    groups = grouped(ranked, ["none", "id"])
+    groups = grouped(prints.select(F.col("id").isNull().alias("none"), "id", "fp"), ["none", "id"])
     return (prints.join(groups, "fp")
-            .select(doc_id, "fp", F.col("first.id").alias("component_id")))
+            .select(F.col("id").alias(doc_id), "fp", F.col("first.id").alias("component_id")))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5,
-                 seed: int = SEED, similar: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3,
+                 seed: int = SEED) -> DataFrame:
     """One row of each group of near duplicates, with the columns it came with.
 
     The row with the smallest id stays (null ids last), and of repeated rows the first in its file.
-    With ``similar`` texts whose shingles have a Jaccard similarity of ``shingles.LEAST`` or more
-    are linked too, whatever the distance of their fingerprints.
     """
-    rows = row_keyed(docs)
+    inner, name = own_names(docs)
+    rows = row_keyed(inner)
     by = ["none", "id", "__file", "__row"]
-    named = rows.select(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "__file",
-                        "__row", text)
-    if similar:
-        def hashes(t: str | None) -> np.ndarray:
-            return shingle_hashes(t, size, seed)
-
-        told = named.withColumn("told", shingles.sketches(F.col(text), hashes, majority))
-        prints = written(told.select(*by, "told.*"), "simhash-prints")
-        groups = grouped(prints, by, more=lambda found: shingles.links(prints, rows, found, text, hashes))
-    else:
-        prints = written(named.select(*by, fingerprints(F.col(text), size, seed).alias("fp")),
-                         "simhash-prints")
-        groups = grouped(prints, by)
-    firsts = groups.select("first.__file", "first.__row").distinct()
-    return rows.join(firsts, ["__file", "__row"], "left_semi").select(*docs.columns)
+    prints = written(rows.select(F.col(name[doc_id]).isNull().alias("none"), F.col(name[doc_id]).alias("id"),
+                                 "__file", "__row", fingerprints(F.col(name[text]), size, seed).alias("fp")),
+                     "simhash-prints")
+    firsts = grouped(prints, by).select("first.__file", "first.__row").distinct()
+    return restored(rows.join(firsts, ["__file", "__row"], "left_semi"), docs)

@@ -173,6 +173,7 @@ def test_bpe_random_strings(library):
         s = "".join(R.choice(parts) for _ in range(R.randint(0, 15))) * (40 if k % 200 == 0 else 1)
         assert own.encode_batch([s])[0].tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
     assert own.decode([222]) == "�" or own.decode([222])
+    assert own.decode([262, 10 ** 9, -1, 263]) == own.decode([262, 263])
 
 
 # 3 mixing

@@ -26,7 +26,7 @@ def test_pipeline(spark):
         if k == 1:
             assert docs.where(F.char_length("text") != F.col("n_chars")).count() == 0
         n = docs.count()
-    assert docs.columns == ["doc_id", "source", "n_tokens", "ids"]
+    assert docs.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"]
 
 
 def test_stages_on_nothing_and_nulls(spark):
