@@ -31,10 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: fingerprints of five-word shingles
-    within two bits, or five-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: fingerprints of three-word shingles
+    within two bits."""
     importable(spark)
-    return simhash.deduplicated(docs, similar=True)
+    return simhash.deduplicated(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,13 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return mixing.mixture(docs)
 
 
-def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: doc_id, source, n_tokens, ids."""
+def bpe_encoding_and_decoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to: doc_id, source, n_tokens, ids,
+    decoded."""
     importable(spark)
-    ids = bpe.encode(F.col("text"), tokenizer_file("byte_bpe_50k.json"))
-    out = docs.select("doc_id", "source", ids.alias("ids"))
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = tokenizer_file("byte_bpe_50k.json")
+    out = docs.select("doc_id", "source", F.inline(F.array(bpe.coded(F.col("text"), path))))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", line_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
     ("mixing to target weights", mixing_to_weights),
-    ("BPE encoding", bpe_encoding),
+    ("BPE encoding and decoding", bpe_encoding_and_decoding),
 ]
 
 #: SQL can express neither fingerprints nor merges; tests hold the stages against brute force.
