@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelake.llm import bpe, chat, embeddings, linededup, mixing, rules, simhash, suffixes, tokenfile, toxicity
+from brinelake.llm import (audit, bpe, chat, embeddings, linededup, merkle, mixing, rules, sharding, simhash,
+                           suffixes, tokenfile, toxicity)
 from brinelake.llm.common import importable, table, tokenizer_file
 from brinelake.session import fresh_folder
 
@@ -120,9 +121,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = linededup.line_deduplicated(docs, emptied=True)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
-                      F.sha2("text", 256).alias("text_sha256"))
+    out = linededup.line_deduplicated(docs, emptied=True, counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 ORACLES["op9_line_dedup"] = r"""
@@ -132,7 +132,9 @@ s AS (SELECT r, k, ls[k + 1] AS line, row_number() OVER (PARTITION BY r ORDER BY
       WHERE regexp_matches(ls[k + 1], '[^\x20\x09-\x0D]')),
 w AS (SELECT r, i, k, line, lead(line) OVER o AS line2, lead(k) OVER o AS k2 FROM s
       WINDOW o AS (PARTITION BY r ORDER BY i)),
-f AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY r, i) AS n FROM w WHERE line2 IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY r, i) AS n FROM w WHERE line2 IS NOT NULL
+      UNION ALL SELECT r, i, k, line, NULL, k, row_number() OVER (PARTITION BY line ORDER BY r, i) FROM w
+      WHERE len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 50),
 g AS (SELECT DISTINCT r, unnest([k, k2]) AS k FROM f WHERE n > 1),
 t AS (SELECT l.r, string_agg(ls[l.k + 1], chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL) AS text,
              count(*) AS n_lines, count(g.k) AS n_removed
@@ -181,6 +183,112 @@ FROM f
 """
 
 
+@_query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "shards")
+    sharding.write(table(spark, sf_dir, "documents"), folder, shards=16)
+    row = F.col("row")
+    data = F.encode(F.coalesce(row["text"], F.lit("")), "UTF-8")
+    return sharding.read(spark, folder).select(
+        row["doc_id"].alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"),
+        F.crc32(data).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    proved = merkle.proved(docs, ["doc_id", "source", "lang", "n_chars", "text"], tree="lang", order="doc_id",
+                           instead={"text": F.when(chosen, lower).otherwise(F.col("text"))})
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_sql(levels: int = 9, top: int = 4) -> str:
+    """The tree with its levels written out: enough for 8 to the power of ``levels`` leaves a language
+    and of ``top`` languages."""
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}) || ':' || {c} END"
+
+    code = " || ".join(field(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{t}"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+           " lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),"
+           " lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)")
+    out = [f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, sha256({code.format(t="text")}) AS leaf,
+ sha256({code.format(t=f"translate(text, '{letters}', '{letters.lower()}')")}) AS changed, {crc} % 3 = 0 AS chosen
+ FROM documents),
+p0 AS (SELECT r, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+ leaf AS h, CASE WHEN chosen THEN changed ELSE leaf END AS f, '' AS proof FROM d),
+n0 AS (SELECT lang, i, h FROM p0)"""]
+
+    def climb(k: int, p: str, n: str, key: str) -> None:
+        # one level: runs of eight where a tree has more than one node, as it is where it has one
+        out.append(f"""{n}r{k} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS of FROM {n}{k}),
+{n}{k + 1} AS (SELECT {key}, CASE WHEN of > 1 THEN i // 8 ELSE i END AS i,
+ CASE WHEN any_value(of) > 1 THEN sha256(string_agg(h, '' ORDER BY {n}r{k}.i)) ELSE any_value(h) END AS h
+ FROM {n}r{k} GROUP BY {key}, of, CASE WHEN of > 1 THEN i // 8 ELSE {n}r{k}.i END),
+{n}s{k} AS (SELECT {key}, i // 8 AS up, list(h ORDER BY i) AS hs FROM {n}r{k} WHERE of > 1 GROUP BY {key}, up),
+{p}{k + 1} AS (SELECT r, p.lang, CASE WHEN hs IS NULL THEN p.i ELSE p.i // 8 END AS i, p.h,
+ CASE WHEN hs IS NULL THEN f ELSE sha256(array_to_string(hs[:p.i % 8], '') || f || array_to_string(hs[p.i % 8 + 2:], '')) END AS f,
+ proof || CASE WHEN hs IS NULL THEN '' ELSE array_to_string(hs[:p.i % 8], '') || array_to_string(hs[p.i % 8 + 2:], '') END AS proof
+ FROM {p}{k} p LEFT JOIN {n}s{k} s ON {" AND ".join(f"p.{c} IS NOT DISTINCT FROM s.{c}" for c in [key])} AND p.i // 8 = s.up)""")
+
+    for k in range(levels):
+        climb(k, "p", "n", "lang")
+    out.append(f"""sub AS (SELECT lang, h AS subroot FROM n{levels}),
+m0 AS (SELECT true AS one, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, subroot AS h, lang FROM sub),
+q0 AS (SELECT r, true AS lang, m0.i, p.h, f, proof FROM p{levels} p JOIN m0 ON p.lang IS NOT DISTINCT FROM m0.lang),
+t0 AS (SELECT true AS lang, i, h FROM m0)""")
+    for k in range(top):
+        climb(k, "q", "t", "lang")
+    out.append(f"""e AS (SELECT q.r, q.f, q.proof, t.h AS root FROM q{top} q, t{top} t)
+SELECT d.doc_id, d.leaf, sub.subroot, e.root, sha256(e.proof) AS proof_sha256, e.f AS folded_root, e.f = e.root AS verified
+FROM d JOIN e ON d.r = e.r JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_merkle"] = _merkle_sql()
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [CASE WHEN len(ws) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' END,
+              CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' END,
+              CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END] AS fails
+      FROM w LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, list_filter(fails, lambda x: x IS NOT NULL) AS fails, count(*) AS n,
+             count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS earlier
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+r AS (SELECT c.part, s.filter_order, s.step, s.x, c.n, c.good, c.toxic, list_contains(c.fails, s.x) AS here,
+             len(list_filter(c.fails, lambda y: contains(s.earlier, y))) > 0 AS gone, c.fails = [s.x] AS alone FROM c, s),
+a AS (SELECT part, filter_order, step, any_value(x) AS x,
+             coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM r GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM a
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
