@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -33,18 +35,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+#: Folders of the open ``intermediates`` blocks, innermost last.
+_open: list[list[str]] = []
 
-    This cuts the lineage: what follows is planned on known sizes, is computed once however
-    often it is used, and a lost executor costs only a new read of the file.
-    """
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; the folder stays."""
     spark = df.sparkSession
     path = fresh_folder(spark, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, as an intermediate.
+
+    This cuts the lineage: what follows is planned on known sizes, is computed once however
+    often it is used, and a lost executor costs only a new read of the file. Inside a block of
+    ``intermediates`` the folder goes when the block ends.
+    """
+    out = stored(df, label)
+    if _open:
+        _open[-1] += sorted({os.path.dirname(f) for f in out.inputFiles()})
+    return out
+
+
+def dropped(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of intermediates that nothing reads any more."""
+    for path in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """A block whose intermediates are deleted at its end, whether it ends well or not.
+
+    What is computed inside has to be ``stored`` inside: a frame that is still to be computed
+    would not find its inputs any more.
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        dropped(spark, made)
+
+
 def words(text: Column) -> Column:
     """Array of the runs of characters other than the six ASCII blanks; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")

@@ -1,23 +1,27 @@
 """Line deduplication by winnowing over line hashes.
 
 A document is the sequence of its lines that hold a word; blank lines are not compared and stay.
-Every run of ``run`` consecutive lines is a window; its smallest line hash (the last of equals) is
-the window's fingerprint, so a passage of ``run`` lines has the same fingerprint wherever it
-stands: none is missed. Positions are joined on fingerprints that occur at two places or more;
-around those, whole windows are compared. A window that also starts earlier, in the order of
-(doc_id, position), is a repeat; touching repeats merge, which extends a match both ways to its
-full length, and the lines of the merged runs go. What stays is the first occurrence.
-
-A passage of many words may stand on one line; with ``long`` a line of so many words is a window of
-its own beside the runs, and short lines that recur stay as they are.
-
-Only one row per window goes through the joins, never a pair of positions: each window looks up
-the first place of its like.
-
-Defined cases: null text has no lines and stays null; a text shorter than a run is left alone;
+Of every two consecutive lines (a window) the one with the smaller hash, the later one if both are
+equal, is a fingerprint, and so is every line of ``long`` words or more, which is a window of its
+own. A passage of two lines or of one long line thus has a fingerprint at the same place of its
+own wherever it stands: none is missed, and only fingerprints are written out.
+
+Positions with one fingerprint come together, and a match is extended both ways: with the line
+before, where the fingerprint is the least of those two, and with the line after. What two
+positions share beyond that has fingerprints of its own, so matches grow to their full length
+where they touch. A position whose extended match also starts earlier, in the order of (id,
+place), is a later repeat, and its lines go; the first occurrence stays. Short single lines that
+recur between differing lines stay.
+
+No pairs of positions are formed: each looks up the first of its like, in a table that is written
+first, so that the adaptive join can cut a line that stands in a third of all places. Lines are
+equal if 128 bits of their SHA-256 are.
+
+Defined cases: null text has no lines and stays null; a text of one short line is left alone;
 lines are judged on the input, so a run that repeats inside one document loses the later copy;
 rows with equal ids are ordered by their place in the file, null ids come last; an empty table
-gives an empty table.
+gives an empty table. The columns of the table are carried under names of position and cannot
+clash with names used here; only the two counts are added beside them, under names to be chosen.
 """
 
 from __future__ import annotations
@@ -26,10 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinelake.functions.barrier import with_once
-from brinelake.llm.common import BLANKS, row_keyed, written
+from brinelake.llm.common import BLANKS, own_names, restored, row_keyed, written
 
-RUN = 2
-#: Words that make a line a passage of its own where single lines are looked at.
+#: Words that make a line a passage of its own.
 LONG = 50
 _KEY = ["__file", "__row"]
 
@@ -44,65 +47,61 @@ def _long(line: Column, words: int) -> Column:
         f"^[{BLANKS}]*+(?:[^{BLANKS}]++[{BLANKS}]++){{{words - 1}}}[^{BLANKS}]")
 
 
-def windows(rows: DataFrame, doc_id: str, text: str, run: int, long: int | None = None) -> DataFrame:
-    """One row per window: place, fingerprint ``f`` at line ``s``, hash ``g``, its line numbers.
-
-    With ``long`` every line of so many words is a window too.
-    """
-    df = rows.select(*_KEY, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"),
-                                     *_KEY).alias("doc"), F.col(text).alias("t"))
+def fingerprints(rows: DataFrame, doc_id: str, text: str, long: int = LONG) -> DataFrame:
+    """One row per fingerprint: its document, the line ``at``, its digest ``f``, and what it is to
+    be extended with: ``sides``, each a digest (null for a long line alone) and its line."""
+    df = rows.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"),
+                              *_KEY).alias("doc"), F.col(text).alias("t"))
     spoken = F.filter(F.transform(_lines(F.col("t")), lambda x, k: F.struct(
-        k.alias("k"), F.xxhash64(x).alias("h"), x.rlike(f"[^{BLANKS}]").alias("word"),
-        *([_long(x, long).alias("long")] if long else []))), lambda x: x["word"])
+        k.alias("k"), F.when(x.rlike(f"[^{BLANKS}]"), F.substring(F.unhex(F.sha2(x, 256)), 1, 16)).alias("h"),
+        _long(x, long).alias("long"))), lambda x: x["h"].isNotNull())
     df = with_once(df.where(F.col("t").isNotNull()), spoken=spoken).drop("t")
-    starts = F.sequence(F.lit(0), F.size("spoken") - run)
-    if long:
-        runs = F.when(F.size("spoken") >= run, F.transform(starts, lambda i: F.struct(
-            i.alias("i"), F.lit(run).alias("of"))))
-        alone = F.filter(F.transform("spoken", lambda x, i: F.struct(
-            i.alias("i"), F.when(x["long"], 1).otherwise(0).alias("of"))), lambda x: x["of"] > 0)
-        none = F.array().cast("array<struct<i:int,of:int>>")
-        df = df.select("doc", "spoken", F.inline(F.concat(F.coalesce(runs, none), alone)))
-        run = F.col("of")
-    else:
-        df = df.where(F.size("spoken") >= run).select("doc", "spoken", F.explode(starts).alias("i"))
-    return (df.select("doc", "i", *(["of"] if long else []), F.slice("spoken", F.col("i") + 1, run).alias("part"))
-            .select("doc", "i", F.array_min("part.h").alias("f"),
-                    (F.col("i") + run - F.array_position(F.reverse(F.col("part.h")),
-                                                         F.array_min("part.h"))).alias("s"),
-                    F.xxhash64("part.h").alias("g"), F.col("part.k").alias("at")))
+    found = F.expr("""
+        filter(transform(spoken, (x, i) -> struct(x.k AS at, x.h AS f, filter(array(
+            struct(0 AS side, if(x.h <= get(spoken, i - 1).h, get(spoken, i - 1).h, NULL) AS other, get(spoken, i - 1).k AS line),
+            struct(1 AS side, if(x.h < get(spoken, i + 1).h, get(spoken, i + 1).h, NULL) AS other, get(spoken, i + 1).k AS line),
+            struct(2 AS side, if(x.long, x.h, NULL) AS other, x.k AS line)), s -> s.other IS NOT NULL) AS sides)),
+          p -> size(p.sides) > 0)""")
+    return df.select("doc", F.inline(found))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-            run: int = RUN, long: int | None = None) -> tuple[DataFrame, DataFrame]:
+            long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """The rows with their file keys, and per row with repeats the line numbers that go."""
     rows = row_keyed(docs)
-    places = written(windows(rows, doc_id, text, run, long), "line-windows")
-    twice = (places.groupBy("f").agg(F.min(F.struct("doc", "s")).alias("a"),
-                                     F.max(F.struct("doc", "s")).alias("b"))
-             .where(F.col("a") != F.col("b")).select("f"))
-    met = places.join(twice, "f")
-    first = (met.groupBy("g").agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("n"))
-             .where(F.col("n") > 1).drop("n"))
-    later = met.join(first, "g").where(F.struct("doc", "i") > F.col("first"))
+    places = written(fingerprints(rows, doc_id, text, long), "line-prints")
+    shared = written(places.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("f"),
+                     "line-shared")
+    match = ["side", "f", "other"]
+    met = places.join(shared, "f").select("doc", "at", "f", F.inline("sides"))
+    met = written(met, "line-matches")
+    first = written(met.groupBy(*match).agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+                    .where(F.col("n") > 1).drop("n"), "line-firsts")
+    later = met.join(first, match).where(F.struct("doc", "at") > F.col("first"))
     gone = (later.groupBy(*[F.col(f"doc.{k}").alias(k) for k in _KEY])
-            .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__gone")))
+            .agg(F.array_distinct(F.flatten(F.collect_list(F.array("at", "line")))).alias("__gone")))
     return rows, gone
 
 
-def line_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      run: int = RUN, emptied: bool = False, long: int | None = None) -> DataFrame:
-    """``docs`` with their texts less the later repeated runs, and ``__lines``, ``__removed``.
+def line_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", emptied: bool = False,
+                      long: int = LONG, counts: tuple[str, str] | None = None,
+                      instead: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` with their texts less the later repeated runs.
 
     A document left without a word by this is a copy of earlier text; it goes unless ``emptied``.
+    ``counts`` names two columns to add, lines and removed lines.  ``instead`` has values, made of
+    ``text`` (the new one), for columns that change with a text that changes.
     """
-    rows, gone = repeats(docs, doc_id, text, run, long)
-    df = with_once(rows.join(gone, _KEY, "left"), __cut=_lines(F.col(text)))
+    inner, name = own_names(docs)
+    body = name[text]
+    rows, gone = repeats(inner, name[doc_id], body, long)
+    df = with_once(rows.join(gone, _KEY, "left"), __cut=_lines(F.col(body)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(stay, lambda k: F.get(F.col("__cut"), k)), "\n"))
-    df = df.select(*[F.col(c) if c != text else new.alias(c) for c in docs.columns],
-                   F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("__lines"),
-                   F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
-    return df if emptied else df.where((F.col("__removed") <= 0)
-                                       | F.col(text).rlike(f"[^{BLANKS}]"))
+    df = with_once(df, text=F.when(F.col("__gone").isNull(), F.col(body)).otherwise(
+        F.array_join(F.transform(stay, lambda k: F.get(F.col("__cut"), k)), "\n")))
+    if not emptied:
+        df = df.where(F.col("__gone").isNull() | F.col("text").rlike(f"[^{BLANKS}]"))
+    more = [] if counts is None else [F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias(counts[0]),
+                                      F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(counts[1])]
+    new = {c: F.when(F.col("__gone").isNull(), F.col(name[c])).otherwise(v) for c, v in (instead or {}).items()}
+    return restored(df, docs, *more, **{text: F.col("text"), **new})

@@ -5,8 +5,9 @@ which bit *k* says that rule *k* failed; a policy is a set of bits, so another p
 same policy without one rule, needs no second look at the text: ``failures & mask``.
 
 Defined cases: a null or blank text has zero for every measurement and fails the word count; a
-repeated row gets a ledger row each; an empty table gives an empty ledger. Columns of the input
-are never looked up beyond the id and the text, so other names cannot clash.
+repeated row gets a ledger row each; an empty table gives an empty ledger. ``filtered`` carries
+columns under names of position, so that none can clash; ``ledger`` keeps them, and its own names
+all begin with two underlines.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinelake.functions.barrier import with_once
-from brinelake.llm.common import BLANKS, words
+from brinelake.llm.common import BLANKS, own_names, restored, words
 
 #: Bit order of the ledger. Bits are never reused: a changed rule gets a new bit.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "exclamations")
@@ -102,8 +103,9 @@ def passes(failures: Column, policy: str = CURRENT) -> Column:
 
 def filtered(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows that a policy keeps, with the columns they came with."""
-    return (ledger(docs, text, "__ledger")
-            .where(passes(F.col("__ledger.failures"), policy)).drop("__ledger"))
+    inner, name = own_names(docs)
+    book = ledger(inner, name[text], "ledger")
+    return restored(book.where(passes(F.col("ledger.failures"), policy)), docs)
 
 
 def ablations(book: DataFrame, policy: str = CURRENT, ledger_col: str = "ledger") -> DataFrame:
