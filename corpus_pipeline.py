@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinelake.llm import bpe, linededup, mixing, rules, simhash
-from brinelake.llm.common import importable, table, tokenizer_file, written
+from brinelake.llm.common import importable, intermediates, stored, table, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages of two lines or more, or of lines of ``linededup.LONG`` words or
     more, go; so does what is left without a word."""
     importable(spark)
-    out = linededup.line_deduplicated(docs, long=linededup.LONG)
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, size)
-                          .otherwise(F.col("n_chars"))).select(*docs.columns)
+    return linededup.line_deduplicated(docs, instead={"n_chars": size})
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read back."""
+    """All stages over ``documents``, each written to the shared folder and read back.
+
+    What a stage writes on its way goes when its rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with intermediates(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
