@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from brinelake import layouts as L
 from brinelake.functions import sentences as S
 from brinelake.operators import filters, unions
+from brinelake.sources import footers
+from brinelake.sources import generations as G
 
 # Seconds after which an unfinished file is late, and after which it is stuck.
 FIRST_RETRY_SECONDS = 15
@@ -41,35 +43,65 @@ def write_lake(df: DataFrame, base: str, record_type: str, mode: str = "append",
                ts: str = "received_at") -> None:
     """A4: one type, by day of receipt, sorted for row-group skipping.
 
-    The commit protocol of the writer makes the files appear together or not at all.
+    The commit protocol of the writer makes the files appear together or not at all. A type that
+    has a table of what counts (``generations``) gets the rows as a run of their own instead.
     """
+    spark, folder = df.sparkSession, f"{base.rstrip('/')}/{record_type}"
+    if G.current(spark, folder) is not None:
+        write_run(df, base, record_type, uuid.uuid4().hex, ts, replace_all=mode == "overwrite")
+        return
     rows = spread(with_day(df, ts), "date")
     inner = [c for c in (ts, "cell_index") if c in rows.columns]
-    rows.sortWithinPartitions("date", *inner).write.mode(mode).partitionBy("date").parquet(
-        f"{base.rstrip('/')}/{record_type}")
+    rows.sortWithinPartitions("date", *inner).write.mode(mode).partitionBy("date").parquet(folder)
 
 
-def write_run(df: DataFrame, base: str, record_type: str, run: str, ts: str = "received_at") -> None:
-    """A3, A4: rows of one run or batch below ``date=.../batch_id=...``; what the same run wrote
-    into these days before is replaced, whatever the session's overwrite mode."""
-    rows = spread(with_day(df, ts).withColumn("batch_id", F.lit(run)), "date")
+def _write_part(rows: DataFrame, folder: str, part: str, ts: str = "received_at") -> list[str]:
+    """Rows with their ``date`` as one part, beside what counts; returns the days they lie in."""
+    rows = spread(rows.withColumn("batch_id", F.lit(part)), "date")
     inner = [c for c in (ts, "cell_index") if c in rows.columns]
     rows.sortWithinPartitions("date", *inner).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(
-        f"{base.rstrip('/')}/{record_type}")
+        "partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(folder)
+    return G.days_below(rows.sparkSession, folder, part)
 
 
-def compact(spark: SparkSession, base: str, record_type: str, days: list[date], staging: str) -> None:
-    """A4: the files of some days, batches and all, as few larger ones under one run."""
-    for day in days:
-        rows = read_type(spark, base, record_type, start=day, end=day)
-        path = f"{staging.rstrip('/')}/{record_type}-{day.isoformat()}"
-        rows.drop("date").write.mode("overwrite").parquet(path)
-        folder = f"{base.rstrip('/')}/{record_type}/date={day.isoformat()}"
-        remove(spark, folder)
-        staged = spark.read.parquet(path)
-        staged.repartition(max(1, len(staged.inputFiles()) // 8)).write.mode("overwrite").parquet(
-            f"{folder}/batch_id=compacted")
+def write_run(df: DataFrame, base: str, record_type: str, run: str, ts: str = "received_at",
+              replace_all: bool = False) -> bool:
+    """Rows of one run or batch below ``date=.../batch_id=...``, all of them or none.
+
+    They count once all files stand. A run that is in already, also if its files were compacted or
+    updated since, writes nothing (False): the rows of a run are always the same.  What a run left
+    that died is overwritten by its next attempt.
+    """
+    spark, folder = df.sparkSession, f"{base.rstrip('/')}/{record_type}"
+    before = G.ensured(spark, folder)
+    if before.has_run(run):
+        return False
+    days = _write_part(with_day(df, ts), folder, run, ts)
+    gone = before.pairs() if replace_all else set()
+    G.commit(spark, folder, lambda g: g.without(gone, before.marks() if replace_all else set())
+             .with_part(run, days).with_run(run))
+    return True
+
+
+def compact(spark: SparkSession, base: str, record_type: str, days: list[date], purge: bool = True) -> None:
+    """A4: the files of some days, runs, batches and updates, as few larger ones.
+
+    One job writes all days beside the old files; then the table of what counts is replaced.
+    ``purge`` deletes the old files at once; without it queries that run can end on them.
+    """
+    folder = f"{base.rstrip('/')}/{record_type}"
+    names = {d.isoformat() for d in days}
+    now = G.ensured(spark, folder)
+    pairs, marks = now.pairs(names.__contains__), now.marks(names.__contains__)
+    if not pairs:
+        return
+    part = G.COMPACTED + uuid.uuid4().hex
+    rows = _read_pairs(spark, folder, now, pairs)
+    written = _write_part(rows.where(F.col("date").isNotNull()), folder, part)
+    G.commit(spark, folder, lambda g: g.without(pairs, marks).with_part(part, written) if written
+             else g.without(pairs, marks), needs=pairs, marks=marks)
+    if purge:
+        G.purge(spark, folder)
 
 
 def bulk_export(tables: dict[str, DataFrame], base: str, mode: str = "append") -> DataFrame:
@@ -155,25 +187,64 @@ def apply_status_updates(raw: DataFrame, updates: DataFrame, id_col: str = "line
         for c in raw.columns])
 
 
-def write_status_updates(spark: SparkSession, base: str, record_type: str, updates: DataFrame,
-                         staging: str, id_col: str = "line_id", sequence: str = "update_no") -> list[date]:
-    """A10: the updates written back; only days that hold an updated line are rewritten.
+#: Columns that a status update can change.
+UPDATED = ("parse_status", "record_type", "checksum_valid", "error_message")
 
-    The new days are staged first, so a crash leaves either the old or the new files of a day.
-    Returns the days.
+
+def write_status_updates(spark: SparkSession, base: str, record_type: str, updates: DataFrame,
+                         id_col: str | list[str] | None = None, sequence: str = "update_no",
+                         run: str | None = None) -> list[date]:
+    """A10: the updates as an overlay of positions; no day is written again.
+
+    Lines are found by ``file_path`` and ``line_no`` where the updates have them, else by
+    ``line_id``. An overlay row names a file and a row in it, with the values that hold from now
+    on; readers apply it, ``compact`` folds it in. With the id of a run the same updates can be
+    told again without effect. Returns the days that hold an updated line.
     """
-    rows = read_type(spark, base, record_type)
-    days = [r.date for r in rows.join(updates.select(id_col), id_col, "left_semi").select("date")
-            .distinct().orderBy("date").toLocalIterator()]
-    for day in days:
-        old = read_type(spark, base, record_type, start=day, end=day)
-        path = f"{staging.rstrip('/')}/{record_type}-{day.isoformat()}"
-        apply_status_updates(old, updates, id_col, sequence).drop("date").write.mode(
-            "overwrite").parquet(path)
-        folder = f"{base.rstrip('/')}/{record_type}/date={day.isoformat()}"
-        remove(spark, folder)
-        spark.read.parquet(path).write.mode("overwrite").parquet(f"{folder}/batch_id=updated")
-    return days
+    key = [id_col] if isinstance(id_col, str) else id_col or (
+        ["file_path", "line_no"] if {"file_path", "line_no"} <= set(updates.columns) else ["line_id"])
+    changed = [c for c in UPDATED if c in updates.columns]
+    latest = updates.groupBy(*key).agg(F.max_by(F.struct(*changed), sequence).alias("_u"))
+
+    def values(rows: DataFrame) -> DataFrame:
+        kept = [c for c in UPDATED if c in rows.columns]
+        return rows.join(latest, key).select(*_POSITION, *[
+            F.coalesce(F.col(f"_u.{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in kept],
+            F.lit(False).alias("_deleted"))
+
+    return _write_overlay(spark, f"{base.rstrip('/')}/{record_type}", values, run)
+
+
+def delete_rows(spark: SparkSession, base: str, record_type: str, condition: Column,
+                start: date | None = None, end: date | None = None, run: str | None = None) -> list[date]:
+    """Rows that meet a condition stop counting, by the same overlay; no day is written again."""
+    def values(rows: DataFrame) -> DataFrame:
+        kept = [c for c in UPDATED if c in rows.columns]
+        return rows.where(condition).select(*_POSITION, *kept, F.lit(True).alias("_deleted"))
+
+    return _write_overlay(spark, f"{base.rstrip('/')}/{record_type}", values, run, start, end)
+
+
+def _write_overlay(spark: SparkSession, folder: str, values, run: str | None = None,
+                   start: date | None = None, end: date | None = None) -> list[date]:
+    now = G.ensured(spark, folder)
+    name = f"run-{run}" if run else uuid.uuid4().hex
+    if now.has_run(name):
+        return []
+    pairs = now.pairs(_between(start, end))
+    marks = now.marks({d for _, d in pairs}.__contains__)
+    days: list[str] = []
+    if pairs:
+        path = G.overlay_path(folder, name)
+        rows = values(_read_pairs(spark, folder, now, pairs, positions=True))
+        rows.withColumn("_version", F.lit(now.number + 1)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+        days = G.days_below(spark, path)
+    own = set(days)
+    needed = {p for p in pairs if p[1] in own}
+    G.commit(spark, folder, lambda g: G.replace(g.with_run(name), overlays={**g.overlays, name: days} if days else g.overlays),
+             needs=needed, marks={m for m in marks if m[1] in own} if needed else None)
+    return [date.fromisoformat(d) for d in sorted(days)]
 
 
 def retain_days(df: DataFrame, days: int, as_of: datetime, ts: str = "received_at") -> DataFrame:
@@ -187,93 +258,108 @@ def expired_partitions(df: DataFrame, days: int, as_of: datetime) -> DataFrame:
     return df.select("date").where(F.col("date") < F.lit(cut)).distinct()
 
 
-def drop_expired(spark: SparkSession, base: str, record_type: str, days: int, as_of: datetime) -> list[str]:
-    """Remove the day folders that lie wholly before the cut; returns their names."""
-    cut, folder = (as_of - timedelta(days=days)).date().isoformat(), f"{base.rstrip('/')}/{record_type}"
-    old = [n for n in folders(spark, folder) if n.startswith("date=") and n[5:] < cut]
-    for name in old:
-        remove(spark, f"{folder}/{name}")
-    return old
+def drop_expired(spark: SparkSession, base: str, record_type: str, days: int, as_of: datetime,
+                 rows: str | None = None) -> list[str]:
+    """The days that lie wholly before the cut stop counting and are removed; returns their names.
+
+    With ``rows``, a column of times, the rows of the day of the cut that are older go as well, by
+    an overlay.
+    """
+    cut, folder = as_of - timedelta(days=days), f"{base.rstrip('/')}/{record_type}"
+    day = cut.date().isoformat()
+    now = G.ensured(spark, folder)
+    old = now.pairs(lambda d: d < day)
+    if old:
+        G.commit(spark, folder, lambda g: g.without(g.pairs(lambda d: d < day), g.marks(lambda d: d < day)))
+        G.purge(spark, folder)
+    if rows is not None:
+        delete_rows(spark, base, record_type, F.col(rows) < F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz"),
+                    cut.date(), cut.date())
+    return sorted({f"date={d}" for _, d in old})
 
 
 # ------------------------------------------------------------------------------- reading
-def _store(spark: SparkSession, path: str):
-    """File system and path, for folder names and removal; files are read by Spark's readers."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+_POSITION = ["date", "_file", "_row"]
+_NAME = r"/(date=[^/]+/.*)$"
+
+
+def _between(start: date | None, end: date | None):
+    """Whether a day's name lies between two days."""
+    return lambda d: (start is None or d >= start.isoformat()) and (end is None or d <= end.isoformat())
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below a path, none if it does not exist."""
-    store, where = _store(spark, path)
-    if not store.exists(where):
+    files, where = G.store(spark, path)
+    if not files.exists(where):
         return []
-    return sorted(s.getPath().getName() for s in store.listStatus(where) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory())
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    store, where = _store(spark, path)
-    store.delete(where, True)
+remove = G.remove
 
 
 def read_type(spark: SparkSession, base: str, record_type: str, schema: str | None = None,
               start: date | None = None, end: date | None = None) -> DataFrame:
-    """One type of the lake, files merged by column name, days pruned.
+    """One type of the lake, files merged by column name, days pruned, updates applied.
 
-    Only the folders of the chosen days are listed. Files lie directly below a day or below the
-    batch or run that wrote them; both are read. With a schema nothing is inferred, which is the
-    way for large lakes. Without one, files are merged by name; where they disagree on a type,
-    files of equal schema are read together and the groups are widened.
+    Only the folders of the chosen days are listed, and of these only what counts. With a schema
+    nothing is inferred, which is the way for large lakes. Without one, files are merged by name;
+    where they disagree on a type, the widest holds.
     """
     folder = f"{base.rstrip('/')}/{record_type}"
-    names = [n for n in folders(spark, folder) if n.startswith("date=")]
-    chosen = [n for n in names if (start is None or n[5:] >= start.isoformat())
-              and (end is None or n[5:] <= end.isoformat())]
-    # where no day is chosen, the last one gives the columns of an empty frame
-    days = "{" + ",".join(chosen or names[-1:]) + "}"
-    parts = []
-    for level in (f"{folder}/{days}/*.parquet", f"{folder}/{days}/batch_id=*/*.parquet"):
-        reader = spark.read.option("basePath", folder)
-        try:
-            if schema is not None:
-                parts.append(reader.schema(schema).parquet(level))
-            else:
-                parts.append(reader.option("mergeSchema", True).parquet(level))
-        except Exception as error:  # noqa: BLE001 - only a missing level and a failed merge are handled
-            if "PATH_NOT_FOUND" in str(error):
-                continue
-            if "MERGE_SCHEMA" not in str(error):
-                raise
-            parts.append(_read_widened(spark, folder, level))
-    parts = [p.drop("batch_id") for p in parts]
-    if not parts:
-        return spark.read.option("mergeSchema", True).parquet(folder)  # says what is missing
-    df = parts[0] if len(parts) == 1 else unions.union_widening(parts)
-    if "date" in df.columns:
-        df = df.withColumn("date", F.col("date").cast("date"))
-        if start is not None:
-            df = df.where(F.col("date") >= F.lit(start))
-        if end is not None:
-            df = df.where(F.col("date") <= F.lit(end))
+    now = G.current(spark, folder) or G.as_found(spark, folder)
+    pairs = now.pairs(_between(start, end))
+    if not pairs:  # the last day gives the columns of an empty frame
+        last = max((d for _, d in now.pairs()), default=None)
+        if last is None:
+            return spark.read.option("mergeSchema", True).parquet(folder)  # says what is missing
+        return _read_pairs(spark, folder, now, now.pairs(lambda d: d == last), schema).where("false")
+    df = _read_pairs(spark, folder, now, pairs, schema)
+    if start is not None:
+        df = df.where(F.col("date") >= F.lit(start))
+    if end is not None:
+        df = df.where(F.col("date") <= F.lit(end))
     return df
 
 
-def _read_widened(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    """Files grouped by their schema, each group read once, then united by name.
-
-    One look at each footer; the files of one folder may differ.
-    """
-    paths = [r.path for r in spark.read.format("binaryFile").load(level).select("path").toLocalIterator()]
-
-    def schema_of(path: str) -> str:
-        return spark.read.option("basePath", folder).parquet(path).schema.json()
-
-    groups: dict[str, list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for path, schema in zip(paths, pool.map(schema_of, paths)):
-            groups.setdefault(schema, []).append(path)
-    return unions.union_widening([spark.read.option("basePath", folder).parquet(*files)
-                                  for files in groups.values()])
+def _read_pairs(spark: SparkSession, folder: str, now: G.Generation, pairs: set[tuple[str, str]],
+                schema: str | None = None, positions: bool = False) -> DataFrame:
+    """Some (part, day) of a type with their overlays, optionally with the place of every row."""
+    marked = {d for _, d in now.marks({d for _, d in pairs}.__contains__)}
+    out = []
+    for has_marks, direct in ((m, d) for m in (True, False) for d in (True, False)):
+        # files directly below a day are named by a pattern, so that its parts are not read with them
+        paths = sorted(G.part_path(folder, p, d) + ("/*.parquet" if direct else "") for p, d in pairs
+                       if (d in marked) == has_marks and (p == G.DIRECT) == direct)
+        if not paths:
+            continue
+        place = positions or has_marks
+        rows = footers.read_files(spark, folder, paths, schema, place=place)
+        rows = rows.drop("batch_id")
+        if "date" in rows.columns:
+            rows = rows.withColumn("date", F.col("date").cast("date"))
+        if place:
+            rows = rows.withColumns({"_file": F.regexp_extract("_file", _NAME, 1)})
+        if has_marks:
+            rows = _overlaid(spark, folder, rows, now, marked)
+        out.append(rows if positions else rows.drop("_file", "_row"))
+    return out[0] if len(out) == 1 else unions.union_widening(out)
+
+
+def _overlaid(spark: SparkSession, folder: str, rows: DataFrame, now: G.Generation, days: set[str]) -> DataFrame:
+    """Rows with the newest overlay of their place; deleted ones go."""
+    newest = None
+    for name, of in now.overlays.items():
+        paths = [G.overlay_path(folder, name, d) for d in of if d in days]
+        if paths:
+            part = spark.read.option("basePath", G.overlay_path(folder, name)).parquet(*paths).drop("date")
+            newest = part if newest is None else newest.unionByName(part, allowMissingColumns=True)
+    kept = [c for c in UPDATED if c in newest.columns and c in rows.columns]
+    newest = newest.groupBy("_file", "_row").agg(F.max_by(F.struct("_deleted", *kept), "_version").alias("_now"))
+    both = rows.join(newest, ["_file", "_row"], "left").where(~F.coalesce(F.col("_now._deleted"), F.lit(False)))
+    return both.select(*[F.when(F.col("_now").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c)
+                         if c in kept else F.col(c) for c in rows.columns])
 
 
 def read_lake(spark: SparkSession, base: str, types: list[str], start: date | None = None,
@@ -291,13 +377,24 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def lake_files(spark: SparkSession, base: str) -> DataFrame:
-    """Every finished file with its type and day."""
+    """Every finished file that counts, with its type and day."""
     files = list_files(spark, base, "*.parquet")
-    day = F.regexp_extract("path", r"/date=(\d{4}-\d{2}-\d{2})/", 1)
-    return files.select(
+    named = files.select(
         F.regexp_extract("path", r"/([^/]+)/date=[^/]+/(?:batch_id=[^/]+/)?[^/]+$", 1).alias("record_type"),
-        F.when(day != "", day).try_cast("date").alias("date"), "path",
-        F.col("length").alias("bytes")).where("record_type <> ''")
+        F.regexp_extract("path", r"/date=([^/]+)/", 1).alias("day"),
+        F.regexp_extract("path", r"/batch_id=([^/]+)/", 1).alias("part"), "path", "length")
+    counting, tabled = [], []
+    for record_type in lake_types(spark, base):
+        now = G.current(spark, f"{base.rstrip('/')}/{record_type}")
+        if now is not None:
+            tabled.append(record_type)
+            counting += [(record_type, d, p) for p, d in now.pairs()]
+    known = spark.createDataFrame(counting, "record_type string, day string, part string")
+    free = named.where(~F.col("record_type").isin(tabled)) if tabled else named
+    named = free.unionByName(named.join(known, ["record_type", "day", "part"], "left_semi"))
+    return named.select(
+        "record_type", F.when(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("day")).try_cast("date").alias("date"),
+        "path", F.col("length").alias("bytes")).where("record_type <> ''")
 
 
 def lake_inventory(spark: SparkSession, base: str) -> DataFrame:

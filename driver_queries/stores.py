@@ -17,6 +17,7 @@ from brinelake.plans import ingest as I
 from brinelake.plans import upgrade as M
 from brinelake.plans import views as V
 from brinelake.session import fresh_folder
+from brinelake.sources import generations as G
 from brinelake.sources import lake
 from brinelake.sources.lines import number_lines, read_lines, stream_lines
 from brinelake.streaming import live
@@ -106,7 +107,7 @@ def _half_written(f) -> str:
     base = fresh_folder(f.spark, "unfinished")
     for run, rest in (("done", 0), ("open", 1)):
         lake.write_run(f.sensor.where(f"record_id % 2 = {rest}"), base, "PNORS", run)
-    store, _ = lake._store(f.spark, base)
+    store, _ = G.store(f.spark, base)
     path = f.spark._jvm.org.apache.hadoop.fs.Path
     for row in lake.list_files(f.spark, base, "*.parquet").select("path").toLocalIterator():  # files, not rows
         late = path(row.path + ".writing")
