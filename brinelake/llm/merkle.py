@@ -8,7 +8,9 @@ The built levels are stored as parent-linked rows: a run of up to eight nodes is
 nodes' digests, its place (tree, level, number) and the place of the node that it makes. A recursive
 query starts with all leaves and joins them, step by step, with the runs that they lie in: it
 appends the other digests of the run to the proof and folds the (perhaps changed) digest with them.
-A leaf that has arrived at the root joins nothing more; the query ends when all have.
+A leaf that has arrived at the root joins nothing more; the query ends when all have. As every
+step shuffles the proofs so far, a row also holds the two runs above its own, and a step climbs up
+to three levels.
 
 Places come from a range partition by (tree, id) and counts per partition, so no tree, however
 large, goes through one task. Levels are an eighth of the one below. The proofs are carried as
@@ -33,6 +35,8 @@ from pyspark.sql import Window as W
 from brinelake.llm.common import written
 
 RUN = 8
+#: Levels that a step of the recursive query climbs.
+STEP = 3
 #: The last tree, whose leaves are the subroots.
 TOP = -1
 #: A recursive query may give so many rows unless the session says otherwise.
@@ -69,16 +73,16 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
 
 
 def _runs(nodes: DataFrame, level: int) -> DataFrame:
-    """One row per run of a level: tree, level, number, the digests as one text."""
-    kids = F.array_sort(F.collect_list(F.struct("i", "hash")))  # RUN at most
+    """One row per run of a level: tree, level, number, the digests one after the other."""
+    kids = F.array_sort(F.collect_list(F.struct("i", F.lower(F.hex("hash")).alias("hash"))))  # RUN at most
     runs = nodes.groupBy("tree", F.expr(f"i div {RUN}").alias("up")).agg(kids.alias("kids"))
-    return runs.select("tree", F.lit(level).alias("level"), "up", F.array_join("kids.hash", "").alias("run"))
+    return runs.select("tree", F.lit(level).alias("level"), "up", F.unhex(F.array_join("kids.hash", "")).alias("run"))
 
 
 def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The runs of all levels of a forest, and what is left of each tree: (tree, hash, level).
 
-    ``nodes`` has ``tree``, ``i`` and ``hash``.  A tree that is down to one node is not climbed.
+    ``nodes`` has ``tree``, ``i`` and ``hash`` (bytes).  A tree that is down to one node is not climbed.
     """
     levels, ends, level = [], [], 0
     while True:
@@ -90,7 +94,7 @@ def climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if runs.isEmpty():
             break
         levels.append(runs)
-        nodes = runs.select("tree", F.col("up").alias("i"), F.sha2("run", 256).alias("hash"))
+        nodes = runs.select("tree", F.col("up").alias("i"), F.unhex(F.sha2(F.lower(F.hex("run")), 256)).alias("hash"))
         level += 1
     left = ends[0]
     for e in ends[1:]:
@@ -112,7 +116,7 @@ def _no_row_limit(spark: SparkSession) -> Iterator[None]:
 def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Placed leaves, linked runs, and (tree, subroot, root) of ``leaves``.
 
-    ``leaves``, a written table, has ``tree_key``, ``id``, ``leaf`` (hex) and ``no``, which tells
+    ``leaves``, a written table, has ``tree_key``, ``id``, ``leaf`` (bytes) and ``no``, which tells
     rows apart. The leaves come back with ``tree`` and ``i``; runs are (tree, level, up, run,
     up_tree, up_level, up_i), where ``up_tree`` is null for the run that makes the root.
     """
@@ -126,7 +130,7 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     upper, root = climbed(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("i"), "hash"))
     last = root.select(F.col("hash").alias("root"), F.col("level").alias("top_levels"))  # one row, or none
 
-    runs = placed.sparkSession.createDataFrame([], "tree long, level int, up long, run string")
+    runs = placed.sparkSession.createDataFrame([], "tree long, level int, up long, run binary")
     for part in (*lower, *upper):
         runs = runs.unionByName(part)
     depth = subroots.select("tree", F.col("level").alias("levels")).crossJoin(F.broadcast(last.select("top_levels")))
@@ -146,27 +150,49 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed, written(linked, "merkle-links"), written(ends, "merkle-roots")
 
 
+def _strides(links: DataFrame) -> DataFrame:
+    """Rows with the runs above their own: ``run1`` and, as far as there are any, ``run2`` ... with
+    the places ``at2`` ... in them, and the place that the climb has arrived at."""
+    now = links.withColumnRenamed("run", "run1")
+    for k in range(2, STEP + 1):
+        above = links.select(F.col("tree").alias("t"), F.col("level").alias("l"), F.col("up").alias("u"),
+                             F.col("run").alias(f"run{k}"), F.col("up_tree").alias("t2"),
+                             F.col("up_level").alias("l2"), F.col("up_i").alias("i2"))
+        met = F.col("t").isNotNull()
+        kept = [c for c in now.columns if not c.startswith("up_")]
+        now = now.join(above, (F.col("up_tree") == F.col("t")) & (F.col("up_level") == F.col("l"))
+                       & (F.expr(f"up_i div {RUN}") == F.col("u")), "left").select(
+            *kept, f"run{k}", F.when(met, F.expr(f"CAST(up_i % {RUN} AS INT)")).alias(f"at{k}"),
+            *[F.when(met, F.col(b)).otherwise(F.col(a)).alias(a)
+              for a, b in (("up_tree", "t2"), ("up_level", "l2"), ("up_i", "i2"))])
+    return written(now, "merkle-strides")
+
+
 def folds(spark: SparkSession, start: DataFrame, links: DataFrame) -> DataFrame:
-    """(no, proof, folded) of every leaf by the recursive query.
+    """(no, proof_sha256, folded) of every leaf by the recursive query.
 
     ``start`` has ``no``, the first place (``tree``, ``level``, ``i``; tree null if the leaf is the
-    root) and ``folded``, the digest to begin with.
+    root) and ``folded``, the digest to begin with, as bytes.
     """
+    at = [f"CAST(c.i % {RUN} AS INT)", *[f"l.at{k}" for k in range(2, STEP + 1)]]
+    left = [f"substring(l.run{k + 1}, 1, 32 * {at[k]})" for k in range(STEP)]
+    right = [f"substring(l.run{k + 1}, 32 * {at[k]} + 33)" for k in range(STEP)]
+    folded, others = "c.folded", []
+    for k in range(STEP):
+        once = f"unhex(sha2(lower(concat(hex({left[k]}), hex({folded}), hex({right[k]}))), 256))"
+        folded = once if k == 0 else f"CASE WHEN l.run{k + 1} IS NULL THEN {folded} ELSE {once} END"
+        others += [f"coalesce({x}, X'')" for x in (left[k], right[k])]
     climb = spark.sql(f"""
         WITH RECURSIVE climb(no, tree, level, i, folded, proof) AS (
-          SELECT no, tree, level, i, folded, CAST('' AS BINARY) FROM {{start}}
+          SELECT no, tree, level, i, folded, X'' FROM {{start}}
           UNION ALL
-          SELECT c.no, l.up_tree, l.up_level, l.up_i,
-                 sha2(concat(substr(l.run, 1, 64 * (c.i % {RUN})), c.folded,
-                             substr(l.run, 64 * (c.i % {RUN}) + 65)), 256),
-                 concat(c.proof, unhex(concat(substr(l.run, 1, CAST(64 * (c.i % {RUN}) AS INT)),
-                                              substr(l.run, CAST(64 * (c.i % {RUN}) + 65 AS INT)))))
+          SELECT c.no, l.up_tree, l.up_level, l.up_i, {folded}, concat(c.proof, {", ".join(others)})
           FROM climb c JOIN {{links}} l ON c.tree = l.tree AND c.level = l.level AND c.i div {RUN} = l.up
         )
-        SELECT no, lower(hex(proof)) AS proof, folded FROM climb WHERE tree IS NULL""",
-                      start=start, links=links)
+        SELECT no, sha2(lower(hex(proof)), 256) AS proof_sha256, folded FROM climb WHERE tree IS NULL""",
+                      start=start, links=_strides(links))
     with _no_row_limit(spark):
-        return written(climb.select("no", F.sha2("proof", 256).alias("proof_sha256"), "folded"), "merkle-folds")
+        return written(climb, "merkle-folds")
 
 
 def proved(docs: DataFrame, fields: list[str], tree: str, order: str,
@@ -176,8 +202,9 @@ def proved(docs: DataFrame, fields: list[str], tree: str, order: str,
     spark = docs.sparkSession
     now = [(instead or {}).get(c, F.col(c)) for c in fields]
     leaves = written(docs.select(
-        F.col(tree).alias("tree_key"), F.col(order).alias("id"), leaf_of([F.col(c) for c in fields]).alias("leaf"),
-        leaf_of(now).alias("folded"), F.monotonically_increasing_id().alias("no")), "merkle-rows")
+        F.col(tree).alias("tree_key"), F.col(order).alias("id"),
+        F.unhex(leaf_of([F.col(c) for c in fields])).alias("leaf"), F.unhex(leaf_of(now)).alias("folded"),
+        F.monotonically_increasing_id().alias("no")), "merkle-rows")
     placed, links, ends = manifest(leaves)
     # a tree of one leaf starts as a leaf of the last tree; if that is one tree, it is the root
     alone, only = F.col("levels") == 0, F.col("top_levels") == 0
@@ -185,6 +212,11 @@ def proved(docs: DataFrame, fields: list[str], tree: str, order: str,
         "no", "folded", F.when(~alone, F.col("tree")).when(~only, F.lit(TOP)).cast("long").alias("tree"),
         F.lit(0).alias("level"), F.when(~alone, F.col("i")).otherwise(F.col("tree")).alias("i"))
     found = folds(spark, start, links)
+
+    def text(c: str) -> Column:
+        return F.lower(F.hex(c)).alias(c)
+
     return (placed.drop("folded").join(found, "no").join(ends, "tree")
-            .select(F.col("tree_key").alias(tree), F.col("id").alias(order), "leaf", "subroot", "root", "proof_sha256",
-                    F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")))
+            .select(F.col("tree_key").alias(tree), F.col("id").alias(order), text("leaf"), text("subroot"), text("root"),
+                    "proof_sha256", F.lower(F.hex("folded")).alias("folded_root"),
+                    (F.col("folded") == F.col("root")).alias("verified")))
