@@ -56,7 +56,7 @@ def merged_schema(facts: DataFrame) -> list[tuple[str, str, list[str]]]:
 
 
 def _scanned(spark: SparkSession, folder: str, paths: list[str], schema, place: bool) -> DataFrame:
-    reader = spark.read.option("basePath", folder)
+    reader = spark.read.option("basePath", folder).option("pathGlobFilter", "*.parquet")
     df = (reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)).parquet(*paths)
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.row_index").alias("_row")) if place else df

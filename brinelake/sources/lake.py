@@ -96,7 +96,7 @@ def compact(spark: SparkSession, base: str, record_type: str, days: list[date],
     if not pairs:
         return
     part = G.COMPACTED + uuid.uuid4().hex
-    rows = _read_pairs(spark, folder, now, pairs)
+    rows = read_pairs(spark, folder, now, pairs)
     written = _write_part(rows.where(F.col("date").isNotNull()), folder, part)
     G.commit(spark, folder, lambda g: g.without(pairs, marks).with_part(part, written) if written
              else g.without(pairs, marks), needs=pairs, marks=marks)
@@ -236,7 +236,7 @@ def _write_overlay(spark: SparkSession, folder: str, values, run: str | None = N
     days: list[str] = []
     if pairs:
         path = G.overlay_path(folder, name)
-        rows = values(_read_pairs(spark, folder, now, pairs, positions=True))
+        rows = values(read_pairs(spark, folder, now, pairs, positions=True))
         rows.withColumn("_version", F.lit(now.number + 1)).write.mode("overwrite").option(
             "partitionOverwriteMode", "static").partitionBy("date").parquet(path)
         days = G.days_below(spark, path)
@@ -309,13 +309,7 @@ def read_type(spark: SparkSession, base: str, record_type: str, schema: str | No
     """
     folder = f"{base.rstrip('/')}/{record_type}"
     now = G.current(spark, folder) or G.as_found(spark, folder)
-    pairs = now.pairs(_between(start, end))
-    if not pairs:  # the last day gives the columns of an empty frame
-        last = max((d for _, d in now.pairs()), default=None)
-        if last is None:
-            return spark.read.option("mergeSchema", True).parquet(folder)  # says what is missing
-        return _read_pairs(spark, folder, now, now.pairs(lambda d: d == last), schema).where("false")
-    df = _read_pairs(spark, folder, now, pairs, schema)
+    df = read_pairs(spark, folder, now, now.pairs(_between(start, end)), schema)
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -323,19 +317,22 @@ def read_type(spark: SparkSession, base: str, record_type: str, schema: str | No
     return df
 
 
-def _read_pairs(spark: SparkSession, folder: str, now: G.Generation, pairs: set[tuple[str, str]],
-                schema: str | None = None, positions: bool = False) -> DataFrame:
-    """Some (part, day) of a type with their overlays, optionally with the place of every row."""
-    marked = {d for _, d in now.marks({d for _, d in pairs}.__contains__)}
+def read_pairs(spark: SparkSession, folder: str, now: G.Generation, pairs: set[tuple[str, str]],
+               schema: str | None = None, positions: bool = False, files: set[str] = frozenset()) -> DataFrame:
+    """Some (part, day) of a type, and single ``files`` below its folder, with their overlays;
+    optionally with the place of every row (``_file``, ``_row``)."""
+    of = {f: f[5:15] for f in files}
+    marked = {d for _, d in now.marks({*of.values(), *(d for _, d in pairs)}.__contains__)}
     out = []
     for has_marks, direct in ((m, d) for m in (True, False) for d in (True, False)):
         # files directly below a day are named by a pattern, so that its parts are not read with them
-        paths = sorted(G.part_path(folder, p, d) + ("/*.parquet" if direct else "") for p, d in pairs
-                       if (d in marked) == has_marks and (p == G.DIRECT) == direct)
+        paths = [G.part_path(folder, p, d) + ("/*.parquet" if direct else "") for p, d in pairs
+                 if (d in marked) == has_marks and (p == G.DIRECT) == direct]
+        paths += [f"{folder}/{f}" for f, d in of.items() if (d in marked) == has_marks and ("/batch_id=" not in f) == direct]
         if not paths:
             continue
         place = positions or has_marks
-        rows = footers.read_files(spark, folder, paths, schema, place=place)
+        rows = footers.read_files(spark, folder, sorted(paths), schema, place=place)
         rows = rows.drop("batch_id")
         if "date" in rows.columns:
             rows = rows.withColumn("date", F.col("date").cast("date"))
@@ -344,6 +341,11 @@ def _read_pairs(spark: SparkSession, folder: str, now: G.Generation, pairs: set[
         if has_marks:
             rows = _overlaid(spark, folder, rows, now, marked)
         out.append(rows if positions else rows.drop("_file", "_row"))
+    if not out:  # nothing chosen: the columns of any part, without rows
+        some = next(iter(sorted(now.pairs())), None)
+        if some is None:
+            return spark.read.option("mergeSchema", True).parquet(folder)  # says what is missing
+        return read_pairs(spark, folder, now, {some}, schema, positions).where("false")
     return out[0] if len(out) == 1 else unions.union_widening(out)
 
 

@@ -18,7 +18,7 @@ from brinelake.plans import upgrade as M
 from brinelake.plans import views as V
 from brinelake.session import fresh_folder
 from brinelake.sources import generations as G
-from brinelake.sources import lake
+from brinelake.sources import lake, skipping
 from brinelake.sources.lines import number_lines, read_lines, stream_lines
 from brinelake.streaming import live
 from driver_queries.registry import query, rounded
@@ -297,12 +297,101 @@ def _(f):
     before.write.parquet(f"{base}/_before")
     updates = f.raw.where("line_id % 3 = 0 AND CAST(received_at AS DATE) = DATE '2024-01-08'").select(
         "line_id", F.lit("FAIL").alias("parse_status"), F.lit(1).alias("update_no"))
-    lake.write_status_updates(f.spark, base, "RAW_LINES", updates, fresh_folder(f.spark, "staged"))
+    changed = lake.write_status_updates(f.spark, base, "RAW_LINES", updates)
+    lake.compact(f.spark, base, "RAW_LINES", changed)  # the update itself writes no day again, this does
     days = lake.lake_files(f.spark, base).join(f.spark.read.parquet(f"{base}/_before"), "path", "left").groupBy("date").agg(
         F.bool_or(F.col("kept").isNull()).alias("rewritten"))
     return lake.read_type(f.spark, base, "RAW_LINES").join(days, "date", "left").select("line_id", "parse_status", "rewritten")
 
 
+_MAINTAINED = """SELECT line_id, CASE WHEN line_id % 3 = 0 THEN 'FAIL' ELSE parse_status END AS parse_status,
+ CASE WHEN line_id % 6 = 0 THEN 'second' WHEN line_id % 3 = 0 THEN 'first' ELSE error_message END AS error_message{0} FROM raw"""
+
+
+def _runs_and_updates(f):
+    """Two runs, and two updates of the same lines that have been told; base and a way to tell all again."""
+    base = fresh_folder(f.spark, "maintained")
+
+    def tell() -> None:
+        for run in (0, 1):
+            lake.write_run(f.raw.where(f"line_id % 2 = {run}"), base, "RAW_LINES", str(run))
+        for no, (name, step) in enumerate((("first", 3), ("second", 6))):
+            rows = f.raw.where(f"line_id % {step} = 0").select(
+                "line_id", F.lit("FAIL").alias("parse_status"), F.lit(name).alias("error_message"), F.lit(no).alias("update_no"))
+            lake.write_status_updates(f.spark, base, "RAW_LINES", rows, run=name)
+
+    tell()
+    return base, tell
+
+
+@query("a10_merge_on_read", "raw", _MAINTAINED.format(", true AS kept"))
+def _(f):
+    """Updates as overlays: every file that was there before them is there after them."""
+    base = fresh_folder(f.spark, "overlays")
+    lake.write_run(f.raw, base, "RAW_LINES", "0")
+    before = lake.lake_files(f.spark, base).select("path", "bytes")
+    before.write.parquet(f"{base}/_before")
+    for no, (name, step) in enumerate((("first", 3), ("second", 6))):
+        rows = f.raw.where(f"line_id % {step} = 0").select(
+            "line_id", F.lit("FAIL").alias("parse_status"), F.lit(name).alias("error_message"), F.lit(no).alias("update_no"))
+        lake.write_status_updates(f.spark, base, "RAW_LINES", rows)
+    gone = f.spark.read.parquet(f"{base}/_before").exceptAll(before)
+    kept = gone.agg((F.count(F.lit(1)) == 0).alias("kept"))
+    return lake.read_type(f.spark, base, "RAW_LINES").select("line_id", "parse_status", "error_message").crossJoin(kept)
+
+
+@query("a04_maintenance", "raw", _MAINTAINED.format(""))
+def _(f):
+    """Runs, updates, a compaction that dies before it counts, one that does not, and all of it told again."""
+    base, tell = _runs_and_updates(f)
+    days = [date.fromisoformat(d) for d in G.days_below(f.spark, f"{base}/RAW_LINES")]
+    own = G.commit
+
+    def dies(*_, **__):
+        raise InterruptedError
+
+    G.commit = dies
+    try:
+        lake.compact(f.spark, base, "RAW_LINES", days[::2])
+    except InterruptedError:
+        pass
+    finally:
+        G.commit = own
+    tell()
+    lake.compact(f.spark, base, "RAW_LINES", days[1:])
+    tell()
+    return lake.read_type(f.spark, base, "RAW_LINES").select("line_id", "parse_status", "error_message")
+
+
+@query("s03_skipped_files", "sensor", """SELECT record_id, received_at, 'hour' AS asked, true AS few FROM sensor
+ WHERE received_at BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-10 07:00:00'
+ UNION ALL SELECT record_id, received_at, 'id', true FROM sensor WHERE record_id = (SELECT max(record_id) // 2 FROM sensor)""")
+def _(f):
+    """An hour and an id through the index; few: at most an eighth of the files, or two, are opened."""
+    base = fresh_folder(f.spark, "indexed")
+    lake.write_run(f.sensor, base, "PNORS", "0")
+    skipping.index_files(f.spark, base, "PNORS", ["received_at"], ["record_id", "head_id"])
+    every = lake.lake_files(f.spark, base).count()
+    some = f.sensor.agg(F.max("record_id")).first()[0] // 2
+    hour = (datetime(2024, 1, 10, 6), datetime(2024, 1, 10, 7))
+    out = None
+    for asked, got in (("hour", skipping.read_matching(f.spark, base, "PNORS", between={"received_at": hour})),
+                       ("id", skipping.read_matching(f.spark, base, "PNORS", equal={"record_id": some}))):
+        few = len(got.inputFiles()) <= max(2, every // 8)
+        got = got.select("record_id", "received_at", F.lit(asked).alias("asked"), F.lit(few).alias("few"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("a11_retained_rows", "raw", "SELECT line_id FROM raw WHERE received_at >= TIMESTAMP '2024-01-10 12:00:00'")
+def _(f):
+    """Old days go as folders, old rows of the day of the cut by an overlay."""
+    base = fresh_folder(f.spark, "retained-rows")
+    lake.write_run(f.raw, base, "RAW_LINES", "0")
+    lake.drop_expired(f.spark, base, "RAW_LINES", 5, NOON, rows="received_at")
+    return lake.read_type(f.spark, base, "RAW_LINES").select("line_id")
+
+
 @query("a11_dropped_days", "raw", "SELECT line_id FROM raw WHERE CAST(received_at AS DATE) >= DATE '2024-01-10'")
 def _(f):
     base = fresh_folder(f.spark, "retained")
