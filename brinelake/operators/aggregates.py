@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinelake.operators import filters
@@ -145,32 +146,47 @@ def mean_amplitude() -> Column:
     return (beams[0] + beams[1] + beams[2] + beams[3]) / 4.0
 
 
+def of_stream(df: DataFrame) -> list[str]:
+    """The column that tells instruments apart, where a frame has it: part of every burst's key."""
+    return ["stream_id"] if "stream_id" in df.columns else []
+
+
 def amplitude_cells(df: DataFrame, time_range: str | None = None, as_of: datetime | None = None,
                     ts: str = "received_at") -> DataFrame:
-    """G14, long form: mean amplitude per time and cell, all rows, no group ever collected."""
+    """G14, long form: mean amplitude per stream, time and cell, all rows, no group ever collected."""
     if time_range:
         df = filters.look_back(df, time_range, as_of, ts)
-    return df.select(ts, "cell_index", mean_amplitude().alias("avg_amp"))
+    return df.select(*of_stream(df), ts, "cell_index", mean_amplitude().alias("avg_amp"))
 
 
 def amplitude_heatmap(
     df: DataFrame, times: int | None, time_range: str | None = None, as_of: datetime | None = None,
     ts: str = "received_at", tie: str = "record_id",
 ) -> DataFrame:
-    """One array of amplitudes per time, by cell, newest time first.
+    """One array of amplitudes per stream and time, by cell, newest time first.
 
-    ``times`` keeps that many of the newest times, each with all its cells; None keeps all.
+    ``times`` keeps that many of the newest times of every stream, each with all its cells; None
+    keeps all.
     """
     if time_range:
         df = filters.look_back(df, time_range, as_of, ts)
-    rows = df.select(ts, "cell_index", mean_amplitude().alias("avg_amp"), tie)
+    stream = of_stream(df)
+    rows = df.select(*stream, ts, "cell_index", mean_amplitude().alias("avg_amp"), tie)
     if times is not None:
-        newest = rows.select(ts).distinct().orderBy(F.col(ts).desc_nulls_last()).limit(times)
-        rows = rows.join(newest.withColumnRenamed(ts, "_t"), F.col(ts).eqNullSafe(F.col("_t")), "left_semi")
-    grouped = rows.groupBy(ts).agg(F.sort_array(F.collect_list(
+        each = rows.select(*stream, ts).distinct()
+        last = F.col(ts).desc_nulls_last()
+        if stream:  # a task keeps so many times of a stream before the shuffle (window group limit)
+            rank = F.row_number().over(Window.partitionBy(*stream).orderBy(last))
+            newest = each.withColumn("_rank", rank).where(F.col("_rank") <= times).drop("_rank")
+        else:
+            newest = each.orderBy(last).limit(times)
+        newest = newest.toDF(*[f"_n{k}" for k in range(len(stream) + 1)])
+        same = [F.col(c).eqNullSafe(F.col(f"_n{k}")) for k, c in enumerate([*stream, ts])]
+        rows = rows.join(newest, reduce(lambda x, y: x & y, same), "left_semi")
+    grouped = rows.groupBy(*stream, ts).agg(F.sort_array(F.collect_list(
         F.struct("cell_index", tie, "avg_amp"))).alias("cells"))
-    return grouped.select(ts, F.transform("cells", lambda c: c["avg_amp"]).alias("amplitudes")
-                          ).orderBy(F.col(ts).desc_nulls_last())
+    return grouped.select(*stream, ts, F.transform("cells", lambda c: c["avg_amp"]).alias("amplitudes")
+                          ).orderBy(F.col(ts).desc_nulls_last(), *stream)
 
 
 def profile_means(df: DataFrame, columns: list[str]) -> DataFrame:

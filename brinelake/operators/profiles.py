@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinelake.operators import scans
+from brinelake.operators.aggregates import of_stream
 
 VELOCITIES = ("vel1", "vel2", "vel3", "vel4")
 
@@ -25,20 +26,22 @@ def velocity_profiles(
     cells: DataFrame, velocity_columns: list[str] | None = None, cell_size: float = 1.0,
     blanking: float = 0.5, timestamps: list[datetime] | None = None, ts: str = "measured_at",
 ) -> DataFrame:
-    """Depth and components by cell of the given bursts, or of the latest one.
+    """Depth and components by cell of the given bursts, or of the latest one; where cells
+    have a stream, of every stream.
 
     All bursts come from one job.
     """
+    stream = of_stream(cells)
     columns = [c for c in velocity_columns or VELOCITIES if c in cells.columns]
     if timestamps:
         wanted = [F.lit(t.replace(microsecond=0).isoformat(sep=" ")).cast("timestamp_ntz")
                   for t in timestamps]
         rows = cells.where(F.col(ts).isin(*wanted))
     else:
-        rows = scans.latest_burst(cells, ts)
+        rows = scans.latest_burst(cells, ts, per_stream=bool(stream))
     distance = F.col("cell_distance") if "cell_distance" in cells.columns else None
-    return rows.select(ts, "cell_index", depth(blanking, cell_size, distance).alias("depth"),
-                       *columns).orderBy(ts, "cell_index")
+    return rows.select(*stream, ts, "cell_index", depth(blanking, cell_size, distance).alias("depth"),
+                       *columns).orderBy(*stream, ts, "cell_index")
 
 
 def configured_profiles(
@@ -63,11 +66,12 @@ def configured_profiles(
 
 def amplitude_grid(cells: DataFrame, times: list[datetime], ts: str = "received_at",
                    value: str = "avg_amp") -> DataFrame:
-    """Cells down, chosen times across, NULL where nothing was measured.
+    """Streams and their cells down, chosen times across, NULL where nothing was measured.
 
     The columns are the times asked for, so the width is the caller's and needs no first pass.
     """
-    out = cells.groupBy("cell_index")
+    down = [*of_stream(cells), "cell_index"]
+    out = cells.groupBy(*down)
     columns = [F.max(F.when(F.col(ts) == F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"),
                             F.col(value))).alias(f"t{i}") for i, t in enumerate(times)]
-    return out.agg(*columns).orderBy("cell_index")
+    return out.agg(*columns).orderBy(*down)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinelake.session import fresh_folder
+
 # Lines per chunk where lines are numbered within a stream.
 CHUNK_LINES = 1 << 18
 
@@ -219,24 +221,42 @@ def first_per_group(df: DataFrame, group: list[str], n: int, by: str = "received
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def as_of_join(
+def dealt_ranges(
     left: DataFrame, right: DataFrame, stream: list[str], left_ts: str, right_ts: str,
-    values: list[str], tie: str | None = None,
+    values: list[str], tie: str | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """Last known ``values`` of ``right`` at or before each left row, per stream (for D6).
+    """Both sides of an as-of join in ranges of (stream, time), ``_chunk``, by sampled splitters.
 
-    Both sides go through one carry-forward in chunks of a day.
+    A stream that has most of the rows, or all of a day's, is spread over as many ranges as its
+    rows fill. The rows are written once, since every use has to see the same ranges.
     """
+    spark = left.sparkSession
     order = F.struct(*values) if tie is None else F.struct(tie, *values)
     r = right.groupBy(*stream, F.col(right_ts).alias("_ts")).agg(
         F.max(order).alias("_v")).select(
         *stream, "_ts", F.lit(0).alias("_side"),
         F.struct(*[F.col(f"_v.{v}").alias(v) for v in values]).alias("_known"))
     value_type = r.schema["_known"].dataType
-    keep = [c for c in left.columns]
     l = left.select(*stream, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"),
-                    F.lit(None).cast(value_type).alias("_known"), F.struct(*keep).alias("_row"))
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(
-        "_chunk", F.coalesce(F.to_date("_ts"), F.lit("0001-01-01").cast("date")))
-    done = carry_forward(both, {"_last": F.col("_known")}, stream, ["_chunk"], ["_ts", "_side"])
+                    F.lit(None).cast(value_type).alias("_known"), F.struct(*left.columns).alias("_row"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = [F.coalesce(F.col(s).cast("string"), F.lit("\0")) for s in stream]
+    path = fresh_folder(spark, "as-of")
+    dealt = both.repartitionByRange(n, *key, "_ts", "_side", F.xxhash64("_row")).withColumn(
+        "_chunk", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def as_of_join(
+    left: DataFrame, right: DataFrame, stream: list[str], left_ts: str, right_ts: str,
+    values: list[str], tie: str | None = None, parts: int | None = None,
+) -> DataFrame:
+    """Last known ``values`` of ``right`` at or before each left row, per stream (for D6).
+
+    What is carried on from one range to the next is one row per range and stream.
+    """
+    dealt = dealt_ranges(left, right, stream, left_ts, right_ts, values, tie, parts)
+    done = carry_forward(dealt, {"_last": F.col("_known")}, stream, ["_chunk"], ["_ts", "_side"])
     return done.where("_side = 1").select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])

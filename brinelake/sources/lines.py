@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Chunk and order of numbered lines, for the ordered scans.
-LINE_CHUNK = ["file_path", "block_start"]
+LINE_CHUNK = ["file_path", "block_start", "segment"]
 LINE_ORDER = ["line_in_block"]
+# Places per segment: what one task orders, however large a split or an unsplittable file is.
+SEGMENT_LINES = 1 << 16
 
 
 def _with_origin(lines: DataFrame, stream: Column | None) -> DataFrame:
@@ -40,24 +42,29 @@ def stream_lines(spark: SparkSession, path: str, stream: Column | None = None,
     return _with_origin(lines, stream)
 
 
-def number_lines(lines: DataFrame, place: str = "line_place") -> DataFrame:
-    """A1: ``line_in_block``, ``line_no`` in the file, and the repeatable ``line_id``.
+def number_lines(lines: DataFrame, place: str = "line_place", segment: int = SEGMENT_LINES) -> DataFrame:
+    """A1: ``segment``, ``line_in_block``, ``line_no`` in the file, and the repeatable ``line_id``.
 
-    ``line_no`` is counted on two levels: rows per split, a running sum of those per file, and
-    the place in the split. It does not depend on where splits begin, so (``file_path``,
+    Lines are counted on two levels: a split is cut into segments of places, rows are numbered
+    inside each, and running sums over one row per segment give the number in the split and in
+    the file. ``line_no`` does not depend on where splits or segments begin, so (``file_path``,
     ``line_no``) names a line for good; ``line_id`` is a hash of the two for use as one column.
-    The lines are shuffled once, by split, which the ordered scans then use as well.
+    The lines are shuffled once, by segment, which the ordered scans then use as well; so a file
+    that cannot be split (gzip) is read by one task and ordered by many.
     """
-    lines = lines.drop("line_in_block", "line_no", "line_id")
+    lines = lines.drop("segment", "line_in_block", "line_no", "line_id")
     if place not in lines.columns:
         lines = lines.withColumn(place, F.monotonically_increasing_id())
+    lines = lines.withColumn("segment", F.floor(F.col(place) / segment))
     inside = Window.partitionBy(*LINE_CHUNK).orderBy(place)
-    numbered = lines.withColumn("line_in_block", F.row_number().over(inside)).drop(place)
-    per_split = lines.groupBy(*LINE_CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
-        Window.unboundedPreceding, -1)  # one row per split
-    offsets = per_split.select(*LINE_CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = numbered.join(offsets, LINE_CHUNK).withColumn(
-        "line_no", F.col("_before") + F.col("line_in_block")).drop("_before")
-    numbered = numbered.select(*lines.drop(place).columns, "line_in_block", "line_no")
+    numbered = lines.withColumn("_k", F.row_number().over(inside)).drop(place)
+    per_segment = lines.groupBy(*LINE_CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per segment
+    of_split = Window.partitionBy("file_path", "block_start").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("file_path").orderBy("block_start", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_segment.select(*LINE_CHUNK, F.coalesce(F.sum("_n").over(of_split), F.lit(0)).alias("_split"),
+                                 F.coalesce(F.sum("_n").over(of_file), F.lit(0)).alias("_file"))
+    numbered = numbered.join(offsets, LINE_CHUNK).withColumns({
+        "line_in_block": (F.col("_split") + F.col("_k")).cast("int"), "line_no": F.col("_file") + F.col("_k")})
+    numbered = numbered.select(*lines.drop(place, "segment").columns, "segment", "line_in_block", "line_no")
     return numbered.withColumn("line_id", F.xxhash64("file_path", "line_no"))

@@ -113,6 +113,12 @@ FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_orderkey
  FROM {t:lineitem} CROSS JOIN (SELECT COUNT(*) AS n, MIN(event_id) AS first FROM {t:events}) k) l
 JOIN {t:events} e ON e.event_id = l.seen_by
 GROUP BY l.l_orderkey, l.l_linenumber, e.ts, e.event_id, e.user_id""",
+    # The same cells seen by a second instrument each, at the same times.
+    "twin_cells": """
+SELECT * FROM {f:cells} UNION ALL
+SELECT -record_id, received_at, stream_id + 8, measurement_date, measurement_time, measured_at, data_format,
+ cell_index, cell_distance, vel1 + 1, vel2, vel3 * 2, vel4, speed, direction, amp1 + 10, amp2, amp3 * 2, amp4, corr1
+FROM {f:cells}""",
     # Seven vectors make one burst: energy, four coefficients, mean direction, spread.
     "spectra": """
 SELECT vec_id AS record_id, vec_id {IDIV} 7 AS burst_no,

@@ -428,27 +428,36 @@ def _(f):
 _AMP = "(coalesce(amp1, 0) + coalesce(amp2, 0) + coalesce(amp3, 0) + coalesce(amp4, 0)) / 4.0"
 
 
-@query("g14_amp_cells", "cells", f"SELECT received_at, cell_index, {_AMP} AS avg_amp FROM cells")
+_AMPS = f"SELECT stream_id, received_at, cell_index, record_id, {_AMP} AS avg_amp FROM"
+_MAPS = "SELECT stream_id, received_at, array_to_string(list(round(avg_amp, 2) ORDER BY cell_index, record_id), ' ') AS amplitudes"
+
+
+@query("g14_amp_cells", "cells", f"SELECT stream_id, received_at, cell_index, {_AMP} AS avg_amp FROM cells")
 def _(f):
     return G.amplitude_cells(f.cells)
 
 
-@query("g14_amp_heatmap", "cells", f"""SELECT received_at, array_to_string(list(round(avg_amp, 2) ORDER BY cell_index, record_id), ' ') AS amplitudes
- FROM (SELECT received_at, cell_index, record_id, {_AMP} AS avg_amp FROM cells) GROUP BY 1""")
+@query("g14_amp_heatmap", "cells", f"{_MAPS} FROM ({_AMPS} cells) GROUP BY 1, 2")
+def _(f):
+    return _amplitudes(f.cells, None)
+
+
+@query("g14_two_streams", "twin_cells", f"{_MAPS} FROM ({_AMPS} twin_cells) GROUP BY 1, 2")
 def _(f):
-    return _amplitudes(f, None)
+    """Two instruments at every time, none mixed into the other."""
+    return _amplitudes(f.twin_cells, None)
 
 
-@query("g14_amp_newest", "cells", f"""SELECT received_at, array_to_string(list(round(avg_amp, 2) ORDER BY cell_index, record_id), ' ') AS amplitudes
- FROM (SELECT received_at, cell_index, record_id, {_AMP} AS avg_amp FROM cells) WHERE received_at IN
- (SELECT DISTINCT received_at FROM cells ORDER BY 1 DESC LIMIT 40) GROUP BY 1""")
+@query("g14_amp_newest", "twin_cells", f"""{_MAPS} FROM ({_AMPS} twin_cells) WHERE (stream_id, received_at) IN
+ (SELECT (stream_id, received_at) FROM (SELECT DISTINCT stream_id, received_at FROM twin_cells)
+  QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY received_at DESC) <= 40) GROUP BY 1, 2""")
 def _(f):
-    return _amplitudes(f, 40)
+    return _amplitudes(f.twin_cells, 40)
 
 
-def _amplitudes(f, times):
-    rows = G.amplitude_heatmap(f.cells, times)
-    return rows.select("received_at", F.array_join(F.transform(
+def _amplitudes(cells, times):
+    rows = G.amplitude_heatmap(cells, times)
+    return rows.select("stream_id", "received_at", F.array_join(F.transform(
         "amplitudes", lambda a: F.round(a, 2).cast("string")), " ").alias("amplitudes"))
 
 
@@ -530,17 +539,17 @@ def _(f):
 _DEPTH = "coalesce(cell_distance, 0.5 + cell_index * 2.0)"
 
 
-@query("d04_latest_profile", "cells", f"""SELECT measured_at, cell_index, {_DEPTH} AS depth, vel1, vel2, vel3, vel4
- FROM cells WHERE measured_at = (SELECT max(measured_at) FROM cells)""")
+@query("d04_latest_profile", "twin_cells", f"""SELECT stream_id, measured_at, cell_index, {_DEPTH} AS depth, vel1, vel2, vel3, vel4
+ FROM twin_cells JOIN (SELECT stream_id, max(measured_at) AS measured_at FROM twin_cells GROUP BY 1) USING (stream_id, measured_at)""")
 def _(f):
-    return profiles.velocity_profiles(f.cells, cell_size=2.0)
+    return profiles.velocity_profiles(f.twin_cells, cell_size=2.0)
 
 
-@query("d05_profiles", "cells", f"""SELECT measured_at, cell_index, {_DEPTH} AS depth, vel1, vel2 FROM cells
+@query("d05_profiles", "twin_cells", f"""SELECT stream_id, measured_at, cell_index, {_DEPTH} AS depth, vel1, vel2 FROM twin_cells
  WHERE measured_at IN (TIMESTAMP '2024-01-01 00:06:29', TIMESTAMP '2024-01-01 00:08:25', TIMESTAMP '2024-01-01 00:08:26')""")
 def _(f):
     times = [datetime(2024, 1, 1, 0, 6, 29), datetime(2024, 1, 1, 0, 8, 25), datetime(2024, 1, 1, 0, 8, 26)]
-    return profiles.velocity_profiles(f.cells, ["vel1", "vel2"], 2.0, timestamps=times)
+    return profiles.velocity_profiles(f.twin_cells, ["vel1", "vel2"], 2.0, timestamps=times)
 
 
 @query("d06_configured_depth", "cells config_log", """SELECT c.record_id, c.cell_index,
@@ -552,11 +561,29 @@ def _(f):
     return rounded(out.select("record_id", "cell_index", "depth"))
 
 
-@query("d13_amplitude_grid", "cells", f"""SELECT cell_index,
+@query("d06_one_stream", "cells config_log", """SELECT c.record_id, c.cell_index,
+ round(coalesce(c.cell_distance, g.blanking_distance + c.cell_index * g.cell_size), 6) AS depth, true AS spread
+ FROM (SELECT * REPLACE (1 AS stream_id, TIMESTAMP '2024-01-15' + INTERVAL '1 second' * (record_id % 86000) AS received_at) FROM cells) c
+ ASOF LEFT JOIN (SELECT TIMESTAMP '2024-01-15' + INTERVAL '1 second' * ((epoch_us(received_at) // 1000003) % 86000) AS received_at,
+  unnest(max(struct_pack(blanking_distance, cell_size))) FROM config_log GROUP BY 1) g ON c.received_at >= g.received_at""")
+def _(f):
+    """One stream that holds everything, all of it on one day; spread: its rows lie in many ranges."""
+    day = "TIMESTAMP_NTZ'2024-01-15' + make_dt_interval(0, 0, 0, {})"
+    cells = f.cells.withColumns({"stream_id": F.lit(1), "received_at": F.expr(day.format("record_id % 86000"))})
+    log = f.config_log.withColumns({"stream_id": F.lit(1), "received_at": F.expr(day.format(
+        "(unix_micros(CAST(received_at AS TIMESTAMP)) div 1000003) % 86000"))})
+    bursts = cells.select("stream_id", "received_at").distinct()
+    ranges = scans.dealt_ranges(bursts, log, ["stream_id"], "received_at", "received_at", ["blanking_distance", "cell_size"], parts=16)
+    spread = ranges.groupBy("_chunk").count().agg((F.count(F.lit(1)) >= 12).alias("spread"))
+    out = profiles.configured_profiles(cells, log, ["stream_id"])
+    return rounded(out.select("record_id", "cell_index", "depth")).crossJoin(spread)
+
+
+@query("d13_amplitude_grid", "twin_cells", f"""SELECT stream_id, cell_index,
  max({_AMP}) FILTER (WHERE measured_at = TIMESTAMP '2024-01-01 00:06:29') AS t0,
- max({_AMP}) FILTER (WHERE measured_at = TIMESTAMP '2024-01-01 00:08:25') AS t1 FROM cells GROUP BY 1""")
+ max({_AMP}) FILTER (WHERE measured_at = TIMESTAMP '2024-01-01 00:08:25') AS t1 FROM twin_cells GROUP BY 1, 2""")
 def _(f):
-    rows = G.amplitude_cells(f.cells, ts="measured_at")
+    rows = G.amplitude_cells(f.twin_cells, ts="measured_at")
     return profiles.amplitude_grid(
         rows, [datetime(2024, 1, 1, 0, 6, 29), datetime(2024, 1, 1, 0, 8, 25)], "measured_at")
 
