@@ -124,3 +124,32 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     for statement in _SQL_FUNCTIONS:
         spark.sql(statement)
     return ["nmea_checksum", "nmea_checksum_ok", "nmea_type"]
+
+
+# V2: table functions for SQL users; the views that they read are named when they are registered.
+_TABLE_FUNCTIONS = (
+    """CREATE OR REPLACE TEMPORARY FUNCTION sensor_buckets(stream STRING, minutes INT)
+    RETURNS TABLE (bucket TIMESTAMP_NTZ, readings BIGINT, mean_temperature DOUBLE, mean_pressure DOUBLE)
+    RETURN SELECT TIMESTAMP_NTZ'2000-01-03 00:00:00' + make_dt_interval(0, 0, CAST(width * b AS INT)), count(*),
+      avg(CAST(temperature AS DOUBLE)), avg(CAST(pressure AS DOUBLE))
+    FROM (SELECT *, floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2000-01-03 00:00:00', received_at) / (60000000L * width)) AS b
+          FROM (SELECT *, explode(array({widths})) AS width FROM {sensors}))
+    WHERE CAST(stream_id AS STRING) = stream AND width = minutes GROUP BY width, b""",
+    """CREATE OR REPLACE TEMPORARY FUNCTION velocity_profile(stream STRING, at TIMESTAMP_NTZ, blanking DOUBLE, cell_size DOUBLE)
+    RETURNS TABLE (cell_index INT, depth DOUBLE, vel1 DOUBLE, vel2 DOUBLE, vel3 DOUBLE)
+    RETURN SELECT CAST(cell_index AS INT), coalesce(CAST(cell_distance AS DOUBLE), blanking + cell_index * cell_size),
+      CAST(vel1 AS DOUBLE), CAST(vel2 AS DOUBLE), CAST(vel3 AS DOUBLE)
+    FROM {cells} WHERE CAST(stream_id AS STRING) = stream AND measured_at = at""",
+)
+
+
+def register_table_functions(spark: SparkSession, sensors: str, cells: str,
+                             widths: tuple[int, ...] = (1, 5, 10, 15, 30, 60)) -> list[str]:
+    """V2: ``sensor_buckets(stream, minutes)`` and ``velocity_profile(stream, at, blanking, cell_size)``
+    over the named views; they take columns of other tables as arguments after LATERAL.
+
+    An argument can only choose rows, so the bucket widths that can be asked for are named here.
+    """
+    for statement in _TABLE_FUNCTIONS:
+        spark.sql(statement.format(sensors=sensors, cells=cells, widths=", ".join(map(str, widths))))
+    return ["sensor_buckets", "velocity_profile"]

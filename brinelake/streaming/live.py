@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import json
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from brinelake import layouts as L
 from brinelake.operators import aggregates, scans
 from brinelake.plans import ingest as I
 from brinelake.plans import parse
+from brinelake.sources import generations as G
 from brinelake.sources import lake
 from brinelake.sources.lines import LINE_CHUNK, LINE_ORDER, number_lines
 
@@ -27,11 +31,13 @@ class LineIngest:
     """
 
     def __init__(self, base: str, strict: bool = False, assemble_blobs: bool = True,
-                 split_blobs: bool = False):
+                 split_blobs: bool = False,
+                 clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)):
         self.base = base.rstrip("/")
         self.strict = strict
         self.assemble_blobs = assemble_blobs
         self.split_blobs = split_blobs  # end runs at batch edges: no blob state
+        self.clock = clock  # what a batch takes for now when it counts its newest lines
 
     # ---------------------------------------------------------------- state between batches
     def _state_path(self, kind: str, batch_id: int) -> str:
@@ -48,12 +54,19 @@ class LineIngest:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         work = f"{self.base}/_work/batch_id={batch_id}"
-        lines = I.stage(number_lines(batch), f"{work}/lines")
+        now = F.lit(self.clock().isoformat(sep=" ")).cast("timestamp_ntz")
+        told = Observation()  # R6: counted while lines are written and parsed, in no pass of their own
+        lines = I.stage(number_lines(batch).observe(
+            told, F.count(F.lit(1)).alias("lines"), F.max("received_at").cast("string").alias("newest"), *[
+                F.count_if(F.col("received_at") > now - F.make_dt_interval(mins=F.lit(m))).alias(n)
+                for n, m in (("last_minute", 1), ("last_5_minutes", 5))]), f"{work}/lines")
         blobs = None
         if self.assemble_blobs:
             lines, blobs = self._blobs(spark, lines, batch_id)
-        parsed = I.stage(parse.parse_lines(lines, strict=self.strict), f"{work}/parsed",
-                         by="table_name")
+        failed = Observation()
+        parsed = I.stage(parse.parse_lines(lines, strict=self.strict).observe(
+            failed, F.count_if(F.col("parse_status") == "FAIL").alias("errors")), f"{work}/parsed", by="table_name")
+        _put(spark, f"{self.base}/_health/batches/{batch_id:012d}.json", {"batch_id": batch_id, **told.get, **failed.get})
 
         known = self._state(spark, "headers", batch_id)
         staged, averaged = I.dated(parsed, f"{work}/dated", blobs, known)
@@ -154,6 +167,61 @@ def ingest_health(raw: DataFrame, errors: DataFrame, as_of: datetime,
         F.timestamp_diff("SECOND", F.col("newest"), now).alias("age_seconds"))
 
 
+def _put(spark: SparkSession, path: str, row: dict) -> None:
+    """One small row as a file; a repeated batch replaces its own."""
+    files, where = G.store(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(json.dumps(row, default=str).encode()))
+    finally:
+        out.close()
+
+
+class ProgressTable(StreamingQueryListener):
+    """A listener that keeps what the engine reports of every batch as a table beside the lake."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.path = spark, f"{base.rstrip('/')}/_health/progress"
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        _put(self.spark, f"{self.path}/{p.runId}-{p.batchId:012d}.json", {
+            "query_id": str(p.id), "batch_id": p.batchId, "heartbeat": p.timestamp, "rows": p.numInputRows,
+            "rows_per_second": p.processedRowsPerSecond})
+
+
+def stream_health(spark: SparkSession, base: str, as_of: datetime) -> DataFrame:
+    """Health of a stream, running or ended, from its tables: lines, those of the last minutes as
+    its batches saw them, errors, age of the newest line and of the last heartbeat in seconds.
+
+    Without a ``ProgressTable`` the heartbeat is unknown.
+    """
+    base = base.rstrip("/")
+    now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    told = spark.read.schema("batch_id long, lines long, newest string, last_minute long, last_5_minutes long,"
+                             " errors long").json(f"{base}/_health/batches")
+    out = told.agg(F.sum("lines").alias("total_lines"), F.sum("last_minute").alias("last_minute"),
+                   F.sum("last_5_minutes").alias("last_5_minutes"), F.sum("errors").alias("error_count"),
+                   F.max("newest").cast("timestamp_ntz").alias("newest"))
+    beat = F.lit(None).cast("timestamp_ntz")
+    if G.names(spark, f"{base}/_health/progress/*.json"):
+        beats = spark.read.schema("heartbeat string").json(f"{base}/_health/progress")
+        beat = beats.agg(F.max(F.to_timestamp_ntz("heartbeat", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))).alias("b")).scalar()
+    return out.select(
+        "total_lines", "last_minute", "last_5_minutes", "error_count", "newest",
+        F.timestamp_diff("SECOND", F.col("newest"), now).alias("age_seconds"),
+        F.timestamp_diff("SECOND", beat, now).alias("heartbeat_age_seconds"))
+
+
 def progress(query: StreamingQuery) -> dict:
     """Rows and rates of the last batch, as the engine reports them."""
     last = query.lastProgress or {}

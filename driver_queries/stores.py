@@ -6,7 +6,8 @@ shared one; the query then reads it back.
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import time
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -14,12 +15,13 @@ from brinelake.operators import filters as K
 from brinelake.operators import metadata as C
 from brinelake.operators import scans
 from brinelake.plans import ingest as I
+from brinelake.plans import parse as P
 from brinelake.plans import upgrade as M
 from brinelake.plans import views as V
 from brinelake.session import fresh_folder
 from brinelake.sources import generations as G
 from brinelake.sources import lake, skipping
-from brinelake.sources.lines import number_lines, read_lines, stream_lines
+from brinelake.sources.lines import LINE_CHUNK, LINE_ORDER, number_lines, read_lines, stream_lines
 from brinelake.streaming import live
 from driver_queries.registry import query, rounded
 from driver_queries.tabular import CARRIED_SQL
@@ -209,6 +211,21 @@ def _(f):
     return out
 
 
+@query("w01_gzip_file", "bursts34", f"""SELECT line_no, carried_date AS measurement_date, carried_time AS measurement_time, cell_index,
+ true AS spread FROM ({CARRIED_SQL.replace("PARTITION BY stream_id, g", "PARTITION BY g").replace("PARTITION BY stream_id ORDER", "ORDER")})
+ WHERE record_type = 'PNORC3' AND carried_date IS NOT NULL""")
+def _(f):
+    """All lines in one gzip file, which no reader can split; spread: their order is made in many segments."""
+    path = fresh_folder(f.spark, "packed")
+    f.burst_lines.coalesce(1).sortWithinPartitions("line_no").select("raw_sentence").write.option("compression", "gzip").text(path)
+    lines = number_lines(read_lines(f.spark, path, F.lit("one"), "*.gz"), segment=512)
+    parts = lines.select("segment").distinct().agg((F.count(F.lit(1)) > F.lit(1)).alias("spread"))
+    done = I.with_headers(P.parse_lines(lines), LINE_CHUNK, LINE_ORDER)
+    cells = P.typed_table(done, "pnorc34")
+    return cells.select(F.round(F.col("speed") * 10000).cast("bigint").alias("line_no"), "measurement_date", "measurement_time",
+                        F.col("cell_index").cast("int").alias("cell_index")).crossJoin(parts)
+
+
 @query("a01_line_ids", "lines", "SELECT CAST(stream_id AS VARCHAR) AS stream_id, raw_sentence, row_number() OVER"
        " (PARTITION BY stream_id ORDER BY line_no) AS line_no, true AS same FROM lines")
 def _(f):
@@ -580,6 +597,25 @@ def _(f):
                      {"log_rows": f.lines})
 
 
+@query("v02_table_functions", "sensor cells", """SELECT CAST(s.stream_id AS VARCHAR) AS stream_id, 'hours' AS asked, count(*) AS n, sum(k)::BIGINT AS k,
+ round(sum(t), 4) AS total FROM (SELECT stream_id, time_bucket(INTERVAL '60 minutes', received_at, TIMESTAMP '2000-01-03') AS b, count(*) AS k,
+  avg(temperature) AS t FROM sensor GROUP BY 1, 2) s GROUP BY 1
+ UNION ALL SELECT CAST(stream_id AS VARCHAR), 'profile', count(*), sum(cell_index)::BIGINT,
+  round(sum(coalesce(cell_distance, 0.5 + cell_index * 2.0)), 4) FROM cells
+ JOIN (SELECT stream_id, max(measured_at) AS measured_at FROM cells GROUP BY 1) USING (stream_id, measured_at) GROUP BY 1""")
+def _(f):
+    f.sensor.createOrReplaceTempView("some_sensors")
+    f.cells.createOrReplaceTempView("some_cells")
+    C.register_table_functions(f.spark, "some_sensors", "some_cells")
+    return C.run_sql(f.spark, """
+        SELECT CAST(s.stream_id AS STRING) AS stream_id, 'hours' AS asked, count(*) AS n, sum(b.readings) AS k,
+          round(sum(b.mean_temperature), 4) AS total
+        FROM (SELECT DISTINCT stream_id FROM some_sensors) s, LATERAL sensor_buckets(CAST(s.stream_id AS STRING), 60) b GROUP BY 1
+        UNION ALL SELECT CAST(c.stream_id AS STRING), 'profile', count(*), sum(p.cell_index), round(sum(p.depth), 4)
+        FROM (SELECT stream_id, max(measured_at) AS at FROM some_cells GROUP BY 1) c,
+          LATERAL velocity_profile(CAST(c.stream_id AS STRING), c.at, 0.5D, 2.0D) p GROUP BY 1""")
+
+
 # ----------------------------------------------------------------------------- R: streams
 @query("r01_stream_ingest", "lines", """SELECT CAST(stream_id AS VARCHAR) AS stream_id, parse_status, count(*) AS n FROM (SELECT stream_id,
  CASE WHEN line_no % 29 = 0 OR (line_no % 19 = 0 AND line_no % 23 <> 0) THEN 'FAIL' WHEN line_no % 23 = 0 THEN 'PENDING' ELSE 'OK' END AS parse_status
@@ -668,6 +704,40 @@ def _(f):
                         "measurement_time", F.col("cell_index").cast("int").alias("cell_index"))
 
 
+#: Seconds before noon at which the lines of some streams came; all others came ten minutes before.
+_AGES = {0: 30, 1: 240}
+
+
+@query("r06_live_health", "lines", """SELECT count(*) AS total_lines, count(*) FILTER (WHERE stream_id = 0) AS last_minute,
+ count(*) FILTER (WHERE stream_id IN (0, 1)) AS last_5_minutes,
+ count(*) FILTER (WHERE line_no % 29 = 0 OR (line_no % 19 = 0 AND line_no % 23 <> 0)) AS error_count,
+ CASE min(stream_id) WHEN 0 THEN 30 WHEN 1 THEN 240 ELSE 600 END AS age_seconds, true AS alive FROM lines""")
+def _(f):
+    """The tables that a stream keeps of itself; its files came at set times before noon."""
+    base, source = fresh_folder(f.spark, "watched"), _line_files(f)
+    for path in G.names(f.spark, f"{source}/*/*.txt"):
+        age = _AGES.get(int(path.split("stream_id=")[1].split("/")[0]), 600)
+        files, where = G.store(f.spark, path)
+        files.setTimes(where, int((NOON - timedelta(seconds=age)).replace(tzinfo=timezone.utc).timestamp() * 1000), -1)
+    table = live.ProgressTable(f.spark, base)
+    f.spark.streams.addListener(table)
+    try:
+        lines = stream_lines(f.spark, source, _stream_of(), 3, "*.txt")
+        job = live.LineIngest(base, clock=lambda: NOON).start(lines, fresh_folder(f.spark, "state"), available_now=True)
+        job.awaitTermination()
+        last = job.lastProgress["batchId"]
+        for _ in range(100):  # the listener is told a moment after the batch
+            if any(p.endswith(f"-{last:012d}.json") for p in G.names(f.spark, f"{table.path}/*.json")):
+                break
+            time.sleep(0.1)
+    finally:
+        f.spark.streams.removeListener(table)
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    alive = live.stream_health(f.spark, base, now).select((F.col("heartbeat_age_seconds").between(0, 600)).alias("alive"))
+    return live.stream_health(f.spark, base, NOON).select(
+        "total_lines", "last_minute", "last_5_minutes", "error_count", "age_seconds").crossJoin(alive)
+
+
 @query("r06_health", "raw errors", """SELECT count(*) AS total_lines, count(*) FILTER (WHERE received_at > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '1 minute') AS last_minute,
  count(*) FILTER (WHERE received_at > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL '5 minutes') AS last_5_minutes,
  (SELECT count(*) FROM errors) AS error_count, max(received_at) AS newest FROM raw""")

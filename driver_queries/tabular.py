@@ -12,6 +12,7 @@ from brinelake.operators import filters as K
 from brinelake.operators import joins as J
 from brinelake.operators import profiles, scans
 from brinelake.operators import unions as U
+from brinelake.session import fresh_folder
 from driver_queries.registry import query, rounded
 
 NOON = datetime(2024, 1, 15, 12)
@@ -410,6 +411,21 @@ def _(f):
     return G.daily_log_stats(f.raw)
 
 
+@query("g11_distinct_sketches", "raw", """SELECT record_type, count(*) AS record_count, count(DISTINCT head_id) AS heads, true AS near
+ FROM raw WHERE CAST(received_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1""")
+def _(f):
+    """A period's counts from stored daily sketches; near: ids, of which there are many, within 5 % of the exact count."""
+    path = fresh_folder(f.spark, "sketches")
+    G.distinct_sketches(f.raw, ["record_type"], ["head_id", "line_id"]).write.parquet(path)
+    start, end = datetime(2024, 1, 5), datetime(2024, 1, 20)
+    told = G.distinct_counts(f.spark.read.parquet(path), ["record_type"], ["head_id", "line_id"], start, end)
+    exact = K.time_window(f.raw, start, datetime(2024, 1, 20, 23, 59, 59, 999999)).groupBy("record_type").agg(
+        F.count_distinct("line_id").alias("ids"))
+    return told.join(exact, "record_type").select(
+        "record_type", "record_count", F.col("distinct_head_id").alias("heads"),
+        (F.abs(F.col("distinct_line_id") - F.col("ids")) <= 0.05 * F.col("ids")).alias("near"))
+
+
 @query("g12_instruments", "sensor", """SELECT instrument_type_name, head_id, count(*) AS total_records,
  min(received_at) AS first_seen, max(received_at) AS last_seen, round(avg(temperature), 6) AS avg_temperature,
  min(pressure) AS min_pressure, max(pressure) AS max_pressure FROM sensor GROUP BY 1, 2""")
