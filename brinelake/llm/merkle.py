@@ -9,8 +9,8 @@ nodes' digests, its place (tree, level, number) and the place of the node that i
 query starts with all leaves and joins them, step by step, with the runs that they lie in: it
 appends the other digests of the run to the proof and folds the (perhaps changed) digest with them.
 A leaf that has arrived at the root joins nothing more; the query ends when all have. As every
-step shuffles the proofs so far, a row also holds the two runs above its own, and a step climbs up
-to three levels.
+step shuffles the proofs so far, a row also holds the runs above its own, and a step climbs up to
+``STEP`` levels.
 
 Places come from a range partition by (tree, id) and counts per partition, so no tree, however
 large, goes through one task. Levels are an eighth of the one below. The proofs are carried as
@@ -36,7 +36,7 @@ from brinelake.llm.common import written
 
 RUN = 8
 #: Levels that a step of the recursive query climbs.
-STEP = 3
+STEP = 5
 #: The last tree, whose leaves are the subroots.
 TOP = -1
 #: A recursive query may give so many rows unless the session says otherwise.
@@ -114,7 +114,7 @@ def _no_row_limit(spark: SparkSession) -> Iterator[None]:
 
 
 def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placed leaves, linked runs, and (tree, subroot, root) of ``leaves``.
+    """Placed leaves, linked runs, and (tree, tree_key, subroot, root, levels) of ``leaves``.
 
     ``leaves``, a written table, has ``tree_key``, ``id``, ``leaf`` (bytes) and ``no``, which tells
     rows apart. The leaves come back with ``tree`` and ``i``; runs are (tree, level, up, run,
@@ -123,9 +123,8 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     trees = written(leaves.select("tree_key").distinct(), "merkle-trees")
     trees = written(numbered(trees.withColumn("all", F.lit(0)), "all", "tree_key")
                     .select("tree_key", F.col("i").alias("tree")), "merkle-order")
-    placed = numbered(leaves.drop("tree"), "tree_key", "id", "leaf", "no")
-    placed = written(placed.join(trees.withColumnRenamed("tree_key", "key"),
-                                 F.col("tree_key").eqNullSafe(F.col("key"))).drop("key"), "merkle-leaves")
+    ranked = leaves.join(trees.withColumnRenamed("tree_key", "key"), F.col("tree_key").eqNullSafe(F.col("key")))
+    placed = written(numbered(ranked.drop("key", "tree_key"), "tree", "id", "leaf", "no").drop("no"), "merkle-leaves")
     lower, subroots = climbed(placed.select("tree", "i", F.col("leaf").alias("hash")))
     upper, root = climbed(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("i"), "hash"))
     last = root.select(F.col("hash").alias("root"), F.col("level").alias("top_levels"))  # one row, or none
@@ -144,16 +143,16 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(~done, F.col("tree")).when(~at_top, F.lit(TOP)).cast("long").alias("up_tree"),
         F.when(~done, F.col("level") + 1).when(~at_top, 0).alias("up_level"),
         F.when(~done, F.col("up")).when(~at_top, F.col("tree")).alias("up_i"))
-    ends = (subroots.crossJoin(F.broadcast(last))
-            .select("tree", F.col("hash").alias("subroot"), "root", F.col("level").alias("levels"),
-                    "top_levels"))
+    ends = (subroots.join(trees, "tree").crossJoin(F.broadcast(last))
+            .select("tree", "tree_key", F.col("hash").alias("subroot"), "root", F.col("level").alias("levels"), "top_levels"))
     return placed, written(linked, "merkle-links"), written(ends, "merkle-roots")
 
 
 def _strides(links: DataFrame) -> DataFrame:
     """Rows with the runs above their own: ``run1`` and, as far as there are any, ``run2`` ... with
     the places ``at2`` ... in them, and the place that the climb has arrived at."""
-    now = links.withColumnRenamed("run", "run1")
+    # steps begin at the leaves of a tree and go on from every STEP-th level; in the last tree from any
+    now = links.where((F.col("level") % STEP == 0) | (F.col("tree") == TOP)).withColumnRenamed("run", "run1")
     for k in range(2, STEP + 1):
         above = links.select(F.col("tree").alias("t"), F.col("level").alias("l"), F.col("up").alias("u"),
                              F.col("run").alias(f"run{k}"), F.col("up_tree").alias("t2"),
@@ -169,10 +168,10 @@ def _strides(links: DataFrame) -> DataFrame:
 
 
 def folds(spark: SparkSession, start: DataFrame, links: DataFrame) -> DataFrame:
-    """(no, proof_sha256, folded) of every leaf by the recursive query.
+    """(home, id, leaf, proof_sha256, folded) of every leaf by the recursive query.
 
-    ``start`` has ``no``, the first place (``tree``, ``level``, ``i``; tree null if the leaf is the
-    root) and ``folded``, the digest to begin with, as bytes.
+    ``start`` has ``home``, ``id`` and ``leaf``, the first place (``tree``, ``level``, ``i``; tree
+    null if the leaf is the root) and ``folded``, the digest to begin with, as bytes.
     """
     at = [f"CAST(c.i % {RUN} AS INT)", *[f"l.at{k}" for k in range(2, STEP + 1)]]
     left = [f"substring(l.run{k + 1}, 1, 32 * {at[k]})" for k in range(STEP)]
@@ -183,13 +182,14 @@ def folds(spark: SparkSession, start: DataFrame, links: DataFrame) -> DataFrame:
         folded = once if k == 0 else f"CASE WHEN l.run{k + 1} IS NULL THEN {folded} ELSE {once} END"
         others += [f"coalesce({x}, X'')" for x in (left[k], right[k])]
     climb = spark.sql(f"""
-        WITH RECURSIVE climb(no, tree, level, i, folded, proof) AS (
-          SELECT no, tree, level, i, folded, X'' FROM {{start}}
+        WITH RECURSIVE climb(home, id, leaf, tree, level, i, folded, proof) AS (
+          SELECT home, id, leaf, tree, level, i, folded, X'' FROM {{start}}
           UNION ALL
-          SELECT c.no, l.up_tree, l.up_level, l.up_i, {folded}, concat(c.proof, {", ".join(others)})
+          SELECT c.home, c.id, c.leaf, l.up_tree, l.up_level, l.up_i, {folded}, concat(c.proof, {", ".join(others)})
           FROM climb c JOIN {{links}} l ON c.tree = l.tree AND c.level = l.level AND c.i div {RUN} = l.up
         )
-        SELECT no, sha2(lower(hex(proof)), 256) AS proof_sha256, folded FROM climb WHERE tree IS NULL""",
+        SELECT home, id, leaf, unhex(sha2(lower(hex(proof)), 256)) AS proof_sha256, folded
+        FROM climb WHERE tree IS NULL""",
                       start=start, links=_strides(links))
     with _no_row_limit(spark):
         return written(climb, "merkle-folds")
@@ -201,22 +201,22 @@ def proved(docs: DataFrame, fields: list[str], tree: str, order: str,
     the root folded from the row as ``instead`` has it: ``folded_root``, ``verified``."""
     spark = docs.sparkSession
     now = [(instead or {}).get(c, F.col(c)) for c in fields]
+    own, changed = F.unhex(leaf_of([F.col(c) for c in fields])), F.unhex(leaf_of(now))
     leaves = written(docs.select(
-        F.col(tree).alias("tree_key"), F.col(order).alias("id"),
-        F.unhex(leaf_of([F.col(c) for c in fields])).alias("leaf"), F.unhex(leaf_of(now)).alias("folded"),
-        F.monotonically_increasing_id().alias("no")), "merkle-rows")
+        F.col(tree).alias("tree_key"), F.col(order).alias("id"), own.alias("leaf"),
+        F.when(changed != own, changed).alias("folded"), F.monotonically_increasing_id().alias("no")), "merkle-rows")
     placed, links, ends = manifest(leaves)
     # a tree of one leaf starts as a leaf of the last tree; if that is one tree, it is the root
     alone, only = F.col("levels") == 0, F.col("top_levels") == 0
     start = placed.join(ends, "tree").select(
-        "no", "folded", F.when(~alone, F.col("tree")).when(~only, F.lit(TOP)).cast("long").alias("tree"),
+        F.col("tree").alias("home"), "id", "leaf", F.coalesce("folded", "leaf").alias("folded"),
+        F.when(~alone, F.col("tree")).when(~only, F.lit(TOP)).cast("long").alias("tree"),
         F.lit(0).alias("level"), F.when(~alone, F.col("i")).otherwise(F.col("tree")).alias("i"))
     found = folds(spark, start, links)
 
-    def text(c: str) -> Column:
-        return F.lower(F.hex(c)).alias(c)
+    def text(c: str, name: str | None = None) -> Column:
+        return F.lower(F.hex(c)).alias(name or c)
 
-    return (placed.drop("folded").join(found, "no").join(ends, "tree")
-            .select(F.col("tree_key").alias(tree), F.col("id").alias(order), text("leaf"), text("subroot"), text("root"),
-                    "proof_sha256", F.lower(F.hex("folded")).alias("folded_root"),
-                    (F.col("folded") == F.col("root")).alias("verified")))
+    return found.join(ends, F.col("home") == F.col("tree")).select(
+        F.col("tree_key").alias(tree), F.col("id").alias(order), text("leaf"), text("subroot"), text("root"),
+        text("proof_sha256"), text("folded", "folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
