@@ -8,9 +8,12 @@ counts come from every document. The restored words and their beginnings are the
 log odds that labelled documents give them, and a logistic curve turns a document's sum into a
 score.
 
-The classifier is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, of
-the folds that are given for it: one fold for the weights, another for the curve. Counts of
-characters have no such bound, and every whole text is scored.
+The classifier is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, of the
+two folds that are given for it: the weights come from both, the curve from sums of each fold
+under weights of the other. Its other bounds: a weight needs ``LEAST_POSITIVE`` toxic rows and log
+odds of ``LEAST_ODDS``, counts as ``MOST_ODDS`` at most, and is one of at most ``FEATURES``; the curve
+sees sums over ``MOST_SUM`` as that. Counts of characters have no bound, and every whole text is
+scored.
 
 Defined cases: null and empty texts get the score of a text without a weighed word; several
 labels of one id count as toxic if one does; labels without a document and null labels are not
@@ -34,6 +37,7 @@ FIT_ROWS = 40_000
 FEATURES = 20_000
 LEAST_POSITIVE = 5
 LEAST_ODDS = 3.0
+MOST_ODDS, MOST_SUM = 10.0, 100.0
 CACHE = 400_000
 
 # Look-alikes of letters, as people write them.
@@ -287,9 +291,22 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, folds:
             .select("text", "toxic", _fold(F.col("__id")).alias("fold")))
 
 
+def _weights(rows: dict[str, tuple[int, int]], texts: tuple[int, int]) -> dict[str, float]:
+    """Log odds of the features that clearly speak for toxic, from (toxic, other) rows with each."""
+    pos, neg = texts
+    odds = {w: float(np.log((p + 0.5) / (pos + 1) * (neg + 1) / (n + 0.5)))
+            for w, (p, n) in rows.items() if w not in ("", "*") and p >= LEAST_POSITIVE}
+    clear = ((w, min(x, MOST_ODDS)) for w, x in odds.items() if x >= LEAST_ODDS)
+    return dict(sorted(clear, key=lambda r: (-r[1], r[0]))[:FEATURES])
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "doc_id", text: str = "text",
         folds: tuple[int, int] = (0, 2), bound: int = FIT_ROWS) -> tuple[dict[str, float], float, float]:
-    """Weights of words and beginnings, then slope and offset of the logistic curve."""
+    """Weights of words and beginnings, then slope and offset of the logistic curve.
+
+    The weights come from both folds. The curve has to see sums of texts that the weights do not
+    come from: those of each fold under the weights of the other.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     known = _labelled(docs, labels, doc_id, text, list(folds), bound)
@@ -298,8 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "do
         restorer = Restorer(sent.value)
         memory: dict[str, list[str]] = {}
         for batch in batches:
-            seen = (Counter(), Counter())
-            for t, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+            seen = tuple(Counter() for _ in range(4))
+            for t, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 found = {""}
                 for token in set((t or "").split()):
                     if token not in memory:
@@ -307,39 +324,37 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, doc_id: str = "do
                             memory.clear()
                         memory[token] = _features(restorer.word(token))
                     found.update(memory[token])
-                seen[toxic > 0].update(found)
-            names = list(seen[0].keys() | seen[1].keys())
+                seen[2 * (fold == folds[1]) + (toxic > 0)].update(found)
+            names = list(set().union(*seen))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([seen[1][w] for w in names], pa.int64()),
-                 pa.array([seen[0][w] for w in names], pa.int64())], names=["feature", "pos", "neg"])
-
-    counts = (known.where(F.col("fold") == folds[0]).select("text", "toxic")
-              .mapInArrow(count, "feature string, pos long, neg long").groupBy("feature")
-              .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    counts = counts.where(F.col("pos") >= LEAST_POSITIVE)
-    top = counts.orderBy(F.desc("pos"), "feature").limit(20 * FEATURES + 1)
-    rows = {r["feature"]: (r["pos"], r["neg"]) for r in top.where(
-        (F.col("feature") == "") | (F.col("pos") > F.col("neg"))).collect()}
+                [pa.array(names, pa.string()), *[pa.array([c[w] for w in names], pa.int64()) for c in seen]],
+                names=["feature", "n0", "p0", "n1", "p1"])
+
+    counts = (known.mapInArrow(count, "feature string, n0 long, p0 long, n1 long, p1 long").groupBy("feature")
+              .agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")]))
+    pos, neg = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+    top = counts.where(pos >= LEAST_POSITIVE).orderBy(pos.desc(), "feature").limit(20 * FEATURES + 1)
+    rows = {r["feature"]: r for r in top.where((F.col("feature") == "") | (pos > neg)).collect()}
     if "" not in rows:
         return {}, 0.0, -30.0
-    pos, neg = rows.pop("")
-    odds = {w: float(np.log((p + 0.5) / (pos + 1) * (neg + 1) / (n + 0.5))) for w, (p, n) in rows.items() if w != "*"}
-    weights = dict(sorted(((w, min(x, 10.0)) for w, x in odds.items() if x >= LEAST_ODDS),
-                          key=lambda r: (-r[1], r[0]))[:FEATURES])
-
-    told = spark.sparkContext.broadcast(weights)
+    one, other, both = (
+        _weights({w: (sum(r[c] for c in p), sum(r[c] for c in n)) for w, r in rows.items()},
+                 (sum(rows[""][c] for c in p), sum(rows[""][c] for c in n)))
+        for p, n in ((("p0",), ("n0",)), (("p1",), ("n1",)), (("p0", "p1"), ("n0", "n1"))))
+    told = spark.sparkContext.broadcast((one, other))
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigher = Weigher(Restorer(sent.value), told.value)
+        by_one, by_other = (Weigher(Restorer(sent.value), w) for w in told.value)
         for batch in batches:
-            found = [int(10 * min(100.0, weigher.total(t))) for t in batch.column(0).to_pylist()]
+            texts, _, fold = (c.to_pylist() for c in batch.columns)
+            found = [int(10 * min(MOST_SUM, (by_one if f == folds[1] else by_other).total(t))) for t, f in zip(texts, fold)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(1).cast(pa.int64())],
                                              names=["s", "toxic"])
 
-    bins = (known.where(F.col("fold") == folds[1]).select("text", "toxic").mapInArrow(sums, "s long, toxic long")
+    bins = (known.mapInArrow(sums, "s long, toxic long")
             .groupBy("s").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("t"))
             .orderBy("s").collect())
-    return weights, *_curve([(r["s"], r["n"], r["t"]) for r in bins])
+    return both, *_curve([(r["s"], r["n"], r["t"]) for r in bins])
 
 
 def _curve(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
