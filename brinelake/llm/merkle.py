@@ -9,8 +9,8 @@ nodes' digests, its place (tree, level, number) and the place of the node that i
 query starts with all leaves and joins them, step by step, with the runs that they lie in: it
 appends the other digests of the run to the proof and folds the (perhaps changed) digest with them.
 A leaf that has arrived at the root joins nothing more; the query ends when all have. As every
-step shuffles the proofs so far, a row also holds the runs above its own, and a step climbs up to
-``STEP`` levels.
+step shuffles the proofs so far, rows above the leaves also hold the runs above their own, and a
+step from there climbs up to ``STEP`` levels; of an ended proof only the digest goes on.
 
 Places come from a range partition by (tree, id) and counts per partition, so no tree, however
 large, goes through one task. Levels are an eighth of the one below. The proofs are carried as
@@ -35,8 +35,8 @@ from pyspark.sql import Window as W
 from brinelake.llm.common import written
 
 RUN = 8
-#: Levels that a step of the recursive query climbs.
-STEP = 5
+#: Levels that a step of the recursive query climbs, but for the first step, which climbs one.
+STEP = 8
 #: The last tree, whose leaves are the subroots.
 TOP = -1
 #: A recursive query may give so many rows unless the session says otherwise.
@@ -149,22 +149,23 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _strides(links: DataFrame) -> DataFrame:
-    """Rows with the runs above their own: ``run1`` and, as far as there are any, ``run2`` ... with
-    the places ``at2`` ... in them, and the place that the climb has arrived at."""
-    # steps begin at the leaves of a tree and go on from every STEP-th level; in the last tree from any
-    now = links.where((F.col("level") % STEP == 0) | (F.col("tree") == TOP)).withColumnRenamed("run", "run1")
-    for k in range(2, STEP + 1):
-        above = links.select(F.col("tree").alias("t"), F.col("level").alias("l"), F.col("up").alias("u"),
-                             F.col("run").alias(f"run{k}"), F.col("up_tree").alias("t2"),
-                             F.col("up_level").alias("l2"), F.col("up_i").alias("i2"))
+    """Rows with ``path``, their own run and those above it with the places in them, and the place
+    that the climb has arrived at."""
+    own = F.array(F.struct("run", F.lit(0).alias("at")))
+    begin = (F.col("level") == 0) & (F.col("tree") != TOP)
+    links = links.withColumn("path", own)
+    now = links.where(~begin & ((F.col("level") % STEP == 1) | (F.col("tree") == TOP)))
+    for _ in range(STEP - 1):
+        above = links.select(F.col("tree").alias("t"), F.col("level").alias("l"), F.col("up").alias("u"), F.col("run").alias("r"),
+                             F.col("up_tree").alias("t2"), F.col("up_level").alias("l2"), F.col("up_i").alias("i2"))
         met = F.col("t").isNotNull()
-        kept = [c for c in now.columns if not c.startswith("up_")]
+        longer = F.concat("path", F.array(F.struct(F.col("r").alias("run"), F.expr(f"CAST(up_i % {RUN} AS INT)").alias("at"))))
         now = now.join(above, (F.col("up_tree") == F.col("t")) & (F.col("up_level") == F.col("l"))
                        & (F.expr(f"up_i div {RUN}") == F.col("u")), "left").select(
-            *kept, f"run{k}", F.when(met, F.expr(f"CAST(up_i % {RUN} AS INT)")).alias(f"at{k}"),
+            "tree", "level", "up", F.when(met, longer).otherwise(F.col("path")).alias("path"),
             *[F.when(met, F.col(b)).otherwise(F.col(a)).alias(a)
               for a, b in (("up_tree", "t2"), ("up_level", "l2"), ("up_i", "i2"))])
-    return written(now, "merkle-strides")
+    return written(now.unionByName(links.where(begin).select(*now.columns)), "merkle-strides")
 
 
 def folds(spark: SparkSession, start: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,23 +174,20 @@ def folds(spark: SparkSession, start: DataFrame, links: DataFrame) -> DataFrame:
     ``start`` has ``home``, ``id`` and ``leaf``, the first place (``tree``, ``level``, ``i``; tree
     null if the leaf is the root) and ``folded``, the digest to begin with, as bytes.
     """
-    at = [f"CAST(c.i % {RUN} AS INT)", *[f"l.at{k}" for k in range(2, STEP + 1)]]
-    left = [f"substring(l.run{k + 1}, 1, 32 * {at[k]})" for k in range(STEP)]
-    right = [f"substring(l.run{k + 1}, 32 * {at[k]} + 33)" for k in range(STEP)]
-    folded, others = "c.folded", []
-    for k in range(STEP):
-        once = f"unhex(sha2(lower(concat(hex({left[k]}), hex({folded}), hex({right[k]}))), 256))"
-        folded = once if k == 0 else f"CASE WHEN l.run{k + 1} IS NULL THEN {folded} ELSE {once} END"
-        others += [f"coalesce({x}, X'')" for x in (left[k], right[k])]
+    at = f"32 * if(k = 0, CAST(c.i % {RUN} AS INT), x.at)"
+    sides = f"transform(l.path, (x, k) -> struct(hex(substring(x.run, 1, {at})) AS l, hex(substring(x.run, {at} + 33)) AS r))"
+    proof = f"concat(c.proof, unhex(array_join(transform({sides}, s -> concat(s.l, s.r)), '')))"
+    ended = "unhex(sha2(lower(hex({0})), 256))"
     climb = spark.sql(f"""
         WITH RECURSIVE climb(home, id, leaf, tree, level, i, folded, proof) AS (
-          SELECT home, id, leaf, tree, level, i, folded, X'' FROM {{start}}
+          SELECT home, id, leaf, tree, level, i, folded, if(tree IS NULL, {ended.format("X''")}, X'') FROM {{start}}
           UNION ALL
-          SELECT c.home, c.id, c.leaf, l.up_tree, l.up_level, l.up_i, {folded}, concat(c.proof, {", ".join(others)})
+          SELECT c.home, c.id, c.leaf, l.up_tree, l.up_level, l.up_i,
+                 aggregate({sides}, c.folded, (acc, s) -> unhex(sha2(lower(concat(s.l, hex(acc), s.r)), 256))),
+                 if(l.up_tree IS NULL, {ended.format(proof)}, {proof})
           FROM climb c JOIN {{links}} l ON c.tree = l.tree AND c.level = l.level AND c.i div {RUN} = l.up
         )
-        SELECT home, id, leaf, unhex(sha2(lower(hex(proof)), 256)) AS proof_sha256, folded
-        FROM climb WHERE tree IS NULL""",
+        SELECT home, id, leaf, proof AS proof_sha256, folded FROM climb WHERE tree IS NULL""",
                       start=start, links=_strides(links))
     with _no_row_limit(spark):
         return written(climb, "merkle-folds")

@@ -147,6 +147,11 @@ def test_manifest(spark, docs, empty):
     assert prove(empty) == Counter()
 
 
+def test_manifest_in_short_steps(docs, monkeypatch):
+    monkeypatch.setattr(merkle, "STEP", 2)
+    assert prove(docs) == brute_manifest(ROWS)
+
+
 @pytest.mark.parametrize("n, langs", [(1, 1), (8, 1), (9, 1), (5, 5), (80, 20), (65, 1)])
 def test_manifest_shapes(spark, n, langs):
     rows = [(k, f"Text {k}", f"l{k % langs}", None, k) for k in range(n)]
