@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,11 +85,14 @@ def outputs(parsed: DataFrame, only: set[str] | None = None) -> dict[str, DataFr
 
 def dated(parsed: DataFrame, staging: str, blobs: DataFrame | None = None,
           initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Parsed lines with carried headers, staged by table; and the averaged-format rows among
-    them, if there are any, from which the header state is taken."""
+    """Parsed (staged) lines with carried headers, staged by table; and the averaged-format rows among
+    them, if there are any, from which the header state is taken. Without any of these, and
+    without blobs to add, the parsed lines stand as they are."""
     averaged_tables = [t for t in L.tables() if t in ("pnorh", "pnors34", "pnorc34")]
     averaged = parsed.where(F.col("table_name").isin(averaged_tables))
     has_averaged = not averaged.isEmpty()
+    if not has_averaged and blobs is None:
+        return parsed, None
     out = with_headers(parsed, LINE_CHUNK, LINE_ORDER, initial) if has_averaged else parsed
     if blobs is not None:
         out = out.unionByName(blobs, allowMissingColumns=True)
@@ -96,6 +100,21 @@ def dated(parsed: DataFrame, staging: str, blobs: DataFrame | None = None,
     return staged, staged.where(F.col("table_name").isin(averaged_tables)) if has_averaged else None
 
 
+#: Outputs that are written at a time. Each is a job of its own over one staged read; small types
+#: do not fill a cluster one after the other.
+WRITERS = 8
+
+
+def write_all(tables: dict[str, DataFrame], base: str, run: str) -> None:
+    """Every output under one run, several jobs at a time; the first failure is raised."""
+    def write(name: str, df: DataFrame) -> None:
+        lake.write_run(df, base, L.LAKE_TYPES.get(name, name.upper()), run)
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for job in [pool.submit(write, name, df) for name, df in tables.items()]:
+            job.result()
+
+
 def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
            assemble_blobs: bool = False, run: str | None = None) -> dict[str, DataFrame]:
     """Numbered lines (``sources.lines.number_lines``) into the lake; returns what was written.
@@ -106,9 +125,9 @@ def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
     """
     run = run or uuid.uuid4().hex
     staging = f"{staging.rstrip('/')}/run={run}"
-    lines = stage(lines, f"{staging}/lines")
     blobs = None
     if assemble_blobs:
+        lines = stage(lines, f"{staging}/lines")
         rows = filled_lines(lines)
         member = is_blob_line()
         parts = scans.blob_parts(rows, "raw_sentence", member, STREAM, LINE_CHUNK, LINE_ORDER)
@@ -120,6 +139,5 @@ def ingest(lines: DataFrame, base: str, staging: str, strict: bool = False,
                    by="table_name")
     staged, _ = dated(parsed, f"{staging.rstrip('/')}/dated", blobs)
     tables = outputs(staged, present_tables(staged))
-    for name, df in tables.items():
-        lake.write_run(df, base, L.LAKE_TYPES.get(name, name.upper()), run)
+    write_all(tables, base, run)
     return tables

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
-from brinelake import layouts as L
+from brinelake.functions import sentences as S
 from brinelake.operators import aggregates, scans
 from brinelake.plans import ingest as I
 from brinelake.plans import parse
@@ -59,10 +59,11 @@ class LineIngest:
         lines = I.stage(number_lines(batch).observe(
             told, F.count(F.lit(1)).alias("lines"), F.max("received_at").cast("string").alias("newest"), *[
                 F.count_if(F.col("received_at") > now - F.make_dt_interval(mins=F.lit(m))).alias(n)
-                for n, m in (("last_minute", 1), ("last_5_minutes", 5))]), f"{work}/lines")
+                for n, m in (("last_minute", 1), ("last_5_minutes", 5))],
+            F.count_if(I.is_blob_line(S.one_char_per_byte("raw_sentence"))).alias("blob_lines")), f"{work}/lines")
         blobs = None
         if self.assemble_blobs:
-            lines, blobs = self._blobs(spark, lines, batch_id)
+            lines, blobs = self._blobs(spark, lines, batch_id, told.get["blob_lines"] > 0)
         failed = Observation()
         parsed = I.stage(parse.parse_lines(lines, strict=self.strict).observe(
             failed, F.count_if(F.col("parse_status") == "FAIL").alias("errors")), f"{work}/parsed", by="table_name")
@@ -79,15 +80,14 @@ class LineIngest:
                                               " string, carried_status string, cells_since_header int")
         state.write.mode("overwrite").parquet(self._state_path("headers", batch_id))
 
-        for name, df in I.outputs(staged, I.present_tables(staged)).items():
-            self._write(df, L.LAKE_TYPES.get(name, name.upper()), batch_id)
+        I.write_all(I.outputs(staged, I.present_tables(staged)), self.base, str(batch_id))
         if batch_id > 0:  # a batch begins only after the one before has committed
             lake.remove(spark, f"{self.base}/_work/batch_id={batch_id - 1}")
         for kind in ("headers", "blobs"):  # the state read above stays for a run of this batch again
             if batch_id > 1:
                 lake.remove(spark, self._state_path(kind, batch_id - 2))
 
-    def _blobs(self, spark: SparkSession, lines: DataFrame, batch_id: int):
+    def _blobs(self, spark: SparkSession, lines: DataFrame, batch_id: int, any_here: bool):
         """Blob parts under an id that a run keeps over batch edges."""
         rows = I.filled_lines(lines)
         member = I.is_blob_line()
@@ -95,6 +95,9 @@ class LineIngest:
         open_runs = None if self.split_blobs else self._state(spark, "blobs", batch_id)
         if open_runs is None:
             open_runs = spark.createDataFrame([], "stream_id string, open_blob string")
+        if not any_here and open_runs.isEmpty():
+            open_runs.write.mode("overwrite").parquet(self._state_path("blobs", batch_id))
+            return rows.drop("_text"), None
         started = F.col("run_no") == 0  # nothing outside a run came before it in this batch
 
         def named(df: DataFrame) -> DataFrame:
