@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from datetime import date, datetime, timedelta, timezone
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinelake.operators import filters as K
@@ -21,6 +22,7 @@ from brinelake.plans import views as V
 from brinelake.session import fresh_folder
 from brinelake.sources import generations as G
 from brinelake.sources import lake, skipping
+from brinelake.sources.bytelines import read_byte_lines
 from brinelake.sources.lines import LINE_CHUNK, LINE_ORDER, number_lines, read_lines, stream_lines
 from brinelake.streaming import live
 from driver_queries.registry import query, rounded
@@ -50,6 +52,24 @@ def _(f):
     return lines.select("stream_id", "raw_sentence", F.col("line_in_block").cast("bigint").alias("line_in_block"))
 
 
+@query("s01_byte_lines", "lines", """SELECT CAST(stream_id AS VARCHAR) AS stream_id, hex(raw_sentence) || printf('%02X', CASE WHEN line_no % 256 = 10 THEN 255
+ ELSE line_no % 256 END) AS code, true AS in_order FROM lines""")
+def _(f):
+    """Lines that end in any byte but a line feed, read in pieces of a few kilobytes; in_order: offsets follow the line numbers."""
+    path = fresh_folder(f.spark, "bytes")
+    end = F.unhex(F.lpad(F.hex(F.when(F.col("line_no") % 256 == 10, 255).otherwise(F.col("line_no") % 256)), 2, "0"))
+    rows = f.lines.select("stream_id", "line_no", F.concat(F.col("raw_sentence").cast("binary"), end).cast("string").alias("value"))
+    rows.repartition("stream_id").sortWithinPartitions("stream_id", "line_no").select("stream_id", "value").write.partitionBy(
+        "stream_id").text(path)
+    got = read_byte_lines(f.spark, path, piece=5000)
+    got = got.withColumns({"stream_id": _stream_of(), "code": F.hex("line")})
+    place = F.row_number().over(W.partitionBy("file_path").orderBy("offset"))
+    known = f.lines.select(F.col("stream_id").cast("string").alias("stream_id"), F.row_number().over(
+        W.partitionBy("stream_id").orderBy("line_no")).alias("k"), F.hex(F.col("raw_sentence").cast("binary")).alias("head"))
+    both = got.withColumn("k", place).join(known, ["stream_id", "k"], "left")
+    return both.select("stream_id", "code", F.coalesce(F.col("code").startswith(F.col("head")), F.lit(False)).alias("in_order"))
+
+
 @query("s02_stream_lines", "lines", "SELECT CAST(stream_id AS VARCHAR) AS stream_id, count(*) AS n FROM lines GROUP BY 1")
 def _(f):
     source = _line_files(f)
