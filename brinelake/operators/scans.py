@@ -16,8 +16,8 @@ from brinelake.session import fresh_folder
 # Lines per chunk where lines are numbered within a stream.
 CHUNK_LINES = 1 << 18
 
-# Lines per stored part of a binary blob.
-PART_LINES = 4096
+# Lines and bytes per stored part of a binary blob.
+PART_LINES, PART_BYTES = 4096, 1 << 22
 
 
 def line_chunk(line_no: str = "line_no", size: int = CHUNK_LINES) -> Column:
@@ -160,27 +160,30 @@ def number_runs(
 
 def blob_parts(
     lines: DataFrame, payload: str, member: Column, stream: list[str], chunk: list[str],
-    order: list[str], part_lines: int = PART_LINES,
+    order: list[str], part_lines: int = PART_LINES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The bytes of each run of binary lines, in parts of bounded size.
 
     A run can be as long as the log, so it is never gathered whole: parts of at most
-    ``part_lines`` lines within a chunk, numbered by chunk and part, concatenate to the run.
+    ``part_lines`` lines and ``part_bytes`` bytes (or one longer line) within a chunk concatenate to
+    the run in order of chunk and ``part_no``, the place in the chunk at which a part begins.
     """
     runs = number_runs(lines, member, stream, chunk, order).where(member)
     inside = Window.partitionBy(*stream, *chunk).orderBy(*order)
     runs = runs.withColumn("_pos", F.row_number().over(inside))
-    runs = runs.withColumn("_part", F.floor((F.col("_pos") - 1) / part_lines))
+    so_far = F.sum(F.octet_length(F.col(payload).cast("binary"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumn("_part", F.struct(F.floor((F.col("_pos") - 1) / part_lines).alias("l"),
+                                             F.floor((so_far - 1) / part_bytes).alias("b")))
     has_time = "received_at" in lines.columns
     grouped = runs.groupBy(*stream, "run_no", *chunk, "_part").agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.col(payload).cast("binary").alias("b"))))
         .alias("_rows"),
-        F.count(F.lit(1)).alias("line_count"),
+        F.count(F.lit(1)).alias("line_count"), (F.min("_pos") - 1).alias("_first"),
         *([F.min("received_at").alias("started_at")] if has_time else []))
     # Hex text joins in linear time; unhex gives the bytes back.
     data = F.unhex(F.array_join(F.transform("_rows", lambda r: F.hex(r["b"])), ""))
     return grouped.select(
-        *stream, "run_no", *chunk, F.col("_part").alias("part_no"), "line_count",
+        *stream, "run_no", *chunk, F.col("_first").cast("long").alias("part_no"), "line_count",
         *(["started_at"] if has_time else []), data.alias("payload"),
         F.length(data).alias("byte_count"))
 

@@ -72,3 +72,14 @@ def test_as_of_join(spark):
                                   "s string, u string, x double").withColumn("u", F.col("u").cast("timestamp_ntz"))
     got = scans.as_of_join(left, right, ["s"], "t", "u", ["x"])
     assert sorted((r.i, r.x) for r in got.collect()) == [(1, 5.0), (2, 6.0), (3, None)]
+
+
+def test_blob_parts_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from brinelake.operators import scans
+    rows = [("s", k, "x" * (k % 7 + 1)) for k in range(100)] + [("s", 100, "y" * 50)]
+    df = spark.createDataFrame(rows, "stream_id string, n long, raw string").withColumn("chunk", F.lit(0))
+    parts = scans.blob_parts(df, "raw", F.lit(True), ["stream_id"], ["chunk"], ["n"], part_lines=9, part_bytes=20).orderBy("part_no").collect()
+    assert b"".join(bytes(p.payload) for p in parts).decode() == "".join(r[2] for r in rows)
+    assert all(p.line_count <= 9 and (p.byte_count <= 26 or p.line_count == 1) for p in parts) and len(parts) > 20
