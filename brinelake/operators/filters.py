@@ -240,11 +240,11 @@ def query_data(
 
 
 def time_series(
-    df: DataFrame, y_columns: list[str], time_range: str = "24h", as_of: datetime | None = None,
+    df: DataFrame, y_columns: list[str], time_range: str = "all", as_of: datetime | None = None,
     x_column: str | None = None, ts: str = "received_at", tie: str = "record_id",
     limit: int | None = None,
 ) -> DataFrame:
-    """K3: x and y columns, oldest first."""
+    """K3: x and y columns, oldest first; all of them, unless a look-back is asked for."""
     x = x_column or ts
     rows = first_rows(look_back(df, time_range, as_of, ts), x, tie, limit, descending=False)
     return rows.select(x, *[c for c in y_columns if c in df.columns])
