@@ -22,7 +22,7 @@ _SPARK = {
     "PMOD": "pmod({0},360e0)", "L": "{0} ->", "EACH": "transform",
     "SERIES": "array_join(transform(sequence(0,{0}-1), i -> {1}),',')",
     "JSON": "to_json({0})", "NLIST": "CAST({0} AS ARRAY<DOUBLE>)", "DAYS": "make_dt_interval({0})",
-    "TWO": "explode(array(0, 1))",
+    "TWO": "explode(array(0, 1))", "SPREAD": "",
 }
 _DUCK = {
     "MDY": "strftime({0},'%m%d%y')", "YMD": "strftime({0},'%y%m%d')",
@@ -33,8 +33,11 @@ _DUCK = {
     "PMOD": "((({0}) % 360) + 360) % 360", "L": "lambda {0}:", "EACH": "list_transform",
     "SERIES": "array_to_string(list_transform(range({0}), lambda i: {1}),',')",
     "JSON": "CAST(to_json({0}) AS VARCHAR)", "NLIST": "CAST({0} AS DOUBLE[])",
-    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])",
+    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])", "SPREAD": "",
 }
+#: Rows of a large table that one task sorts and groups, and partitions from which they are asked for.
+SPREAD_ROWS, SPREAD_LEAST = 250_000, 32
+_SPREAD = re.compile(r"\{SPREAD:(\w+)~(\w+)\}")
 _MARK = re.compile(r"\{([A-Za-z]\w*)(?::([^{}]*))?\}")
 
 
@@ -109,7 +112,7 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS record_id, e.ts AS received_at, e.u
  MIN(l.l_quantity) AS amp1, MAX(l.l_quantity) AS amp2, MIN(l.l_quantity) + 1 AS amp3,
  CASE WHEN l.l_orderkey % 5 = 0 THEN NULL ELSE MAX(l.l_quantity) + 2 END AS amp4,
  CAST(COUNT(*) AS INT) AS corr1
-FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_orderkey % n + first AS seen_by
+FROM (SELECT {SPREAD:lineitem~seen_by}l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_orderkey % n + first AS seen_by
  FROM {t:lineitem} CROSS JOIN (SELECT COUNT(*) AS n, MIN(event_id) AS first FROM {t:events}) k) l
 JOIN {t:events} e ON e.event_id = l.seen_by
 GROUP BY l.l_orderkey, l.l_linenumber, e.ts, e.event_id, e.user_id""",
@@ -243,9 +246,16 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _spread(self, table: str, column: str) -> str:
+        """Hint that deals a large table to as many tasks as its rows need; the engine alone would
+        give a task all that packs into one shuffle partition."""
+        parts = self.table(table).count() // SPREAD_ROWS
+        return f"/*+ REPARTITION({parts}, {column}) */ " if parts >= SPREAD_LEAST else ""
+
     def sql(self, text: str) -> DataFrame:
         while "{f:" in text:
             text = re.sub(r"\{f:(\w+)\}", lambda m: f"({FRAMES[m.group(1)]})", text)
+        text = _SPREAD.sub(lambda m: self._spread(*m.groups()), text)
         return self.spark.sql(render(text, True, self.folder).replace('"values"', "`values`"))
 
     #: Frames written beforehand, so that a timing is of the operator and not of its test data.
