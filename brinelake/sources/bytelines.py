@@ -1,9 +1,10 @@
 """Lines as bytes, exactly as they lie in files (S1, S2): a data source for what is not text.
 
 The text reader takes lines for UTF-8; a binary record between sentences survives it only by luck.
-This source splits files at byte offsets, as many tasks as there are pieces, and gives every line
-as bytes with its file, its offset and the piece it was read in. A line belongs to the piece in
-which it begins; pieces are read in bounded buffers and handed over as Arrow batches.
+This source splits files at byte offsets and gives every line as bytes with its file, its offset
+and the piece it was read in. A line belongs to the piece in which it begins; pieces are read in
+bounded buffers and handed over as Arrow batches. A piece is a task of its own while there are few;
+of many small ones a task reads a run, one piece after the other.
 
     spark.dataSource.register(ByteLines)
     spark.read.format("byte_lines").option("piece", 1 << 25).load("landing/*.nmea")
@@ -20,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PIECE, BUFFER = 1 << 25, 1 << 22
+#: Bytes read beyond a piece for the rest of its last line, doubled while the line goes on.
+TAIL = 1 << 12
+#: Of more pieces than twice as many a task reads a run, of ``PIECE`` bytes at most.
+TASKS = 1 << 10
 SCHEMA = "line binary, file_path string, block_start bigint, offset bigint"
 
 
@@ -28,6 +33,7 @@ class Piece(InputPartition):
     path: str
     start: int
     end: int
+    size: int  # of the pieces in it
 
 
 def _located(path: str):
@@ -53,12 +59,23 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 def lines_of(source, start: int, end: int, buffer: int = BUFFER) -> Iterator[list[tuple[int, bytes]]]:
     """(offset, bytes) of the lines that begin in a piece, a buffer's worth at a time."""
-    at = max(0, start - 1)
+    at = read_to = max(0, start - 1)
     source.seek(at)
-    held = b""
+    held, tail = b"", TAIL
+
+    def more() -> bytes:
+        """What is left of the piece, or a little more of a line that goes on beyond it."""
+        nonlocal read_to, tail
+        left = end - read_to
+        data = source.read(min(buffer, max(left, tail)))
+        if left <= 0:
+            tail *= 2
+        read_to += len(data)
+        return data
+
     if start > 0:  # the line that runs into the piece belongs to the one before
         while True:
-            data = source.read(buffer)
+            data = more()
             cut = data.find(b"\n")
             if cut >= 0:
                 at, held = at + cut + 1, data[cut + 1:]
@@ -68,7 +85,7 @@ def lines_of(source, start: int, end: int, buffer: int = BUFFER) -> Iterator[lis
                 return
     parts = [held]
     while at < end:
-        data = source.read(buffer)
+        data = more()
         parts.append(data)
         if data and b"\n" not in data:  # a line longer than the buffer
             continue
@@ -94,18 +111,35 @@ class ByteLinesReader(DataSourceReader):
 
     def partitions(self) -> list[Piece]:
         scheme = self.path.split("://", 1)[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
-        return [Piece(scheme + p, k, min(size, k + self.piece)) for p, size in _files(self.path)
-                for k in range(0, size, self.piece)]
+        files = _files(self.path)
+        pieces = sum(-(-size // self.piece) for _, size in files)
+        run = max(1, min(pieces // TASKS, PIECE // self.piece)) * self.piece
+        return [Piece(scheme + p, k, min(size, k + run), self.piece) for p, size in files
+                for k in range(0, size, run)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         files, name = _located(partition.path)
         with files.open_input_file(name) as source:
-            for rows in lines_of(source, partition.start, partition.end):
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for _, r in rows], pa.binary()), pa.array([partition.path] * n, pa.string()),
-                     pa.array([partition.start] * n, pa.int64()), pa.array([o for o, _ in rows], pa.int64())],
-                    names=["line", "file_path", "block_start", "offset"])
+            found, held = [], 0
+            for start in range(partition.start, partition.end, partition.size):
+                for rows in lines_of(source, start, min(start + partition.size, partition.end)):
+                    found.append((start, rows))
+                    held += rows[-1][0] + len(rows[-1][1]) - rows[0][0]
+                    if held >= BUFFER:
+                        yield _batch(partition.path, found)
+                        found, held = [], 0
+            if found:
+                yield _batch(partition.path, found)
+
+
+def _batch(path: str, found: list[tuple[int, list[tuple[int, bytes]]]]) -> pa.RecordBatch:
+    """Rows of one file by the starts of their pieces."""
+    starts = [start for start, rows in found for _ in rows]
+    rows = [r for _, rows in found for r in rows]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r for _, r in rows], pa.binary()), pa.array([path] * len(rows), pa.string()),
+         pa.array(starts, pa.int64()), pa.array([o for o, _ in rows], pa.int64())],
+        names=["line", "file_path", "block_start", "offset"])
 
 
 class ByteLines(DataSource):

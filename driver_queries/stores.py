@@ -63,10 +63,11 @@ def _(f):
         "stream_id").text(path)
     got = read_byte_lines(f.spark, path, piece=5000)
     got = got.withColumns({"stream_id": _stream_of(), "code": F.hex("line")})
-    place = F.row_number().over(W.partitionBy("file_path").orderBy("offset"))
-    known = f.lines.select(F.col("stream_id").cast("string").alias("stream_id"), F.row_number().over(
-        W.partitionBy("stream_id").orderBy("line_no")).alias("k"), F.hex(F.col("raw_sentence").cast("binary")).alias("head"))
-    both = got.withColumn("k", place).join(known, ["stream_id", "k"], "left")
+    got = number_lines(got, "offset").withColumnRenamed("line_no", "k")
+    known = f.lines.select(F.col("stream_id").cast("string").alias("stream_id"), "line_no", F.hex(F.col("raw_sentence").cast("binary")).alias("head"))
+    known = scans.running_sum(known.withColumn("_chunk", scans.line_chunk()), {"k": F.lit(1).cast("bigint")},
+                              ["stream_id"], ["_chunk"], ["line_no"]).drop("_chunk", "line_no")
+    both = got.join(known, ["stream_id", "k"], "left")
     return both.select("stream_id", "code", F.coalesce(F.col("code").startswith(F.col("head")), F.lit(False)).alias("in_order"))
 
 
