@@ -33,11 +33,14 @@ _DUCK = {
     "PMOD": "((({0}) % 360) + 360) % 360", "L": "lambda {0}:", "EACH": "list_transform",
     "SERIES": "array_to_string(list_transform(range({0}), lambda i: {1}),',')",
     "JSON": "CAST(to_json({0}) AS VARCHAR)", "NLIST": "CAST({0} AS DOUBLE[])",
-    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])", "SPREAD": "",
+    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])", "SPREAD": "", "DEAL": "{0}",
 }
 #: Rows of a large table that one task sorts and groups, and partitions from which they are asked for.
 SPREAD_ROWS, SPREAD_LEAST = 250_000, 32
 _SPREAD = re.compile(r"\{SPREAD:(\w+)~(\w+)\}")
+#: Rows of a narrow table from which one task makes sentences, and partitions from which they are asked for.
+DEAL_ROWS, DEAL_LEAST = 50_000, 8
+_DEAL = re.compile(r"\{DEAL:(\w+)\}")
 _MARK = re.compile(r"\{([A-Za-z]\w*)(?::([^{}]*))?\}")
 
 
@@ -184,7 +187,7 @@ FROM (SELECT event_id, user_id, ts,
  CASE WHEN event_id % 23 = 0 THEN 'PXXXX' ELSE 'PNORS' END || ',' || {MDY:ts} || ',' || {HMS:ts} || ',0,' ||
  CASE WHEN event_id % 19 = 0 THEN 'BAD' ELSE '00000000' END || ',14.4,1523.0,' ||
  CAST((event_id * 37) % 3600 {IDIV} 10 AS {STR}) || '.' || CAST((event_id * 37) % 10 AS {STR}) ||
- ',' || CAST(event_id % 90 AS {STR}) || '.0,2.3,0.000,22.45,0,0' AS body FROM {t:events}) b""",
+ ',' || CAST(event_id % 90 AS {STR}) || '.0,2.3,0.000,22.45,0,0' AS body FROM {DEAL:events}) b""",
     # Lines of every kind: sentences, and prose in four languages as what no parser knows.
     "mixed": """
 SELECT line_no, raw_sentence FROM {f:lines}
@@ -252,10 +255,16 @@ class Frames:
         parts = self.table(table).count() // SPREAD_ROWS
         return f"/*+ REPARTITION({parts}, {column}) */ " if parts >= SPREAD_LEAST else ""
 
+    def _deal(self, table: str) -> str:
+        """A large table dealt out by rows: its splits are few for their bytes, a sentence per row is much work."""
+        parts = self.table(table).count() // DEAL_ROWS
+        return f"(SELECT /*+ REPARTITION({parts}) */ * FROM {{t:{table}}})" if parts >= DEAL_LEAST else f"{{t:{table}}}"
+
     def sql(self, text: str) -> DataFrame:
         while "{f:" in text:
             text = re.sub(r"\{f:(\w+)\}", lambda m: f"({FRAMES[m.group(1)]})", text)
         text = _SPREAD.sub(lambda m: self._spread(*m.groups()), text)
+        text = _DEAL.sub(lambda m: self._deal(m.group(1)), text)
         return self.spark.sql(render(text, True, self.folder).replace('"values"', "`values`"))
 
     #: Frames written beforehand, so that a timing is of the operator and not of its test data.

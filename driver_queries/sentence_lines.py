@@ -126,7 +126,7 @@ def lines_sql(layout: L.Layout) -> str:
     return f"""SELECT event_id AS line_no, ts AS received_at, user_id % 8 AS stream_id,
  '$' || body || '*' || CASE WHEN event_id % 17 = 0 THEN 'zz' ELSE {{XOR:body}} END AS raw_sentence
 FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 19 = 0 THEN '{layout.prefix},1'
- ELSE {body_text(layout)} END AS body FROM {{t:events}}) b"""
+ ELSE {body_text(layout)} END AS body FROM {{DEAL:events}}) b"""
 
 
 _CASTS = {L.INT: "BIGINT", L.NUM: "DOUBLE", L.OPT: "DOUBLE"}

@@ -22,3 +22,13 @@ def test_cells_in_bounded_tasks(spark, tmp_path, monkeypatch):
     assert "hashpartitioning(seen_by" in dealt._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM, " in dealt._jdf.queryExecution().toString() and dealt.rdd.getNumPartitions() == 20
     assert whole.count() > 1000 and whole.exceptAll(dealt).isEmpty() and dealt.exceptAll(whole).isEmpty()
+
+
+def test_sentences_from_rows_dealt_out(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts, id * 7 AS user_id
+     FROM range(900) UNION ALL SELECT 5, NULL, 3 UNION ALL SELECT NULL, NULL, NULL""").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = frames.Frames(spark, str(tmp_path)).lines
+    monkeypatch.setattr(frames, "DEAL_ROWS", 100)
+    dealt = frames.Frames(spark, str(tmp_path)).lines
+    assert dealt.rdd.getNumPartitions() == 9 > whole.rdd.getNumPartitions()
+    assert whole.count() == 902 and whole.exceptAll(dealt).isEmpty() and dealt.exceptAll(whole).isEmpty()
