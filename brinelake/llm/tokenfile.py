@@ -23,7 +23,7 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,14 +41,44 @@ SHARD = 1 << 20
 #: A rule takes 12 bytes. On a million ids of the given documents, stored bytes per id are least here:
 #: 2.80 (64), 2.45 (16), 2.32 (8), 2.31 (4), 2.72 (2), and 1.163, 1.145, 1.142, 1.224, 1.436 compressed.
 LEAST = 8
-CACHE = 800_000
-_RUN = re.compile(r"[ \n]+")
+#: Words and pieces that a worker remembers; about 150 bytes each.
+CACHE, PIECES = 700_000, 900_000
 #: Letters that only change to lower case on their way to the model, and ASCII punctuation after them.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SLOTS = 20
 
 
+class _Memory(dict):
+    """Ids of single words. One that is not here is made of its pieces if it is a plain one; of the
+    others there are no ids as yet, and they are put down in ``new``."""
+
+    def __init__(self, pieces: dict[str, bytes], piece: Callable[[str], bytes]):
+        super().__init__()
+        self.pieces, self.piece, self.new = pieces, piece, []
+
+    def __missing__(self, w: str) -> bytes:
+        if not w:
+            self[w] = b""
+            return b""
+        if len(w) <= 64:
+            ascii_word = w.isascii()
+            if ascii_word and w.isalpha():
+                low = w.lower()
+                code = self[w] = self.pieces.get(low) or self.piece(low)
+                return code
+            run = w.rstrip(_MARKS)
+            if run and (run.isalpha() if ascii_word else _LETTERS.fullmatch(run)):
+                low, marks = run.lower(), w[len(run):]
+                code = self.pieces.get(low) or self.piece(low)
+                if marks:
+                    code += self.pieces.get(marks) or self.piece(marks)
+                self[w] = code
+                return code
+        self.new.append(w)
+        return b""
+
+
 class WordIds:
     """Ids by the tokenizers library, with a bounded memory of what it gave for single words.
 
@@ -69,8 +99,8 @@ class WordIds:
         self.names = [t.content for t in special.values()]
         self.part_id, self.part = max((i, t.content) for i, t in special.items())
         self.size = self.library.get_vocab_size()
-        self.memory: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.memory = _Memory(self.pieces, self._piece)
         self.letters = dict(enumerate(byte_letters()))
         self.four = [struct.Struct(f"<{n}I") for n in range(130)]
 
@@ -82,32 +112,30 @@ class WordIds:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        """What stands between blanks and line ends."""
-        found = text.split()
-        blanks = text.count(" ") + text.count("\n")
-        return found if sum(map(len, found)) + blanks == len(text) else _RUN.split(text)
+        """What stands between blanks and line ends; nothing where two of them meet."""
+        return text.replace("\n", " ").split(" ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         if len(self.memory) > CACHE:
-            self.memory = {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        have, pieces, piece, letters = self.memory, self.pieces.get, self._piece, _LETTERS.fullmatch
+            self.memory.clear()
+        have, get = self.memory, self.memory.__getitem__
+        new = have.new = []
         split = [self._words(t) if t else [] for t in texts]
-        new = []
-        for w in set().union(*split):
-            if w not in have:
-                run = w.rstrip(_MARKS)
-                if len(w) <= 64 and run and (run.isalpha() if run.isascii() else letters(run)):
-                    low, marks = run.lower(), w[len(run):]
-                    code = pieces(low) or piece(low)
-                    have[w] = code + (pieces(marks) or piece(marks)) if marks else code
-                else:
-                    new.append(w)
+        out, later = [], []
+        for k, ws in enumerate(split):
+            known = len(new)
+            out.append(b"".join(map(get, ws)))
+            if len(new) > known:
+                later.append(k)
+        if not later:
+            return out
+        new = set(new)
         # A word that starts with a mark, or holds a special token's name, is encoded with its text.
         odd = {w for w in new if any(n in w for n in self.names)
                or (w and not w[0].isascii() and unicodedata.combining(w[0]))}
@@ -120,13 +148,9 @@ class WordIds:
             have.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
             for w in part[1:]:
                 have[w] = have[w][4:]  # less the parting token
-        if not odd and not long:
-            get = have.__getitem__
-            return [b"".join(map(get, ws)) for ws in split]
-        out = []
-        for t, ws in zip(texts, split):
-            out.append(self._whole(t) if odd and not odd.isdisjoint(ws)
-                       else b"".join([long[w] if w in long else have[w] for w in ws]))
+        for k in later:
+            out[k] = (self._whole(texts[k]) if odd and not odd.isdisjoint(split[k])
+                      else b"".join([long[w] if w in long else have[w] for w in split[k]]))
         return out
 
 
@@ -135,42 +159,66 @@ def words(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    """Place of a pair in tables of 2 ** _SLOTS."""
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+
 def repair(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence) of a grammar for ``ids``.
 
-    A round counts all adjacent pairs by sorting them and replaces, from left to right, every pair
+    A round counts adjacent pairs by sorting them and replaces, from left to right, every pair
     that occurs at least a sixty-fourth as often as the most frequent one; it ends where that falls
-    below ``least``.
+    below ``least``. A pair that is rarer than ``least`` stays so, since only pairs with a new symbol
+    come up: its places are ``live`` no more, and no later round looks at them.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
+    live = np.ones(len(seq), bool)
     rules: list[np.ndarray] = []
     top = terminals
-    while len(seq) > 1:
-        key = seq[:-1] << 32 | seq[1:]
+    while True:
+        live[-1:] = False  # the last symbol begins no pair
+        place = np.flatnonzero(live)
+        if not len(place):
+            break
+        key = seq[place].astype(np.int64) << 32 | seq[place + 1]
         order = np.sort(key)
         start = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
         count = np.diff(np.append(start, len(order)))
         most = int(count.max())
         if most < least:
             break
-        often = count >= max(least, most // 64)
-        chosen = order[start[often]]
-        slot = ((chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        frequent = np.zeros(1 << _SLOTS, bool)  # a rare pair in such a slot is only counted again
+        frequent[_slot(order[start[count >= least]])] = True
+        chosen = order[start[count >= max(least, most // 64)]]
+        slot = _slot(chosen)
         _, first = np.unique(slot, return_index=True)  # of pairs in one slot the others wait a round
         chosen, slot = chosen[first], slot[first]
-        table = np.full(1 << _SLOTS, -1, np.int64)
+        table = np.full(1 << _SLOTS, -1, np.int32)
         table[slot] = np.arange(len(chosen))
-        at = table[((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        hit = (at >= 0) & (chosen[at] == key)
-        place = np.flatnonzero(hit)
+        slot = _slot(key)
+        stay = np.flatnonzero(frequent[slot])
+        place, key, at = place[stay], key[stay], table[slot[stay]]
+        live = np.zeros(len(seq), bool)
+        live[place] = True
+        hit = np.flatnonzero((at >= 0) & (chosen[at] == key))
+        place, at = place[hit], at[hit]
         head = np.concatenate([[True], place[1:] != place[:-1] + 1])
-        run = np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))
-        place = place[(np.arange(len(place)) - run) % 2 == 0]  # pairs may not share a symbol
-        used, new = np.unique(at[place], return_inverse=True)
-        seq[place] = top + new
+        each = np.arange(len(place))
+        odd = (each - np.maximum.accumulate(np.where(head, each, 0))) & 1  # pairs may not share a symbol
+        even = np.flatnonzero(odd == 0)
+        place, at = place[even], at[even]
+        used = np.flatnonzero(np.bincount(at, minlength=len(chosen)))
+        new = np.zeros(len(chosen), np.uint32)
+        new[used] = top + np.arange(len(used))
+        seq[place] = new[at]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        seq = seq[stay]
+        stay = np.flatnonzero(stay)
+        seq, live = seq[stay], live[stay]
+        place -= np.arange(len(place))
+        live[place] = True
+        live[place[place > 0] - 1] = True
         rules.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1))
         top += len(used)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype("<u4"), seq.astype("<u4")
@@ -195,22 +243,18 @@ class Shard:
         self.ends = np.cumsum(each[np.maximum(self.sequence.astype(np.int64) - terminals + 1, 0)])
 
     def _texts(self, symbols: np.ndarray) -> dict[int, bytes]:
-        """Expansions of the symbols, and of those that they need."""
+        """Expansions of the rules among the symbols, and of those that they need."""
         need = set(symbols.tolist())
-        stack = [s for s in need if s >= self.terminals]
+        stack = list(need)
         while stack:
             for s in self.rules[stack.pop() - self.terminals].tolist():
-                if s not in need:
+                if s >= self.terminals and s not in need:
                     need.add(s)
-                    if s >= self.terminals:
-                        stack.append(s)
+                    stack.append(s)
         text: dict[int, bytes] = {}
         for s in sorted(need):
-            if s < self.terminals:
-                text[s] = s.to_bytes(4, "little")
-            else:
-                a, b = self.rules[s - self.terminals].tolist()
-                text[s] = text[a] + text[b]
+            text[s] = b"".join([x.to_bytes(4, "little") if x < self.terminals else text[x]
+                                for x in self.rules[s - self.terminals].tolist()])
         return text
 
     def read(self, start: int = 0, end: int | None = None) -> np.ndarray:
@@ -221,9 +265,23 @@ class Shard:
             return np.empty(0, "<u4")
         i, j = np.searchsorted(self.ends, [start, end - 1], "right")
         part = self.sequence[i:j + 1]
-        raw = b"".join(map(self._texts(np.unique(part)).__getitem__, part.tolist()))
         before = int(self.ends[i - 1]) if i else 0
-        return np.frombuffer(raw, "<u4")[start - before:end - before]
+        at = self.ends[i:j + 1] - before  # where each symbol ends
+        out = np.empty(int(at[-1]), "<u4")
+        plain = part < self.terminals
+        out[at[plain] - 1] = part[plain]
+        if not plain.all():
+            used = (part[~plain] - self.terminals).astype(np.int64)
+            among = np.flatnonzero(np.bincount(used))
+            text = self._texts(among + self.terminals)
+            texts = [text[s + self.terminals] for s in among.tolist()]
+            size, begin = np.zeros(among[-1] + 1, np.int64), np.zeros(among[-1] + 1, np.int64)
+            size[among] = [len(x) // 4 for x in texts]
+            begin[among] = np.cumsum(size[among]) - size[among]
+            every, end_at = size[used], at[~plain]
+            steps = np.arange(int(every.sum())) - np.repeat(np.cumsum(every) - every, every)
+            out[np.repeat(end_at - every, every) + steps] = np.frombuffer(b"".join(texts), "<u4")[np.repeat(begin[used], every) + steps]
+        return out[start - before:end - before]
 
 
 #: Rows of the table of files up to which it is sent to every executor; 16 bytes each.
