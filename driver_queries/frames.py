@@ -33,11 +33,14 @@ _DUCK = {
     "PMOD": "((({0}) % 360) + 360) % 360", "L": "lambda {0}:", "EACH": "list_transform",
     "SERIES": "array_to_string(list_transform(range({0}), lambda i: {1}),',')",
     "JSON": "CAST(to_json({0}) AS VARCHAR)", "NLIST": "CAST({0} AS DOUBLE[])",
-    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])", "SPREAD": "", "DEAL": "{0}",
+    "DAYS": "to_days({0})", "TWO": "unnest([0, 1])", "SPREAD": "", "DEAL": "{0}", "STRIDE": "{0}",
 }
 #: Rows of a large table that one task sorts and groups, and partitions from which they are asked for.
 SPREAD_ROWS, SPREAD_LEAST = 250_000, 32
 _SPREAD = re.compile(r"\{SPREAD:(\w+)~(\w+)\}")
+#: Partitions up to which the engine writes a shuffle straight to a file each; beyond, a task holds what it deals out.
+STRIDE = 200
+_STRIDE = re.compile(r"\{STRIDE:(\w+)~([\w, ]+)\}")
 #: Rows of a narrow table from which one task makes sentences, and partitions from which they are asked for.
 DEAL_ROWS, DEAL_LEAST = 50_000, 8
 _DEAL = re.compile(r"\{DEAL:(\w+)\}")
@@ -116,7 +119,7 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS record_id, e.ts AS received_at, e.u
  CASE WHEN l.l_orderkey % 5 = 0 THEN NULL ELSE MAX(l.l_quantity) + 2 END AS amp4,
  CAST(COUNT(*) AS INT) AS corr1
 FROM (SELECT {SPREAD:lineitem~seen_by}l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_orderkey % n + first AS seen_by
- FROM {t:lineitem} CROSS JOIN (SELECT COUNT(*) AS n, MIN(event_id) AS first FROM {t:events}) k) l
+ FROM {STRIDE:lineitem~l_orderkey, l_linenumber, l_quantity, l_discount, l_tax} CROSS JOIN (SELECT COUNT(*) AS n, MIN(event_id) AS first FROM {t:events}) k) l
 JOIN {t:events} e ON e.event_id = l.seen_by
 GROUP BY l.l_orderkey, l.l_linenumber, e.ts, e.event_id, e.user_id""",
     # The same cells seen by a second instrument each, at the same times.
@@ -255,6 +258,14 @@ class Frames:
         parts = self.table(table).count() // SPREAD_ROWS
         return f"/*+ REPARTITION({parts}, {column}) */ " if parts >= SPREAD_LEAST else ""
 
+    def _stride(self, table: str, columns: str) -> str:
+        """A table that ``_spread`` deals to very many tasks, dealt to fewer before that, so that those who
+        deal have parts of it and not what a split of well packed rows holds."""
+        parts = self.table(table).count() // SPREAD_ROWS
+        if parts <= max(STRIDE, SPREAD_LEAST):
+            return f"{{t:{table}}}"
+        return f"(SELECT /*+ REPARTITION({STRIDE}, {columns}) */ {columns} FROM {{t:{table}}})"
+
     def _deal(self, table: str) -> str:
         """A large table dealt out by rows: its splits are few for their bytes, a sentence per row is much work."""
         parts = self.table(table).count() // DEAL_ROWS
@@ -264,6 +275,7 @@ class Frames:
         while "{f:" in text:
             text = re.sub(r"\{f:(\w+)\}", lambda m: f"({FRAMES[m.group(1)]})", text)
         text = _SPREAD.sub(lambda m: self._spread(*m.groups()), text)
+        text = _STRIDE.sub(lambda m: self._stride(*m.groups()), text)
         text = _DEAL.sub(lambda m: self._deal(m.group(1)), text)
         return self.spark.sql(render(text, True, self.folder).replace('"values"', "`values`"))
 
